@@ -6,15 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import decontamination, line_dedup
+from .decontamination import op4_benchmark_decontamination
 from .line_dedup import op1_line_dedup
+from .near_dup import op3_minhash_near_dedup
 from .packing import op8_best_fit_packing
+from .quality import op6_quality_classifier
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
+    "op4_benchmark_decontamination": decontamination.ORACLE_SQL,
 }
