@@ -101,6 +101,12 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def gram_hashes(sums: np.ndarray, start: int, n: int, size: int) -> np.ndarray:
+    """Hashes of the n strings of ``size`` bytes that begin at ``start`` and after."""
+    _, down = _POWERS.upto(len(sums))
+    return mix64((sums[start + size : start + size + n] - sums[start : start + n]) * down[start : start + n])
+
+
 def token_spans(data: np.ndarray, inside: np.ndarray):
     """Starts and ends of the maximal runs of bytes for which the table ``inside`` is true."""
     mask = np.zeros(len(data) + 2, np.int8)

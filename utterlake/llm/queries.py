@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontamination, line_dedup
 from .decontamination import op4_benchmark_decontamination
 from .line_dedup import op1_line_dedup
+from .lm_scoring import op9_lm_scoring
 from .near_dup import op3_minhash_near_dedup
 from .packing import op8_best_fit_packing
+from .suffix_dedup import op7_suffix_array_dedup
 from .quality import op6_quality_classifier
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,7 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {
