@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, line_dedup
+from .ann import op10_curve_neighbours
 from .decontamination import op4_benchmark_decontamination
 from .line_dedup import op1_line_dedup
 from .lm_scoring import op9_lm_scoring
 from .near_dup import op3_minhash_near_dedup
 from .packing import op8_best_fit_packing
+from .secrets import op5_secret_scans
 from .suffix_dedup import op7_suffix_array_dedup
 from .quality import op6_quality_classifier
 
@@ -19,10 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_secret_scans": op5_secret_scans,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_curve_neighbours": op10_curve_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {
