@@ -16,9 +16,11 @@ from .packing import op8_best_fit_packing
 from .secrets import op5_secret_scans
 from .suffix_dedup import op7_suffix_array_dedup
 from .quality import op6_quality_classifier
+from .token_output import op2_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_token_output": op2_token_output,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_secret_scans": op5_secret_scans,
