@@ -115,7 +115,7 @@ def token_spans(data: np.ndarray, inside: np.ndarray):
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def utf8_chunks(column, limit: int = 1 << 23):
+def utf8_chunks(column, limit: int = 1 << 20):
     """Yield (first row, data, offsets) of an Arrow string column as bytes, in chunks of about ``limit`` bytes;
     NULL counts as the empty text. A longer text makes a chunk of its own."""
     import pyarrow as pa

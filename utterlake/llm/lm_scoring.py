@@ -105,7 +105,7 @@ class _Tally:
     def add(self, values: np.ndarray, counts: np.ndarray) -> None:
         self.parts.append((values, counts))
         self.waiting += len(values)
-        if self.waiting > max(1_000_000, len(self.values)):
+        if self.waiting > max(500_000, len(self.values)):
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ def _split(own: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, in
 
 
 #: Different entries after which a task sends what it has.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 _ROWS = "shard int, packed binary"
 
 
