@@ -6,6 +6,7 @@ that all executors share (``spark.checkpoint.dir``), so that a lost executor cos
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now: it does so when the driver collects its garbage, which in
+    a short run of large stages is too late for the disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc32_mod(column, modulus: int):
     """crc32 of the decimal text of a column, modulo ``modulus``; NULL counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import gram_hashes, materialize, prefix_sums, span_hashes, utf8_chunks
+from ._shared import gram_hashes, materialize, mix64, prefix_sums, release, span_hashes, utf8_chunks
 
 _KEY = ["k1", "k2"]
 
@@ -113,55 +113,63 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"))
 
 
+_MARKS = "k1 long, k2 long, anchor long, c long, before int, size int, places array<int>"
+
+
 def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """One row a text, anchor and kind of surroundings: their hash c (which counts for one anchor only), how much of
+    them lies before the anchor, their size, and where in the text they begin. A periodic text has few rows."""
+    reach = length - gram
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = batch["k1"].to_numpy(), batch["k2"].to_numpy()
             for first, data, offsets in utf8_chunks(batch["text"]):
                 sums = prefix_sums(data)
                 found = [anchors(sums, a, b, length, gram) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                sizes = [len(x[0]) for x in found]
-                row = np.repeat(np.arange(first, first + len(sizes)), sizes)
+                doc = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
                 at, hashes = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(k1[row]), pa.array(k2[row]), pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64))], ["k1", "k2", "at", "anchor"])
-
-    return texts.select("k1", "k2", "text").mapInArrow(rows, "k1 long, k2 long, at int, anchor long")
+                low, high = np.maximum(at - reach, 0), np.minimum(at + gram + reach, np.diff(offsets)[doc])
+                before, size = at - low, high - low
+                c = mix64(span_hashes(sums, offsets[doc] + low, offsets[doc] + high) + (before * 1024 + 1).astype(np.uint64))
+                key = mix64(hashes ^ mix64(c + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+                order = np.argsort(key, kind="stable")
+                heads = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
+                one = order[heads]
+                places = pa.ListArray.from_arrays(pa.array(np.append(heads, len(key)), pa.int32()), pa.array(low[order], pa.int32()))
+                back = np.argsort(doc[one], kind="stable")  # texts together, for the file's sake
+                one, places = one[back], places.take(pa.array(back))
+                columns = [pa.array(k1[first + doc[one]]), pa.array(k2[first + doc[one]]), pa.array(hashes[one].view(np.int64)), pa.array(c[one].view(np.int64)), pa.array(before[one], pa.int32()), pa.array(size[one], pa.int32()), places]
+                yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "anchor", "c", "before", "size", "places"])
+
+    return texts.select("k1", "k2", "text").mapInArrow(rows, _MARKS)
 
 
 # --- windows around repeated anchors ---------------------------------------------------------------------------
 
 
-def _surroundings(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """For each listed anchor of a text the bytes that its windows may reach."""
-    reach = length - gram
+def _surroundings(texts: DataFrame) -> DataFrame:
+    """The bytes of the surroundings listed for each text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2, at, before, hashes, around, n = [], [], [], [], [], [], []
-            for a, b, text, marks, copies in zip(batch["k1"].to_pylist(), batch["k2"].to_pylist(), batch["text"].cast(pa.binary()), batch["marks"], batch["copies"].to_pylist(), strict=True):
+            out = []
+            for text, marks in zip(batch["text"].cast(pa.binary()), batch["marks"], strict=True):
                 text = text.as_py()
-                for mark in marks.as_py():
-                    p = mark["at"]
-                    low = max(0, p - reach)
-                    k1.append(a)
-                    k2.append(b)
-                    at.append(p)
-                    before.append(p - low)
-                    hashes.append(mark["anchor"])
-                    around.append(text[low : p + gram + reach])
-                    n.append(copies)
-                if len(around) >= 4096:
-                    yield _surrounding_batch(k1, k2, at, before, hashes, around, n)
-                    k1, k2, at, before, hashes, around, n = [], [], [], [], [], [], []
-            yield _surrounding_batch(k1, k2, at, before, hashes, around, n)
-
-    return texts.mapInArrow(rows, "k1 long, k2 long, at int, before int, anchor long, c1 long, c2 long, around binary, copies long")
-
-
-def _surrounding_batch(k1, k2, at, before, hashes, around, n) -> pa.RecordBatch:
-    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b"%d:" % n + x) for n, x in zip(before, around, strict=True)), np.int64).reshape(-1, 2)
-    columns = [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(at, pa.int32()), pa.array(before, pa.int32()), pa.array(hashes, pa.int64()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(around, pa.binary()), pa.array(n, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, ["k1", "k2", "at", "before", "anchor", "c1", "c2", "around", "copies"])
+                for m in marks.as_py():
+                    out.append((m["anchor"], m["c"], m["before"], m["n"], m["kinds"], text[m["place"] : m["place"] + m["size"]]))
+                if len(out) >= 4096:
+                    yield _batch(out)
+                    out = []
+            yield _batch(out)
+
+    return texts.mapInArrow(rows, "anchor long, c long, before int, n long, kinds long, around binary")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    columns = list(zip(*rows, strict=True)) or [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["anchor", "c", "before", "n", "kinds", "around"])
 
 
 def window_ranges(before: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,14 +213,14 @@ def repeated_windows(groups: np.ndarray, before: np.ndarray, around: list[bytes]
 
 
 def _covered_in_groups(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """c1, c2, from, to of each surroundings' covered bytes; rows: anchor, c1, c2, before, around, n."""
+    """anchor, c, from, to of the bytes of each surroundings that repeated windows cover."""
 
     def find(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         found = repeated_windows(frame["anchor"].to_numpy(np.int64), frame["before"].to_numpy(np.int64), frame["around"].tolist(), frame["n"].to_numpy(np.int64), length, gram)
         at = [x[0] for x in found]
-        return pd.DataFrame({"c1": frame["c1"].to_numpy()[at], "c2": frame["c2"].to_numpy()[at], "from": [x[1] for x in found], "to": [x[2] for x in found]})
+        return pd.DataFrame({"anchor": frame["anchor"].to_numpy()[at], "c": frame["c"].to_numpy()[at], "from": [x[1] for x in found], "to": [x[2] for x in found]})
 
-    return rows.groupBy("part").applyInPandas(find, "c1 long, c2 long, `from` int, `to` int")
+    return rows.groupBy("part").applyInPandas(find, "anchor long, c long, `from` int, `to` int")
 
 
 def _covered_by_count(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -224,45 +232,52 @@ def _covered_by_count(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 before, around = row["before"], row["around"]
                 starts = np.arange(max(0, before + gram - length), min(before, len(around) - length) + 1)
                 w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(around[s : s + length]) for s in starts), np.int64).reshape(-1, 2)
-                same = [pa.array(np.full(len(starts), row[c], np.int64)) for c in ("anchor", "c1", "c2", "n")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(starts.astype(np.int32)), pa.array((before - starts).astype(np.int32)), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy())], ["anchor", "c1", "c2", "n", "from", "lead", "w1", "w2"])
+                same = [pa.array(np.full(len(starts), row[c], np.int64)) for c in ("anchor", "c", "n")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(starts.astype(np.int32)), pa.array((before - starts).astype(np.int32)), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy())], ["anchor", "c", "n", "from", "lead", "w1", "w2"])
 
-    found = rows.select("anchor", "c1", "c2", "n", "before", "around").mapInArrow(windows, "anchor long, c1 long, c2 long, n long, `from` int, lead int, w1 long, w2 long")
+    found = rows.select("anchor", "c", "n", "before", "around").mapInArrow(windows, "anchor long, c long, n long, `from` int, lead int, w1 long, w2 long")
     window = ["anchor", "lead", "w1", "w2"]
     counted = found.groupBy(*window).agg(F.sum("n").alias("times")).where("times > 1").select(*window)
-    return found.join(counted, window, "left_semi").select("c1", "c2", "from", (F.col("from") + length).alias("to"))
+    return found.join(counted, window, "left_semi").select("anchor", "c", "from", (F.col("from") + length).cast("int").alias("to"))
 
 
 def repeated_spans(texts: DataFrame, length: int = 200, gram: int = 16, group_limit: int = 8_000) -> DataFrame:
     """k1, k2 and spans (sorted) of the bytes of each different text that repeated strings of ``length`` bytes cover;
     ``texts`` is from ``keyed_texts``, one row a document."""
+    spark = texts.sparkSession
     marks = materialize(_anchor_rows(texts, length, gram), "anchors")
     # Copies of a text bring each of its anchors again; so do repeats within it.
-    counts = marks.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = marks.join(counts, "anchor", "left_semi").groupBy(*_KEY, "at").agg(F.first("anchor").alias("anchor"))
-    per_text = wanted.groupBy(*_KEY).agg(F.collect_list(F.struct("at", "anchor")).alias("marks"))
-    # One document stands for all copies of a text.
-    holder = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    copies = texts.groupBy(*_KEY).agg(F.count("*").alias("copies"), F.min(holder).alias("holder"))
-    per_text = materialize(per_text.join(copies, _KEY), "repeated-anchors")
-    held = texts.withColumn("holder", holder).join(per_text, [*_KEY, "holder"]).select("k1", "k2", "text", "marks", "copies")
-    around = materialize(_surroundings(held, length, gram), "surroundings")
-    places = around.select("k1", "k2", "at", "before", "c1", "c2").distinct()
-    distinct = around.groupBy("anchor", "c1", "c2", "before").agg(F.sum("copies").alias("n"), F.octet_length(F.first("around")).alias("size"))
-    distinct = materialize(distinct, "different-surroundings")
+    counts = marks.groupBy("anchor").agg(F.sum(F.size("places")).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1")
+    counts = materialize(counts.select("anchor", (F.col("low") < F.col("high")).alias("differ")), "repeated-anchors")
+    release(spark)
+    repeated = materialize(marks.join(counts, "anchor"), "repeated-marks")
+    release(spark)
+
+    # The bytes over the windows that hold an anchor and lie within its surroundings.
     low, high = F.greatest(F.lit(0), F.col("before") + gram - length), F.least(F.col("before"), F.col("size") - length)
-    copied = distinct.where("n > 1").where(high >= low).select("c1", "c2", low.cast("int").alias("from"), (high + length).cast("int").alias("to"))
-    # An anchor with one kind of surroundings needs no comparison: they repeat if they occur twice.
-    per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    parts = max(1, -(-distinct.count() // 4000))
-    kinds = distinct.join(per_anchor, "anchor").select("c1", "c2", "n", "kinds")
-    many = around.dropDuplicates(["c1", "c2"]).select("c1", "c2", "anchor", "before", "around").join(kinds, ["c1", "c2"]).withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(parts)))
-    in_groups = _covered_in_groups(many.where(F.col("kinds") <= group_limit).select("part", "anchor", "c1", "c2", "before", "around", "n"), length, gram)
-    by_count = _covered_by_count(many.where(F.col("kinds") > group_limit), length, gram)
-    covered = materialize(in_groups.unionByName(by_count).unionByName(copied), "covered")
-    spans = places.join(covered, ["c1", "c2"]).select("k1", "k2", (F.col("at") - F.col("before") + F.col("from")).alias("from"), (F.col("at") - F.col("before") + F.col("to")).alias("to"))
-    merged = spans.distinct().groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"))
-    return materialize(merged, "repeated-spans")
+    whole = [low.cast("int").alias("from"), (high + length).cast("int").alias("to")]
+    # An anchor with one kind of surroundings needs no comparison; one with several does, once for each kind.
+    kinds = repeated.where("differ").groupBy("anchor", "c", "before", "size").agg(F.sum(F.size("places")).alias("n"), F.min(F.struct("k1", "k2", F.col("places")[0].alias("place"))).alias("one"))
+    kinds = materialize(kinds, "surroundings")
+    per_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    listed = kinds.join(per_anchor, "anchor").groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("anchor", "c", "before", "size", "n", "kinds", "one.place")).alias("marks"))
+    holder = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))  # one document stands for all copies of a text
+    copies = texts.groupBy(*_KEY).agg(F.min(holder).alias("holder"))
+    held = texts.withColumn("holder", holder).join(listed.join(copies, _KEY), [*_KEY, "holder"]).select("text", "marks")
+    around = materialize(_surroundings(held).dropDuplicates(["anchor", "c"]), "surrounding-bytes")
+    release(spark)
+    parts = max(1, -(-around.count() // 4000))
+    dealt = around.where(F.col("kinds") <= group_limit).withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(parts)))
+    found = _covered_in_groups(dealt, length, gram).unionByName(_covered_by_count(around.where(F.col("kinds") > group_limit), length, gram))
+    found = materialize(found.unionByName(kinds.where("n > 1").where(high >= low).select("anchor", "c", *whole)), "covered")
+
+    begin = F.explode("places").alias("begin")
+    alike = repeated.where("not differ").where(high >= low).select("k1", "k2", begin, *whole)
+    differing = repeated.where("differ").join(found, ["anchor", "c"]).select("k1", "k2", begin, "from", "to")
+    spans = alike.unionByName(differing).select("k1", "k2", F.struct((F.col("begin") + F.col("from")).alias("from"), (F.col("begin") + F.col("to")).alias("to")).alias("span"))
+    merged = materialize(spans.groupBy(*_KEY).agg(F.sort_array(F.collect_set("span")).alias("spans")), "repeated-spans")
+    release(spark)
+    return merged
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
