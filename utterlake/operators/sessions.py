@@ -7,22 +7,25 @@ from pyspark.sql import functions as F
 
 # The state that each event type leads to.
 STATE_OF = {"speech_start": "USER_SPEAKING", "speech_end": "THINKING", "tts_start": "SPEAKING", "reply_done": "LISTENING", "interrupted": "USER_SPEAKING", "error": "LISTENING", "empty": "LISTENING"}
-_ORDER = Window.partitionBy("session").orderBy("ts", "event_id")
+
+
+def _order():
+    return Window.partitionBy("session").orderBy("ts", "event_id")
 
 
 def session_states(events: DataFrame) -> DataFrame:
     """session, ts, event_id, state, dwell_s: a row where the state changes, and how long it stays (NULL for the last)."""
     state = F.create_map(*[F.lit(x) for p in STATE_OF.items() for x in p])[F.col("type")]
     rows = events.withColumn("state", state).where("state is not null")
-    rows = rows.withColumn("__before", F.lag("state").over(_ORDER)).where("__before is null or __before <> state")
-    dwell = F.lead("ts").over(_ORDER).cast("double") - F.col("ts").cast("double")
+    rows = rows.withColumn("__before", F.lag("state").over(_order())).where("__before is null or __before <> state")
+    dwell = F.lead("ts").over(_order()).cast("double") - F.col("ts").cast("double")
     return rows.select("session", "ts", "event_id", "state", dwell.alias("dwell_s"))
 
 
 def replies(events: DataFrame) -> DataFrame:
     """session, start, end: from each speech_end to the next reply_done (open ones have end NULL)."""
     rows = events.where(F.col("type").isin("speech_end", "reply_done"))
-    follow = rows.withColumn("__next", F.lead("type").over(_ORDER)).withColumn("end", F.lead("ts").over(_ORDER))
+    follow = rows.withColumn("__next", F.lead("type").over(_order())).withColumn("end", F.lead("ts").over(_order()))
     return follow.where("type = 'speech_end'").select("session", F.col("ts").alias("start"), F.when(F.col("__next") == "reply_done", F.col("end")).alias("end"))
 
 
@@ -39,7 +42,7 @@ def barge_ins(events: DataFrame, bucket_s: int = 3600) -> DataFrame:
 
 def turn_latency(events: DataFrame) -> DataFrame:
     """session, ts, turnaround_ms: from each speech_end to the first tts_start before the next speech_end."""
-    rows = events.withColumn("turn", F.count_if(F.col("type") == "speech_end").over(_ORDER)).where("turn > 0")
+    rows = events.withColumn("turn", F.count_if(F.col("type") == "speech_end").over(_order())).where("turn > 0")
     found = rows.groupBy("session", "turn").agg(F.min(F.when(F.col("type") == "speech_end", F.col("ts"))).alias("ts"), F.min(F.when(F.col("type") == "tts_start", F.col("ts"))).alias("first"))
     return found.where("first is not null").select("session", "ts", F.round((F.col("first").cast("double") - F.col("ts").cast("double")) * 1000, 3).alias("turnaround_ms"))
 
