@@ -113,13 +113,15 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"))
 
 
-_MARKS = "k1 long, k2 long, anchor long, c long, before int, size int, places array<int>"
+_MARKS = "k1 long, k2 long, anchor long, c long, left int, right int, before int, size int, places array<int>"
 
 
 def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """One row a text, anchor and kind of surroundings: their hash c (which counts for one anchor only), how much of
-    them lies before the anchor, their size, and where in the text they begin. A periodic text has few rows."""
+    them lies before the anchor, their size, and where in the text they begin; left and right are hashes of the anchor
+    with the half window before and after it, 0 at the text's ends. A periodic text has few rows."""
     reach = length - gram
+    half = -(-reach // 2)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,6 +134,12 @@ def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 low, high = np.maximum(at - reach, 0), np.minimum(at + gram + reach, np.diff(offsets)[doc])
                 before, size = at - low, high - low
                 c = mix64(span_hashes(sums, offsets[doc] + low, offsets[doc] + high) + (before * 1024 + 1).astype(np.uint64))
+                sides = []
+                for a, b in ((at - half, at + gram), (at, at + gram + half)):
+                    inside = (a >= 0) & (b <= np.diff(offsets)[doc])
+                    side = np.zeros(len(at), np.uint64)
+                    side[inside] = span_hashes(sums, (offsets[doc] + a)[inside], (offsets[doc] + b)[inside]) >> np.uint64(33) | np.uint64(1)
+                    sides.append(side.astype(np.int32))
                 key = mix64(hashes ^ mix64(c + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
                 order = np.argsort(key, kind="stable")
                 heads = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -139,8 +147,8 @@ def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 places = pa.ListArray.from_arrays(pa.array(np.append(heads, len(key)), pa.int32()), pa.array(low[order], pa.int32()))
                 back = np.argsort(doc[one], kind="stable")  # texts together, for the file's sake
                 one, places = one[back], places.take(pa.array(back))
-                columns = [pa.array(k1[first + doc[one]]), pa.array(k2[first + doc[one]]), pa.array(hashes[one].view(np.int64)), pa.array(c[one].view(np.int64)), pa.array(before[one], pa.int32()), pa.array(size[one], pa.int32()), places]
-                yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "anchor", "c", "before", "size", "places"])
+                columns = [pa.array(k1[first + doc[one]]), pa.array(k2[first + doc[one]]), pa.array(hashes[one].view(np.int64)), pa.array(c[one].view(np.int64)), *(pa.array(side[one]) for side in sides), pa.array(before[one], pa.int32()), pa.array(size[one], pa.int32()), places]
+                yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "anchor", "c", "left", "right", "before", "size", "places"])
 
     return texts.select("k1", "k2", "text").mapInArrow(rows, _MARKS)
 
@@ -257,10 +265,19 @@ def repeated_spans(texts: DataFrame, length: int = 200, gram: int = 16, group_li
     low, high = F.greatest(F.lit(0), F.col("before") + gram - length), F.least(F.col("before"), F.col("size") - length)
     whole = [low.cast("int").alias("from"), (high + length).cast("int").alias("to")]
     # An anchor with one kind of surroundings needs no comparison; one with several does, once for each kind.
-    kinds = repeated.where("differ").groupBy("anchor", "c", "before", "size").agg(F.sum(F.size("places")).alias("n"), F.min(F.struct("k1", "k2", F.col("places")[0].alias("place"))).alias("one"))
+    kinds = repeated.where("differ").groupBy("anchor", "c", "before", "size", "left", "right").agg(F.sum(F.size("places")).alias("n"), F.min(F.struct("k1", "k2", F.col("places")[0].alias("place"))).alias("one"))
     kinds = materialize(kinds, "surroundings")
-    per_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    listed = kinds.join(per_anchor, "anchor").groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("anchor", "c", "before", "size", "n", "kinds", "one.place")).alias("marks"))
+    # A window reaches half its rest or more to the left or to the right of its anchor, so two kinds can share a window
+    # only if they agree on one of these sides.
+    shared = None
+    for side in ("left", "right"):
+        agree = kinds.where(F.col(side) != 0).groupBy("anchor", side).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+        found = kinds.join(agree, ["anchor", side], "left_semi").select("anchor", "c")
+        shared = found if shared is None else shared.union(found)
+    alike_kinds = materialize(kinds.join(shared.distinct(), ["anchor", "c"], "left_semi"), "alike-surroundings")
+    release(spark)
+    per_anchor = alike_kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    listed = alike_kinds.join(per_anchor, "anchor").groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("anchor", "c", "before", "size", "n", "kinds", "one.place")).alias("marks"))
     holder = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))  # one document stands for all copies of a text
     copies = texts.groupBy(*_KEY).agg(F.min(holder).alias("holder"))
     held = texts.withColumn("holder", holder).join(listed.join(copies, _KEY), [*_KEY, "holder"]).select("text", "marks")
