@@ -140,24 +140,25 @@ def _blocks(table: pd.DataFrame, curve: int, part: int, number: int) -> Iterator
 _FOUND = "query_id long, vec_id long, score double"
 
 
-def best_of(query: np.ndarray, ids: np.ndarray, unit: np.ndarray, rough: np.ndarray, k: int) -> list[tuple[int, float]]:
-    """(id, cosine) of the k nearest, ties to the smaller id. ``rough`` comes from a matrix product, whose last bits
-    depend on a row's place; those near the k-th are summed again row by row, so that equal vectors score the same."""
+def best_of(query: np.ndarray, ids: np.ndarray, unit: np.ndarray, rough: np.ndarray, k: int, bound: float | None = None) -> list[tuple[int, float]]:
+    """(id, cosine) of the k nearest, ties to the smaller id; none below ``bound``, the k-th best known already.
+    ``rough`` comes from a matrix product, whose last bits depend on a row's place; those near the k-th are summed again
+    row by row, so that equal vectors score the same."""
+    least = -2.0 if bound is None else bound
     if len(rough) > k:
-        near = np.flatnonzero(rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-12)
-    else:
-        near = np.arange(len(rough))
+        least = max(least, np.partition(rough, len(rough) - k)[len(rough) - k])
+    near = np.flatnonzero(rough >= least - 1e-12)
     scores = (unit[near] * query).sum(1)
     order = np.lexsort((ids[near], -scores))[:k]
     return list(zip(ids[near][order].tolist(), scores[order].tolist(), strict=True))
 
 
 def _search(pairs: DataFrame, blocks: DataFrame, k: int, chunk_rows: int = 256) -> DataFrame:
-    """The best k of each (query, block) pair; pairs: curve, block, query_id, vector. The queries of a block are
+    """The best k of each (query, block) pair; pairs: curve, block, query_id, vector, bound. The queries of a block are
     gathered in chunks of about ``chunk_rows``, so a block that all queries visit is dealt to many tasks."""
     visits = pairs.groupBy("curve", "block").agg(F.ceil(F.count("*") / chunk_rows).alias("chunks"))
     dealt = pairs.join(visits, ["curve", "block"]).withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")))
-    asked = dealt.groupBy("curve", "block", "chunk").agg(F.collect_list(F.struct("query_id", "vector")).alias("queries"))
+    asked = dealt.groupBy("curve", "block", "chunk").agg(F.collect_list(F.struct("query_id", "vector", "bound")).alias("queries"))
     joined = asked.join(blocks.select("curve", "block", "ids", "flat", "width"), ["curve", "block"])
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,7 +169,7 @@ def _search(pairs: DataFrame, blocks: DataFrame, k: int, chunk_rows: int = 256)
                 queries = _unit(np.array([q["vector"] for q in row.queries], np.float64))
                 out = []
                 for q, own, rough in zip(row.queries, queries, queries @ unit.T, strict=True):
-                    out += [(q["query_id"], *found) for found in best_of(own, ids, unit, rough, k)]
+                    out += [(q["query_id"], *found) for found in best_of(own, ids, unit, rough, k, q["bound"])]
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     return joined.select("queries", "ids", "flat", "width").mapInPandas(best, _FOUND)
@@ -207,14 +208,14 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, curves: int = 4, windo
     ranked = materialize(_numbered(blocks.select("curve", "width", "block", "low", "high")), "block-order")
     near = _union(_place(queries.select("query_id", "width", F.col(f"key{c}").alias("key")), ranked.where(F.col("curve") == c), c, window) for c in range(curves))
     near = materialize(near.distinct(), "windows")
-    vectors = queries.select("query_id", "vector")
-    best = materialize(_ranked(_search(near.join(vectors, "query_id"), blocks, k + 1), k + 1), "window-search")
+    unbounded = queries.select("query_id", "vector", F.lit(None).cast("double").alias("bound"))
+    best = materialize(_ranked(_search(near.join(unbounded, "query_id"), blocks, k + 1), k + 1), "window-search")
     if exact:
         # Blocks of the first curve that may hold something nearer than the (k + 1)-th so far.
         bounds = queries.join(best.where(F.col("rank") == k + 1).select("query_id", F.col("score").alias("bound")), "query_id", "left").select("query_id", "vector", "width", "bound")
         visits = _visits(bounds, blocks.where("curve = 0").select("block", "width", "centre", "radius"))
-        rest = visits.join(near.where("curve = 0").select("query_id", "block"), ["query_id", "block"], "left_anti").join(vectors, "query_id")
-        more = _search(rest.select(F.lit(0).alias("curve"), "block", "query_id", "vector"), blocks.where("curve = 0"), k + 1)
+        rest = visits.join(near.where("curve = 0").select("query_id", "block"), ["query_id", "block"], "left_anti").join(bounds.select("query_id", "vector", "bound"), "query_id")
+        more = _search(rest.select(F.lit(0).alias("curve"), "block", "query_id", "vector", "bound"), blocks.where("curve = 0"), k + 1)
         best = _ranked(best.select("query_id", "vec_id", "score").unionByName(more), k + 1)
     found = members.select(F.col("vec_id").alias("member"), "query_id").join(best.select("query_id", "vec_id", "score"), "query_id").where("member <> vec_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
