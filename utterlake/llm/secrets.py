@@ -3,8 +3,8 @@
 Three patterns give the base spans. Two first-order Markov models over the characters of tokens, one of random strings
 and one of ordinary identifiers, add spans: long tokens whose log-likelihood ratio per step speaks for random strings.
 Both are trained on labelled samples taken from the corpus itself: the values that the patterns found are random
-strings, long all-letter words and the numbers of ordinary text are not. The models are two tables of at most 66 x 66
-transitions, so they reach the tasks as literals.
+strings, long all-letter words are ordinary. The models are two tables of at most 68 x 68 entries, so they reach the
+tasks as literals.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ HEX = r"[0-9a-f]{24,}"
 #: Tokens that the models score, and the characters that they know besides begin and end.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: How much of each model comes from its samples, by whether it is the model of random strings.
+_TRUST = {True: 0.5, False: 0.98}
 _SPANS = "array<struct<from:int,to:int,text:string>>"
 
 
@@ -61,8 +63,10 @@ def _steps(token: Column) -> Column:
 
 
 def train_models(scanned: DataFrame) -> dict[str, float]:
-    """The log-likelihood ratio of each transition: random strings over ordinary identifiers, add-one smoothed.
+    """The log-likelihood ratio of each transition: random strings over ordinary identifiers.
 
+    Random strings come in many alphabets, so their model is half its samples and half an even spread over all
+    characters; of the ordinary model a fiftieth is.
     ``scanned`` has random (array of labelled random strings) and plain (array of labelled ordinary tokens).
     Each class counts all its samples over the whole table; the counts are combined map-side.
     """
@@ -70,11 +74,15 @@ def train_models(scanned: DataFrame) -> dict[str, float]:
     counts: dict[bool, dict[str, int]] = {True: {}, False: {}}
     for row in sides[0].unionByName(sides[1]).where(F.col("step").rlike(r"^[\^A-Za-z0-9+/_=-][A-Za-z0-9+/_=$-]$")).collect():  # at most 2 * 67 * 67 rows
         counts[row["random"]][row["step"]] = row["n"]
-    ratio = {}
+    ratio, even = {}, 1 / (len(_ALPHABET) + 1)
+    single = {k: {b: sum(n for step, n in counts[k].items() if step[1] == b) for b in _ALPHABET + "$"} for k in counts}
+    size = {k: sum(single[k].values()) for k in counts}
     for a in "^" + _ALPHABET:
         total = {k: sum(counts[k].get(a + b, 0) for b in _ALPHABET + "$") for k in counts}
         for b in _ALPHABET + "$":
-            p = {k: (counts[k].get(a + b, 0) + 1) / (total[k] + len(_ALPHABET) + 1) for k in counts}
+            # After a character that no sample has, the single characters count; without samples, all alike.
+            own = {k: counts[k].get(a + b, 0) / total[k] if total[k] else single[k][b] / size[k] if size[k] else even for k in counts}
+            p = {k: share * own[k] + (1 - share) * even for k, share in _TRUST.items()}
             ratio[a + b] = math.log(p[True] / p[False])
     return ratio
 
@@ -97,7 +105,7 @@ def _as_kind(spans: Column, kind: str, rank: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["from"].alias("at"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["to"].alias("to")))
 
 
-def find_secrets(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def find_secrets(docs: DataFrame, least: float = 1.0) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_spans, spans of each row, spans as comma-joined kind:start:end.
 
     NULL and empty texts have no spans; repeated and NULL doc_ids are carried as they are; other columns are not read.
