@@ -130,6 +130,45 @@ def test_quality_edge_cases(spark):
     assert quality.keep_good(docs.limit(0), none).count() == 0
 
 
+def test_quality_with_more_partitions_than_labels(spark):
+    docs = spark.createDataFrame([(i, f"Text number {i}. It has words.") for i in range(40)], "doc_id long, text string").repartition(16)
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        assert quality.keep_good(docs, labels).count() == 40
+        model = quality.fit_quality(quality.with_vectors(docs).repartition(16), labels)
+        assert model.mean.shape == (2, len(quality.FEATURES))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def plain_discriminant(train, x, shrink=0.15, ridge=0.02, temperature=3.0):
+    """Class densities by matrix inverses and determinants, row by row."""
+    d = x.shape[1]
+    groups = [np.array([v for v, y in train if y == k]) for k in (0, 1)]
+    pooled = sum((len(g) - 1) * np.cov(g.T) for g in groups) / (len(train) - 2)
+    logs = []
+    for g in groups:
+        w = shrink + (1 - shrink) * d / (d + len(g))
+        cov = (1 - w) * np.cov(g.T) + w * pooled
+        cov = cov + ridge * (np.trace(cov) / d + 1e-3) * np.eye(d)
+        diff = x - g.mean(0)
+        logs.append((-0.5 * np.einsum("ij,jk,ik->i", diff, np.linalg.inv(cov), diff) - 0.5 * np.log(np.linalg.det(cov))) / temperature + np.log(len(g) / len(train)))
+    return 1 / (1 + np.exp(logs[0] - logs[1]))
+
+
+def test_quality_equals_a_plain_discriminant(spark):
+    path = "/root/testdata/sf0.01"
+    vectors = {r.doc_id: np.array(r.vector, float) for r in quality.with_vectors(spark.read.parquet(f"{path}/documents.parquet")).collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    train = [(vectors[i], y) for i, y in labels.items() if zlib.crc32(str(i).encode()) % 5]
+    ids = sorted(vectors)
+    want = plain_discriminant(train, np.stack([vectors[i] for i in ids]))
+    got = {r.doc_id: r.score for r in quality.op6_quality_classifier(spark, path).collect()}
+    assert np.allclose([got[i] for i in ids], want, atol=1e-6)
+
+
 def test_kneser_ney(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice("the a Cat dog sat ran É x y z".split()) for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(90, None), (91, "unseen\tWords\x0bhere")]

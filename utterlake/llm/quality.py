@@ -189,7 +189,8 @@ def fit_quality(vectors: DataFrame, labels: DataFrame, folds: int = 5) -> Quadra
                 x = np.stack(rows["vector"].to_numpy()).astype(float)
                 now = held.setdefault(int(y), [0, 0, 0])
                 held[int(y)] = [now[0] + len(x), now[1] + x.sum(0), now[2] + x.T @ x]
-        yield pd.DataFrame({"y": list(held), "n": [float(v[0]) for v in held.values()], "s": [v[1].tolist() for v in held.values()], "o": [v[2].ravel().tolist() for v in held.values()]})
+        for y, (n, total, outer) in held.items():  # a partition without labelled rows has nothing to send
+            yield pd.DataFrame({"y": [y], "n": [float(n)], "s": [total.tolist()], "o": [outer.ravel().tolist()]})
 
     parts = vectors.join(usable, "doc_id").mapInPandas(partial, "y int, n double, s array<double>, o array<double>")
     d = len(FEATURES)
