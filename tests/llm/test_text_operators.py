@@ -54,6 +54,12 @@ def test_line_dedup_empty_and_clashing_columns(spark):
     assert line_dedup.dedup_lines(docs(spark, []).withColumnRenamed("lang", "h1")).count() == 0
     got = line_dedup.dedup_lines(docs(spark, [(1, LONG)]).withColumnRenamed("lang", "h1").withColumnRenamed("source", "keeper"))
     assert got.collect()[0].text == LONG
+    for names in (["n_lines", "n_dropped"], ["__dropped_keys", "__of"], ["__DROPPED_KEYS", "h2"]):
+        clashing = docs(spark, [(i, LONG) for i in range(6)]).withColumnRenamed("lang", names[0]).withColumnRenamed("source", names[1])
+        rows = line_dedup.dedup_lines(clashing).orderBy("doc_id").collect()
+        assert [r.text for r in rows] == [""] * 5 + [LONG] and [r.n_dropped for r in rows] == [1] * 5 + [0]
+        plain = line_dedup.dedup_lines(clashing, counts=None)
+        assert plain.columns == clashing.columns and {r[names[0]] for r in plain.collect()} == {"en"}
 
 
 def test_runs_are_compacted(spark):

@@ -47,6 +47,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name`` with as many underscores before it as no column of that name needs."""
+    taken, name = {c.lower() for c in columns}, f"__{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc32_mod(column, modulus: int):
     """crc32 of the decimal text of a column, modulo ``modulus``; NULL counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus

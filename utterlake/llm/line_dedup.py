@@ -20,11 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import materialize
+from ._shared import free_name, materialize
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _KEYS = "doc_id long, h1 long, h2 long"
-_DROP = "__dropped_line_keys"
 
 
 def _key(line: bytes) -> bytes:
@@ -121,23 +120,28 @@ def repeated_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batc
     return keys, merged.where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches: int = 4, fanout: int = 2) -> DataFrame:
-    """``docs`` without repeated lines, with ``n_lines`` (before) and ``n_dropped`` added.
+def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches: int = 4, fanout: int = 2, counts: tuple[str, str] | None = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` without repeated lines, with ``n_lines`` (before) and ``n_dropped`` added under the names ``counts``; a
+    column of ``docs`` by such a name is replaced. Without ``counts`` nothing is added.
 
     A key of ``min_chars`` code points or more that at least ``min_docs`` documents hold loses all its lines except
     those in the largest doc_id holding it. A NULL text is one empty line and becomes ''. Rows that repeat a doc_id
     are one document for counting, and each of them is rewritten. Rows whose doc_id is NULL have no place in the
-    order: they are not counted and stay whole. Empty tables give empty results; other columns pass unchanged.
+    order: they are not counted and stay whole. Of copies of a line within the keeper all stay. A text of any length is
+    one row. Empty tables give empty results; other columns pass unchanged, whatever their names.
     """
+    if counts:
+        docs = docs.drop(*counts)
+    marker, owner = free_name(docs.columns, "dropped_keys"), free_name(docs.columns, "of")
     keys, repeated = repeated_lines(docs, min_docs, min_chars, batches, fanout)
-    drops = keys.join(repeated, ["h1", "h2"]).where("doc_id <> keeper").groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set(F.struct("h1", "h2")).alias(_DROP))
-    joined = docs.join(drops, docs["doc_id"].cast("long") == drops["__of"], "left").drop("__of")
-    kept = T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    drops = keys.join(repeated, ["h1", "h2"]).where("doc_id <> keeper").groupBy(F.col("doc_id").alias(owner)).agg(F.collect_set(F.struct("h1", "h2")).alias(marker))
+    joined = docs.join(drops, docs["doc_id"].cast("long") == drops[owner], "left").drop(owner)
+    kept = T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema] + [T.StructField(name, T.LongType()) for name in counts or ()])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
-            for text, drop in zip(batch["text"].cast(pa.binary()), batch[_DROP], strict=True):
+            for text, drop in zip(batch["text"].cast(pa.binary()), batch[marker], strict=True):
                 lines = (text.as_py() or b"").split(b"\n")
                 n_lines.append(len(lines))
                 if drop.is_valid:
@@ -145,8 +149,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches
                     lines = [x for x in lines if not (_is_long(k := _key(x), min_chars) and _hash(k) in gone)]
                 n_dropped.append(n_lines[-1] - len(lines))
                 texts.append(b"\n".join(lines))
-            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if name == "text" else batch[name] for name in batch.schema.names if name != _DROP]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [f.name for f in kept])
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if name == "text" else batch[name] for name in batch.schema.names if name != marker]
+            added = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())] if counts else []
+            yield pa.RecordBatch.from_arrays([*columns, *added], [f.name for f in kept])
 
     return joined.mapInArrow(rewrite, kept)
 
