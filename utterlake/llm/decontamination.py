@@ -2,21 +2,22 @@
 
 Every window of ``window`` consecutive item words is asked for by its two rarest terms in the training data. The index
 holds the positions of these terms in all documents, sorted by term, and with a rarest term the words around it. The
-lists of the two terms are shifted by the terms' offsets in the item and intersected; what is left is compared word by
-word around the rarest term, and runs of ``window`` equal words or more are exact phrase matches: a run of that length
-within reach of the term always holds it. Only rare terms are looked up, so a frequent word costs nothing unless a
-window consists of frequent words. Proximity matches (a window's two rarest terms near each other without the phrase)
-come from the same lists.
+lists of the two terms are shifted by the terms' offsets in the item and intersected by grouping on the shift; what is
+left is compared word by word around the rarest term, and runs of ``window`` equal words or more are exact phrase
+matches: a run of that length within reach of the term always holds it. Only rare terms are looked up, so a frequent
+word costs nothing unless a window consists of frequent words. Proximity matches (a window's two rarest terms near each
+other without the phrase) come from the same lists. No list grows with a text: a group is one place of an item.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import materialize
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+RUNS = "array<struct<from:int,to:int>>"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,106 +44,140 @@ def item_anchors(items: DataFrame, frequency: DataFrame, window: int) -> DataFra
     return items.join(lists, "item_key").withColumn("anchors", F.array_distinct(F.transform(starts, rarest))).withColumn("width", width).drop("rated")
 
 
-def exact_runs(flags: Column, width: Column) -> Column:
-    """Runs of at least ``width`` true entries, as structs (from, to), to exclusive."""
-    bounds = F.filter(
-        F.transform(F.sequence(F.lit(0), F.size(flags)), lambda i: F.struct(i.alias("at"), F.coalesce(F.get(flags, i), F.lit(False)).alias("now"), F.when(i == 0, False).otherwise(F.coalesce(F.get(flags, i - 1), F.lit(False))).alias("before"))),
-        lambda x: x["now"] != x["before"],
-    )
-    pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size(bounds) - 2) / 2).cast("int")), lambda j: F.struct(F.get(bounds, 2 * j)["at"].alias("from"), F.get(bounds, 2 * j + 1)["at"].alias("to")))
-    return F.filter(F.when(F.size(bounds) >= 2, pairs).otherwise(F.array().cast("array<struct<from:int,to:int>>")), lambda r: r["to"] - r["from"] >= width)
+def runs_of(equal, first: int, last: int, width: Column) -> Column:
+    """The runs of at least ``width`` consecutive numbers from ``first`` to ``last`` for which ``equal`` holds, as structs
+    (from, to), to exclusive; each number is looked at once."""
+    start = F.struct(F.lit(0).alias("n"), F.array().cast(RUNS).alias("runs"))
+    ended = lambda acc, at: F.when(acc["n"] >= width, F.concat(acc["runs"], F.array(F.struct((at - acc["n"]).alias("from"), at.alias("to"))))).otherwise(acc["runs"])
+    step = lambda acc, d: F.when(equal(d), F.struct((acc["n"] + 1).alias("n"), acc["runs"].alias("runs"))).otherwise(F.struct(F.lit(0).alias("n"), ended(acc, d).alias("runs")))
+    return F.aggregate(F.sequence(F.lit(first), F.lit(last)), start, step, lambda acc: ended(acc, F.lit(last + 1)))
 
 
-def covered(intervals: Column) -> Column:
-    """How many positions the union of intervals (from, to) covers; ``intervals`` is sorted."""
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end"))
-    step = lambda acc, x: F.struct(
-        (acc["n"] + F.greatest(F.lit(0).cast("long"), x["to"].cast("long") - F.greatest(acc["end"], x["from"].cast("long")))).alias("n"), F.greatest(acc["end"], x["to"].cast("long")).alias("end")
-    )
-    return F.aggregate(intervals, start, step, lambda acc: acc["n"])
+def with_words(docs: DataFrame) -> DataFrame:
+    """row_id, doc_id, n_words and the words of each row, joined by single spaces, as a table in the shared folder: texts
+    are cut by the pattern once, and later reads split at spaces only. ``row_id`` tells rows apart that repeat a doc_id."""
+    found = docs.select("doc_id", words(F.col("text")).alias("w"))
+    rows = found.select("doc_id", F.size("w").cast("long").alias("n_words"), F.array_join("w", " ").alias("body"))
+    return materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "tokens")
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 13, near: int = 13) -> tuple[DataFrame, DataFrame]:
-    """The exact and proximity matches of each document and item, and the word count of all documents.
+def body_words(body: Column) -> Column:
+    """The words of a joined text; of an empty one none."""
+    return F.when(body != "", F.split(body, " ")).otherwise(F.array().cast("array<string>"))
 
-    First result: row_id, item_id, runs (document positions of exact matches, to exclusive), near (the two rarest terms
-    of a window come within ``near`` words of their distance in the item, with or without a phrase). Second: row_id,
-    doc_id, n_words. ``row_id`` tells rows apart that repeat a doc_id. NULL texts have no words; items without words,
-    and repeats of an item row, add nothing.
+
+def positional_index(tokens: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """The postings term, row_id, pos of the wanted terms, in the order of terms; those of terms that may begin a lookup
+    carry the words around them (at most ``2 * window - 1``)."""
+    terms = wanted.groupBy("term").agg(F.max("first").alias("first"))
+    left = F.least(F.col("pos"), F.lit(window - 1))
+    around = F.when(F.col("first"), F.slice("words", F.col("pos") - left + 1, left + window))
+    placed = tokens.select("row_id", body_words(F.col("body")).alias("words")).select("row_id", "words", F.posexplode("words").alias("pos", "term"))
+    index = placed.join(terms, "term").select("term", "row_id", "pos", around.alias("around"))
+    return materialize(index.repartition("term", "row_id").sortWithinPartitions("term", "row_id", "pos"), "positional-index")
+
+
+def phrase_matches(tokens: DataFrame, items: DataFrame, window: int = 13, near: int = 13) -> DataFrame:
+    """row_id, item_id, runs, near: the exact and proximity matches of each row of ``tokens`` and each item.
+
+    ``runs`` are the row's word positions of an exact match (to exclusive), one row a place of the item in the text;
+    ``near`` tells that the two rarest terms of a window come within ``near`` words of their distance in the item, with
+    or without a phrase, and stands in a row of its own. Items without words, and repeats of an item row, add nothing.
     """
-    tokens = materialize(docs.select("doc_id", words(F.col("text")).alias("words")).withColumn("row_id", F.monotonically_increasing_id()), "tokens")
     asked = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("item_words")).where("size(item_words) > 0").distinct()
     asked = materialize(asked.withColumn("item_key", F.xxhash64("item_id", F.concat_ws(" ", "item_words"))), "items")
     keyed = asked.select("item_key", "item_words")
 
     vocabulary = keyed.select(F.explode("item_words").alias("term")).distinct()
-    frequency = tokens.select(F.explode("words").alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    frequency = tokens.select(F.explode(body_words(F.col("body"))).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     anchors = materialize(item_anchors(keyed, materialize(frequency, "term-frequency"), window), "anchors")
     pairs = anchors.select("item_key", "item_words", F.explode("anchors").alias("a"))
-    pairs = pairs.select("item_key", "item_words", F.explode(F.array(F.struct(F.col("a.first").alias("offset"), F.lit(True).alias("first")), F.struct(F.col("a.second").alias("offset"), F.lit(False).alias("first")))).alias("p"))
-    wanted = pairs.where("p.offset is not null").groupBy("item_key", "p.offset", F.element_at("item_words", F.col("p.offset") + 1).alias("term")).agg(F.max("p.first").alias("first"))
+    ends = F.array(F.struct(F.col("a.first").alias("offset"), F.lit(True).alias("first")), F.struct(F.col("a.second").alias("offset"), F.lit(False).alias("first")))
+    wanted = pairs.select("item_key", "item_words", F.explode(ends).alias("p")).where("p.offset is not null")
+    wanted = wanted.groupBy("item_key", "p.offset", F.element_at("item_words", F.col("p.offset") + 1).alias("term")).agg(F.max("p.first").alias("first"))
     wanted = materialize(wanted, "wanted-terms")
+    index = positional_index(tokens, wanted, window)
 
-    # The index: the positions of the wanted terms; those that may begin a lookup carry the words around them.
-    terms = wanted.groupBy("term").agg(F.max("first").alias("first"))
-    reach = window - 1
-    left = F.least(F.col("pos"), F.lit(reach))
-    around = F.when(F.col("first"), F.slice("words", F.col("pos") - left + 1, left + window))
-    index = tokens.select("row_id", "words", F.posexplode("words").alias("pos", "term")).join(terms, "term").select("term", "row_id", "pos", around.alias("around"))
-    index = materialize(index.repartition("term", "row_id").sortWithinPartitions("term", "row_id", "pos"), "positional-index")
-
+    # Every list is shifted by its term's offset in the item; one shuffle by item and row serves all that follows.
     hits = index.join(wanted, "term").select("item_key", "row_id", "offset", (F.col("pos") - F.col("offset")).alias("shift"), F.when(wanted["first"], F.col("around")).alias("around"))
-    lists = hits.groupBy("item_key", "row_id").agg(F.collect_list(F.struct("shift", "offset", "around")).alias("found"))
-    found = lists.join(anchors, "item_key")
-    second_at = lambda a, x: F.exists("found", lambda y: (y["offset"] == a["second"]) & (y["shift"] == x["shift"]))
-    # Intersected lists: a window's rarest term where its second rarest, if it has one, stands at the same shift.
-    both = F.flatten(F.transform("anchors", lambda a: F.filter("found", lambda x: (x["offset"] == a["first"]) & (a["second"].isNull() | second_at(a, x)))))
-    close = F.exists("anchors", lambda a: F.exists("found", lambda x: (x["offset"] == a["first"]) & F.exists("found", lambda y: (y["offset"] == a["second"]) & (F.abs(y["shift"] - x["shift"]) <= near))))
-    candidates = found.select("item_key", "row_id", "item_words", "width", both.alias("both"), close.alias("near")).where("near or size(both) > 0")
+    hits = hits.repartition("item_key", "row_id")
+    # The lists intersected: what stands at one shift, which is never more than the item has words.
+    here = F.struct("offset", "around")
+    at_shift = hits.groupBy("item_key", "row_id", "shift").agg(F.count("*").alias("n"), F.collect_list(here).alias("found")).join(anchors, "item_key")
+    offsets = F.transform("found", lambda x: x["offset"])
+    whole = F.filter("anchors", lambda a: F.array_contains(offsets, a["first"]) & (a["second"].isNull() | F.array_contains(offsets, a["second"])))
+    beginning = F.filter("found", lambda x: x["around"].isNotNull() & F.exists("whole", lambda a: a["first"] == x["offset"]))
+    both = at_shift.where("n > 1 or exists(anchors, a -> a.second is null)").withColumn("whole", whole).where("size(whole) > 0").withColumn("both", beginning)
+    reach = window - 1
 
     def exact(x: Column) -> Column:
         """The runs of equal words around the rarest term, as positions of the document."""
-        pos, before = x["shift"] + x["offset"], F.least(x["shift"] + x["offset"], F.lit(reach))
+        pos, before = F.col("shift") + x["offset"], F.least(F.col("shift") + x["offset"], F.lit(reach))
 
         def equal(d: Column) -> Column:
             mine, theirs = x["offset"] + d, before + d
             return F.coalesce(F.get("item_words", F.when(mine >= 0, mine)) == F.get(x["around"], F.when(theirs >= 0, theirs)), F.lit(False))
 
-        flags = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), equal)
-        return F.transform(exact_runs(flags, F.col("width")), lambda r: F.struct((r["from"] + pos - reach).alias("from"), (r["to"] + pos - reach).alias("to")))
+        return F.transform(runs_of(equal, -reach, reach, F.col("width")), lambda r: F.struct((r["from"] + pos).alias("from"), (r["to"] + pos).alias("to")))
 
-    matches = candidates.select("item_key", "row_id", F.flatten(F.transform("both", exact)).alias("runs"), "near").where("near or size(runs) > 0")
-    matches = matches.join(asked.select("item_key", "item_id"), "item_key").drop("item_key")
-    return matches, tokens.select("row_id", "doc_id", F.size("words").cast("long").alias("n_words"))
+    runs = F.array_distinct(F.flatten(F.transform("both", exact)))
+    phrases = both.select("item_key", "row_id", runs.alias("runs"), F.lit(False).alias("near")).where("size(runs) > 0")
+
+    # Proximity: of the places of a window's two rarest terms, in the order of their shifts, each sees the last one of
+    # the other term before it; so the nearest pair is found in one pass.
+    sides = pairs.where("a.second is not null").select("item_key", "a.first", "a.second", F.explode(F.array(F.struct(F.col("a.first").alias("offset"), F.lit(True).alias("rarest")), F.struct(F.col("a.second").alias("offset"), F.lit(False).alias("rarest")))).alias("s"))
+    sides = sides.select("item_key", "first", "second", "s.offset", "s.rarest")
+    line = Window.partitionBy("item_key", "row_id", "first", "second").orderBy("shift").rowsBetween(Window.unboundedPreceding, 0)
+    other = lambda rarest: F.last(F.when(F.col("rarest") == rarest, F.col("shift")), ignorenulls=True).over(line)
+    seen = hits.select("item_key", "row_id", "offset", "shift").join(sides, ["item_key", "offset"])
+    seen = seen.withColumn("gap", F.col("shift") - F.when(F.col("rarest"), other(False)).otherwise(other(True)))
+    close = seen.where(F.col("gap") <= near).select("item_key", "row_id").distinct().select("item_key", "row_id", F.array().cast(RUNS).alias("runs"), F.lit(True).alias("near"))
+    return phrases.unionByName(close).join(asked.select("item_key", "item_id"), "item_key").drop("item_key")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, row_id.
 
     Contaminated: some word is hit and 1 in ``share`` words or more are. n_near counts items with a proximity match
-    only. NULL and empty texts have no words and are clean; empty tables give empty results or clean documents.
+    only. NULL and empty texts have no words and are clean; rows that repeat a doc_id, or have none, are judged each for
+    itself; of equally rare terms the earlier is looked up; a text of any length is cut into postings, so very long
+    ones make longer lists but no larger rows; other columns are not read; empty tables give empty results or clean
+    documents.
     """
-    matches, counted = phrase_matches(docs, items, window)
+    tokens = with_words(docs)
+    matches = phrase_matches(tokens, items, window)
     exact = F.size("runs") > 0
-    per_row = matches.groupBy("row_id").agg(
-        F.sort_array(F.flatten(F.collect_list("runs"))).alias("runs"),
-        F.sort_array(F.collect_set(F.when(exact, F.col("item_id")))).alias("ids"),
-        F.count_if(F.col("near") & ~exact).alias("n_near"),
-    )
-    per_row = per_row.select("row_id", covered(F.col("runs")).alias("n_hit"), "ids", "n_near")
+    # First item by item, so that what an item adds to a row is small whatever the length of the text.
+    per_item = matches.groupBy("row_id", "item_id").agg(F.max("near").alias("near"), F.max(exact).alias("exact"))
+    named = per_item.groupBy("row_id").agg(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("item_id")))).alias("ids"), F.count_if(F.col("near") & ~F.col("exact")).alias("n_near"))
+    # Word positions that are hit, each counted once: spans in order, each adds what lies beyond all before it.
+    spans = matches.select("row_id", F.explode("runs").alias("r")).select("row_id", "r.from", "r.to").distinct()
+    before = F.coalesce(F.max("to").over(Window.partitionBy("row_id").orderBy("from", "to").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hit = spans.withColumn("fresh", F.greatest(F.lit(0), F.col("to") - F.greatest("from", before))).groupBy("row_id").agg(F.sum("fresh").alias("n_hit"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return counted.join(per_row, "row_id", "left").select(
+    return tokens.select("row_id", "doc_id", "n_words").join(named, "row_id", "left").join(hit, "row_id", "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "row_id",
     )
 
 
+def _text_key(text: Column) -> list[Column]:
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(text), F.xxhash64(F.lit(7), text)]
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """``docs`` without contaminated rows. A doc_id that rows repeat goes if any of its rows is contaminated; rows
-    without a doc_id stay."""
-    gone = contamination(docs, items, window, share).where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """``docs`` without contaminated rows; all columns unchanged, whatever their names.
+
+    A row is judged by its text alone, so rows that repeat a doc_id or have none are kept or go each for itself, and
+    equal texts share a verdict (they are told apart by 128 bits of hash). NULL and empty texts stay.
+    """
+    keyed = docs.select(F.struct(*_text_key(F.col("text"))).alias("doc_id"), F.col("text"))
+    gone = contamination(keyed, items, window, share).where("contaminated").select("doc_id.*").distinct().toDF("h1", "h2")
+    gone = materialize(gone, "contaminated")
+    h1, h2 = _text_key(docs["text"])
+    return docs.join(gone, (h1 == gone["h1"]) & (h2 == gone["h2"]), "left_anti")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
