@@ -204,6 +204,52 @@ def test_secrets(spark):
     assert all(r.spans == r.base_spans for r in got if r.doc_id != 103)
 
 
+def plain_ratio(random_tokens, plain_tokens):
+    """Transition ratios by plain counting, as train_models states them."""
+    alphabet, even = secrets._ALPHABET, 1 / (len(secrets._ALPHABET) + 1)
+    sides = []
+    for tokens in (random_tokens, plain_tokens):
+        steps = Counter(x for t in tokens for x in zip("^" + t, t + "$", strict=True) if set(x) <= set("^$" + alphabet))
+        sides.append((steps, Counter(b for a, b in steps.elements()), Counter(a for a, b in steps.elements()), sum(steps.values())))
+
+    def p(side, share, a, b):
+        steps, single, total, size = side
+        own = steps[a, b] / total[a] if total[a] else single[b] / size if size else even
+        return share * own + (1 - share) * even
+
+    return lambda a, b: np.log(p(sides[0], 0.5, a, b) / p(sides[1], 0.98, a, b))
+
+
+def test_markov_spans_equal_a_plain_likelihood_ratio(spark):
+    rng = random.Random(16)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    made = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    rows = [(i, f"key {made(rng.randint(20, 40))} of someordinaryidentifiername{i} token={made(24)} and path_to_the_file_number_{i}") for i in range(60)]
+    text = " ".join(t for _, t in rows)
+    samples = [m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= 16] + re.findall("[0-9a-f]{24,}", text)
+    ratio = plain_ratio(samples, re.findall("[A-Za-z_]{16,}", text))
+    got = {r.doc_id: r for r in secrets.find_secrets(docs(spark, rows)).collect()}
+    for i, t in rows:
+        base = [tuple(map(int, x.split(":")[1:])) for x in brute_spans(t).split(",") if x]
+        want = []
+        for m in re.finditer(secrets.CANDIDATE, t):
+            steps = [ratio(a, b) for a, b in zip("^" + m[0], m[0] + "$", strict=True)]
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and np.mean(steps) >= 1.0 and all(m.end() <= a or b <= m.start() for a, b in base):
+                want.append(f"markov:{m.start()}:{m.end()}")
+        assert [x for x in got[i].spans.split(",") if x.startswith("markov")] == want
+    assert sum("markov" in r.spans for r in got.values()) > 30
+
+
+def test_secrets_of_a_very_long_text(spark):
+    rng = random.Random(7)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(24 + i % 9)) for i in range(20_000)]
+    text = " ".join(h if i % 3 else f"token={h}" for i, h in enumerate(hexes))
+    began = time.time()
+    got = secrets.find_secrets(docs(spark, [(1, text), (2, "x")]).withColumnRenamed("lang", "candidates").withColumnRenamed("source", "assign")).orderBy("doc_id").collect()
+    assert got[0].base_spans == brute_spans(text) and got[0].spans == got[0].base_spans
+    assert time.time() - began < 60
+
+
 def test_secrets_without_samples(spark):
     assert secrets.find_secrets(docs(spark, [])).count() == 0
     assert secrets.find_secrets(docs(spark, [(1, "plain")])).collect()[0].spans == ""

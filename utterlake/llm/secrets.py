@@ -9,6 +9,7 @@ tasks as literals.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,23 +28,47 @@ _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-
 #: How much of each model comes from its samples, by whether it is the model of random strings.
 _TRUST = {True: 0.5, False: 0.98}
 _SPANS = "array<struct<from:int,to:int,text:string>>"
+_BLOCK = 256
+_FAR = 2**31 - 1
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it: lambdas compute what they name
+    anew for every element, unless it is bound to a variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def before_each(values: Column, zero: int, join) -> Column:
+    """What ``join`` (associative, of two integers) makes of all values before each one, from ``zero``. The array is
+    cut into blocks, so the work for n values grows as n times the square root of n and not as its square."""
+    listed = lambda acc, x: F.struct(join(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out"))
+    scan = lambda array: F.aggregate(array, F.struct(F.lit(zero).alias("now"), F.array().cast("array<int>").alias("out")), listed)
+    shifted = lambda b, first: F.transform(b["out"], lambda x: join(first, x))
+    merged = lambda blocks: F.flatten(F.zip_with(blocks, scan(F.transform(blocks, lambda b: b["now"]))["out"], shifted))
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int")), lambda i: scan(F.slice(v, i * _BLOCK + 1, F.lit(_BLOCK))))
+    return let(values, lambda v: F.when(F.size(v) <= _BLOCK, scan(v)["out"]).otherwise(let(cut(v), merged)))
 
 
 def located(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches of a pattern as structs (from, to, text), in code points: the text is
     split at the matches, and the lengths of pieces and matches are added up."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.transform(F.split(text, pattern, -1), F.char_length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+    sizes = lambda piece, m: F.struct(F.char_length(piece).alias("gap"), F.char_length(m).alias("size"), m.alias("m"))
+    steps = F.filter(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), sizes), lambda x: x["m"].isNotNull())
+    starts = lambda s: before_each(F.transform(s, lambda x: x["gap"] + x["size"]), 0, lambda x, y: x + y)
+    span = lambda x, at: F.struct((at + x["gap"]).alias("from"), (at + x["gap"] + x["size"]).alias("to"), x["m"].alias("text"))
+    return F.when(text.rlike(pattern), let(steps, lambda s: F.zip_with(s, starts(s), span))).otherwise(F.array().cast(_SPANS))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.char_length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(begin.alias("from"), end.alias("to"), x["m"].alias("text")))).alias("spans"))
 
-    steps = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
-    spans = F.aggregate(steps, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPANS))
+def apart(spans: Column, taken: Column) -> Column:
+    """The spans that overlap no taken one: all are put in order; a span must begin at or after the largest end of the
+    taken ones before it, and end at or before the smallest begin of those after it."""
+    mark = lambda is_taken: lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"), F.lit(is_taken).alias("taken"), x["text"].alias("text"))
+    ends = lambda v: before_each(F.transform(v, lambda x: F.when(x["taken"], x["to"]).otherwise(-1)), -1, F.greatest)
+    begins = lambda v: F.reverse(before_each(F.reverse(F.transform(v, lambda x: F.when(x["taken"], x["from"]).otherwise(_FAR))), _FAR, F.least))
+    near = lambda v: F.zip_with(ends(v), begins(v), lambda end, begin: F.struct(end.alias("end"), begin.alias("begin")))
+    free = lambda x, n: F.when(~x["taken"] & (n["end"] <= x["from"]) & (n["begin"] >= x["to"]), F.struct(x["from"], x["to"], x["text"]))
+    kept = let(F.array_sort(F.concat(F.transform(taken, mark(True)), F.transform(spans, mark(False)))), lambda v: F.filter(F.zip_with(v, near(v), free), lambda x: x.isNotNull()))
+    return F.when(F.size(taken) > 0, kept).otherwise(spans)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -87,13 +112,25 @@ def train_models(scanned: DataFrame) -> dict[str, float]:
     return ratio
 
 
-def random_spans(candidates: Column, ratio: dict[str, float], taken: Column, least: float) -> Column:
-    """Candidate tokens with a mean ratio of ``least`` or more, letters and digits both, that touch no base span."""
-    table = F.map_from_arrays(F.array(*[F.lit(k) for k in ratio]), F.array(*[F.lit(v) for v in ratio.values()]))
-    mean = lambda s: F.aggregate(_steps(s["text"]), F.lit(0.0), lambda acc, x: acc + F.coalesce(table[x], F.lit(0.0))) / (F.char_length(s["text"]) + 1)
-    mixed = lambda s: s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]")
-    free = lambda s: ~F.exists(taken, lambda t: (t["from"] < s["to"]) & (s["from"] < t["to"]))
-    return F.filter(candidates, lambda s: mixed(s) & free(s) & (mean(s) >= least))
+def _table(values: list[float | int], kind: str) -> Column:
+    """An array constant; as JSON it is one expression, which Spark folds, however many values it has."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def random_spans(candidates: Column, ratio: dict[str, float], least: float) -> Column:
+    """Candidate tokens with a mean ratio of ``least`` or more per transition, and letters and digits both. The ratios
+    are looked up by the places of the two characters in the alphabet."""
+    marks = "^" + _ALPHABET + "$"
+    place = _table([marks.find(chr(code)) for code in range(128)], "int")
+    table = _table([ratio.get(a + b, 0.0) for a in marks for b in marks], "double")
+    code = lambda marked, i: F.get(place, F.ascii(F.substring(marked, i, F.lit(1))))
+
+    def mean(token: Column) -> Column:
+        total = lambda marked: F.aggregate(F.sequence(F.lit(1), F.char_length(marked) - 1), F.lit(0.0), lambda acc, i: acc + F.get(table, code(marked, i) * len(marks) + code(marked, i + 1)))
+        return let(F.concat(F.lit("^"), token, F.lit("$")), total) / (F.char_length(token) + 1)
+
+    mixed = lambda token: token.rlike("[0-9]") & token.rlike("[A-Za-z]")
+    return F.filter(candidates, lambda s: mixed(s["text"]) & (mean(s["text"]) >= least))
 
 
 def _listed(spans: Column) -> Column:
@@ -108,7 +145,9 @@ def _as_kind(spans: Column, kind: str, rank: int) -> Column:
 def find_secrets(docs: DataFrame, least: float = 1.0) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_spans, spans of each row, spans as comma-joined kind:start:end.
 
-    NULL and empty texts have no spans; repeated and NULL doc_ids are carried as they are; other columns are not read.
+    NULL and empty texts have no spans; repeated and NULL doc_ids are carried as they are; other columns are not read;
+    an empty table gives an empty result. Of spans that begin together the kind listed first comes first. A text of any
+    length and number of matches is one row, whose spans are found in nearly linear time.
     Added spans have the kind markov, which comes after the base kinds. Without any labelled sample the models are
     equal and add nothing.
     """
@@ -123,7 +162,7 @@ def find_secrets(docs: DataFrame, least: float = 1.0) -> DataFrame:
     )
     ratio = train_models(found.select(F.filter(values, lambda v: F.char_length(v) >= 16).alias("random"), "plain"))
     taken = F.concat("assign", "access", "hex")
-    added = random_spans(F.col("candidates"), ratio, taken, least)
+    added = random_spans(apart(F.col("candidates"), taken), ratio, least)
     base = F.concat(*[_as_kind(F.col(k), k, i) for i, k in enumerate(KINDS)])
     return found.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], _listed(base).alias("base_spans"), _listed(F.concat(base, _as_kind(added, "markov", len(KINDS)))).alias("spans")
