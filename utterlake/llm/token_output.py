@@ -25,11 +25,11 @@ from ._shared import materialize
 from .tokens import encoder, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
-BLOCK = 4096
+BLOCK = 2048
 #: Tokens after which a segment is closed at the end of a document.
-SEGMENT = 1 << 23
+SEGMENT = 1 << 22
 _MAGIC = b"CMRC1\0\0\0"
-_SLOTS = 1 << 11  # of each block's context tables
+_SLOTS = 1 << 10  # of each block's context tables
 _TOTAL, _ZERO = 16, 13  # bits of the coder's total and of order 0's total
 _TOP = 1 << 32
 _CARRY = 1 << 48
@@ -189,24 +189,31 @@ def encode_blocks(ranks: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         digits[:, :-1] += carry[:, 1:]
     used -= np.arange(lanes) * width
     codes = [digits[i, : used[i]].astype("<u2").tobytes() for i in range(lanes)]
-    return codes, [_plain_bits(grid[:, i], by_zero[:, i]) for i in range(lanes)]
-
-
-def _plain_bits(ranks: np.ndarray, by_zero: np.ndarray) -> bytes:
-    """The places within their ranges of the ranks that order 0 coded, most significant bit first."""
-    ranks = ranks[by_zero]
-    kind = _RANGE_OF[ranks]
-    bits = _BITS[kind]
-    used = bits > 0
-    bits, place = bits[used], (ranks - _FIRST[kind])[used]
-    begin = np.cumsum(bits) - bits
-    out = np.zeros(int(bits.sum()), np.uint8)
+    return codes, [x for a in range(0, lanes, 64) for x in _plain_bits(grid[:, a : a + 64], kinds[:, a : a + 64], by_zero[:, a : a + 64])]
+
+
+def _plain_bits(grid: np.ndarray, kinds: np.ndarray, by_zero: np.ndarray) -> list[bytes]:
+    """For each lane (column), the places within their ranges of the ranks that order 0 coded, most significant bit
+    first, from a byte's border on. Lanes are laid out one behind the other, so all bits are set together."""
+    lanes = grid.shape[1]
+    kinds = np.ascontiguousarray(kinds.T).ravel()
+    at = np.flatnonzero((_BITS[kinds] > 0) & np.ascontiguousarray(by_zero.T).ravel())
+    lane, kind = at // len(grid), kinds[at]
+    bits, place = _BITS[kind], np.ascontiguousarray(grid.T).ravel()[at] - _FIRST[kind]
+    ends = np.cumsum(bits)
+    first = np.searchsorted(lane, np.arange(lanes + 1))
+    edge = np.concatenate([[0], ends])[first]  # unpadded bits before each lane
+    size = (np.diff(edge) + 7) // 8  # bytes
+    at = np.concatenate([[0], np.cumsum(size)])
+    begin = ends - bits + (8 * at[:-1] - edge[:-1])[lane]
+    out = np.zeros(8 * int(at[-1]), np.uint8)
     for k in range(int(bits.max(initial=0))):  # all k-th bits from the left at once
         if k:
             longer = bits > k
             bits, place, begin = bits[longer], place[longer], begin[longer]
         out[begin + k] = (place >> (bits - 1 - k)) & 1
-    return np.packbits(out).tobytes()
+    packed = np.packbits(out).tobytes()
+    return [packed[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def decode_blocks(codes: list[bytes], plain: list[bytes], n: int) -> np.ndarray:
