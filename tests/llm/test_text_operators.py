@@ -271,7 +271,7 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length,gram,limit", [(14, 4, 8000), (14, 4, 3), (20, 8, 1)])
+@pytest.mark.parametrize("length,gram,limit", [(14, 4, 8000), (14, 4, 3), (20, 8, 1), (9, 8, 0)])
 def test_remove_repeats(spark, length, gram, limit):
     rng = random.Random(2)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["a" * 50, "", None, "é" * 30]
@@ -287,10 +287,7 @@ def test_repeated_rows_repeat_each_other(spark):
     assert suffix_dedup.remove_repeats(table.limit(0), 14, 4).count() == 0
 
 
-def test_previous_factors():
-    rng = np.random.default_rng(1)
-    for _ in range(30):
-        t = rng.integers(0, 3, rng.integers(1, 40)).astype(np.uint8)
-        s = bytes(t)
-        want = [max([0] + [next((k for k in range(len(s) - i + 1) if k == len(s) - i or s[j : j + k + 1] != s[i : i + k + 1]), 0) for j in range(i)]) for i in range(len(s))]
-        assert suffix_dedup.previous_factors(t).tolist() == want
+def test_common_prefixes_follow_suffix_order():
+    rows, groups = [b"abcd", b"abxx", b"ab", b"abcd", b"abcde"], np.array([1, 1, 1, 2, 1])
+    order, common = suffix_dedup.common_prefixes(rows, groups, 8)
+    assert order.tolist() == [2, 0, 4, 1, 3] and common.tolist() == [0, 2, 4, 2, 0]

@@ -1,15 +1,19 @@
-"""Dedup of repeated byte strings by longest-previous-factor arrays.
+"""Dedup of repeated byte strings by suffix order around anchors.
 
-A position's longest previous factor is the longest string starting there that also starts earlier; the nearest earlier
-positions in suffix order (previous and next smaller positions) give it. ``remove_repeats`` needs to know only whether
-it reaches ``length``, so suffixes are ordered by their first ``length`` bytes.
+A position's longest previous factor is the longest string starting there that also starts earlier; its neighbours in
+suffix order give it. Here every string of ``length`` bytes goes that starts anywhere else too, so neighbours on both
+sides count, not only those of smaller positions, and a factor matters only up to ``length`` bytes.
 
 To spread this over Spark, every window of ``length`` bytes is handled at its anchor: the position of the smallest hash
 among the window's ``gram``-byte strings. Equal windows have equal anchors, so windows can repeat only where an anchor
-does. Anchors are counted with a map-side combine; only those that occur twice or more are looked at again, each with
-the bytes around it that its windows may reach. Equal surroundings are counted, not collected: a passage that a third
-of all documents share is one row. The different surroundings of an anchor are ordered together in one task; of an
-anchor with more than ``group_limit`` of them, each window is counted by Spark instead.
+does. Anchors are counted by their hashes alone, with a map-side combine; a second pass over the texts keeps the marks
+of those that occur twice or more. Equal surroundings of an anchor are one kind and are counted, not collected: a
+passage that a third of all documents share is one row. An anchor of one kind needs no comparison. The bytes of the
+others are fetched once each kind and ordered: to the right of the anchor in suffix order, to the left in the order of
+the reversed prefixes, both with the lengths of common prefixes taken from the bytes. A window that begins ``lead``
+bytes before its anchor repeats if another kind agrees with it on ``lead`` bytes to the left and the rest to the right.
+An anchor of very many kinds is dealt by the bytes that windows of some leads must share, so its kinds meet in many
+smaller groups with the same result.
 """
 
 from __future__ import annotations
@@ -17,65 +21,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import gram_hashes, materialize, mix64, prefix_sums, release, span_hashes, utf8_chunks
+from ._shared import discard, gram_hashes, materialize, mix64, prefix_sums, release, span_hashes, utf8_chunks
 
 _KEY = ["k1", "k2"]
 
 
-# --- longest previous factors of one array ---------------------------------------------------------------------
-
-
-def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the order of their suffixes' first ``depth`` bytes, and each position's rank; suffixes that agree
-    so far share a rank. Prefix doubling; a suffix that ends early comes before its extensions."""
-    n = len(data)
-    rank = data.astype(np.int64) + 1
-    have = 1
-    while have < depth:
-        step = min(have, depth - have)
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:]
-        key = rank * (int(after.max(initial=0)) + 1) + after
-        order = np.argsort(key, kind="stable")
-        fresh = np.zeros(n, np.int64)
-        fresh[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh) + 1
-        have += step
-        if n and rank.max() == n:
-            break
-    return np.argsort(rank, kind="stable"), rank
-
-
-def previous_factors(data: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """For each position the length (at most ``depth``) of the longest factor that starts there and also earlier."""
-    n = len(data)
-    depth = depth or n
-    order, _ = suffix_order(data, depth)
-    before, after = np.full(n, -1), np.full(n, -1)  # the nearest smaller positions in suffix order
-    stack: list[int] = []
-    for at in order.tolist():
-        while stack and stack[-1] > at:
-            after[stack.pop()] = at
-        before[at] = stack[-1] if stack else -1
-        stack.append(at)
-
-    def common(i: int, j: int) -> int:
-        if j < 0:
-            return 0
-        size = min(depth, n - max(i, j))
-        differ = np.flatnonzero(data[i : i + size] != data[j : j + size])
-        return int(differ[0]) if len(differ) else size
-
-    return np.array([max(common(i, before[i]), common(i, after[i])) for i in range(n)], np.int64)
-
-
 # --- anchors ---------------------------------------------------------------------------------------------------
 
 
@@ -113,15 +68,28 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"))
 
 
-_MARKS = "k1 long, k2 long, anchor long, c long, left int, right int, before int, size int, places array<int>"
+def anchor_counts(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """anchor, n: how often each anchor occurs, over all texts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in utf8_chunks(batch["text"]):
+                sums = prefix_sums(data)
+                found = [anchors(sums, a, b, length, gram)[1] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                values, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
+
+    return texts.select("text").mapInArrow(rows, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+
 
+#: ``place`` packs the anchor's position, the bytes of its surroundings before it, and their size.
+_MARKS = "k1 long, k2 long, anchor long, c long, place long"
 
-def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """One row a text, anchor and kind of surroundings: their hash c (which counts for one anchor only), how much of
-    them lies before the anchor, their size, and where in the text they begin; left and right are hashes of the anchor
-    with the half window before and after it, 0 at the text's ends. A periodic text has few rows."""
+
+def anchor_marks(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """One row a text and anchor position; c is the hash of the surroundings, all bytes that the anchor's windows may
+    reach, and of the anchor's place in them."""
     reach = length - gram
-    half = -(-reach // 2)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,168 +99,178 @@ def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 found = [anchors(sums, a, b, length, gram) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 doc = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
                 at, hashes = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-                low, high = np.maximum(at - reach, 0), np.minimum(at + gram + reach, np.diff(offsets)[doc])
+                low, high = np.maximum(at - reach, 0), np.minimum(at + length, np.diff(offsets)[doc])
                 before, size = at - low, high - low
                 c = mix64(span_hashes(sums, offsets[doc] + low, offsets[doc] + high) + (before * 1024 + 1).astype(np.uint64))
-                sides = []
-                for a, b in ((at - half, at + gram), (at, at + gram + half)):
-                    inside = (a >= 0) & (b <= np.diff(offsets)[doc])
-                    side = np.zeros(len(at), np.uint64)
-                    side[inside] = span_hashes(sums, (offsets[doc] + a)[inside], (offsets[doc] + b)[inside]) >> np.uint64(33) | np.uint64(1)
-                    sides.append(side.astype(np.int32))
-                key = mix64(hashes ^ mix64(c + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-                order = np.argsort(key, kind="stable")
-                heads = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
-                one = order[heads]
-                places = pa.ListArray.from_arrays(pa.array(np.append(heads, len(key)), pa.int32()), pa.array(low[order], pa.int32()))
-                back = np.argsort(doc[one], kind="stable")  # texts together, for the file's sake
-                one, places = one[back], places.take(pa.array(back))
-                columns = [pa.array(k1[first + doc[one]]), pa.array(k2[first + doc[one]]), pa.array(hashes[one].view(np.int64)), pa.array(c[one].view(np.int64)), *(pa.array(side[one]) for side in sides), pa.array(before[one], pa.int32()), pa.array(size[one], pa.int32()), places]
-                yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "anchor", "c", "left", "right", "before", "size", "places"])
+                place = (at << 24) | (before << 12) | size
+                columns = [k1[first + doc], k2[first + doc], hashes.view(np.int64), c.view(np.int64), place]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k1", "k2", "anchor", "c", "place"])
 
     return texts.select("k1", "k2", "text").mapInArrow(rows, _MARKS)
 
 
+def _position(place):
+    return F.shiftright(place, 24)
+
+
+def _before(place):
+    return F.shiftright(place, 12).bitwiseAND(4095)
+
+
+def _size(place):
+    return place.bitwiseAND(4095)
+
+
 # --- windows around repeated anchors ---------------------------------------------------------------------------
 
 
-def _surroundings(texts: DataFrame) -> DataFrame:
-    """The bytes of the surroundings listed for each text."""
+def common_prefixes(rows: list[bytes], groups: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in the order of their group and bytes, and how many bytes (at most ``depth``) each has in common with
+    the row before it in this order; 0 with a row of another group."""
+    order = np.array(sorted(range(len(rows)), key=lambda i: (groups[i], rows[i])), np.int64)
+    sizes = np.array([len(x) for x in rows], np.int64)[order]
+    table = np.frombuffer(b"".join(rows[i][:depth].ljust(depth, b"\0") for i in order.tolist()), np.uint8).reshape(len(rows), depth)
+    differ = table[1:] != table[:-1]
+    common = np.where(differ.any(1), differ.argmax(1), depth)
+    common = np.minimum(common, np.minimum(sizes[1:], sizes[:-1]))
+    common[groups[order][1:] != groups[order][:-1]] = 0
+    return order, np.concatenate([[0], common])
+
+
+def repeated_leads(groups: np.ndarray, before: np.ndarray, around: list[bytes], counts: np.ndarray, length: int, gram: int, leads: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each kind of surroundings the largest and the smallest lead of a window that starts elsewhere too, in a kind
+    of the same group or because its own counts more than once; -1 where there is none. ``leads``, by row: the first and
+    the last to look at."""
+    n, reach = len(around), length - gram
+    left = [around[i][: before[i]][::-1] for i in range(n)]
+    right = [around[i][before[i] :] for i in range(n)]
+    n_left, n_right = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    order_left, common_left = common_prefixes(left, groups, max(reach, 1))
+    order_right, common_right = common_prefixes(right, groups, length)
+    largest, smallest = np.full(n, -1), np.full(n, -1)
+    class_left, class_right = np.empty(n, np.int64), np.empty(n, np.int64)
+    bounds = leads if leads is not None else np.tile([0, reach], (n, 1))
+    # Groups are cut by a common prefix of 0, which no depth accepts but that of a lead of 0; so groups come first.
+    head_left = np.concatenate([[True], groups[order_left][1:] != groups[order_left][:-1]])
+    for lead in range(int(bounds[:, 0].min()), int(bounds[:, 1].max()) + 1):
+        own = np.flatnonzero((n_left >= lead) & (n_right >= length - lead) & (bounds[:, 0] <= lead) & (lead <= bounds[:, 1]))
+        if not len(own):
+            continue
+        class_left[order_left] = np.cumsum(head_left | (common_left < lead))
+        class_right[order_right] = np.cumsum(common_right < length - lead)
+        key = class_left[own] * (n + 1) + class_right[own]
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        repeated = counts[own] > 1
+        repeated[order[1:]] |= same
+        repeated[order[:-1]] |= same
+        found = own[repeated]
+        largest[found] = lead
+        fresh = found[smallest[found] < 0]
+        smallest[fresh] = lead
+    return largest, smallest
+
+
+_KINDS = "part long, leads int, anchor long, c long, n long, before int, around binary"
+
+
+def lead_ranges(length: int, gram: int, ranges: int) -> list[tuple[int, int]]:
+    """All leads from 0 to ``length - gram``, in consecutive ranges (both ends inclusive)."""
+    return [(int(x[0]), int(x[-1])) for x in np.array_split(np.arange(length - gram + 1), ranges) if len(x)]
+
+
+def _kind_bytes(held: DataFrame, parts: int, length: int, gram: int, group_limit: int, ranges: int) -> DataFrame:
+    """The bytes of the kinds listed for each text, dealt to ``parts`` groups by their anchors; kinds of an anchor with
+    more than ``group_limit`` of them once for each range of leads, by the bytes that windows of these leads share."""
+    spans = lead_ranges(length, gram, ranges)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, last = [], None
         for batch in batches:
-            out = []
-            for text, marks in zip(batch["text"].cast(pa.binary()), batch["marks"], strict=True):
-                text = text.as_py()
-                for m in marks.as_py():
-                    out.append((m["anchor"], m["c"], m["before"], m["n"], m["kinds"], text[m["place"] : m["place"] + m["size"]]))
+            for key, text, kinds in zip(zip(batch["k1"].to_pylist(), batch["k2"].to_pylist(), strict=True), batch["text"].cast(pa.binary()), batch["kinds"], strict=True):
+                if key == last:  # the same text again
+                    continue
+                text, last = text.as_py(), key
+                for m in kinds.as_py():
+                    before, size = (m["place"] >> 12) & 4095, m["place"] & 4095
+                    at = m["place"] >> 24
+                    around = text[at - before : at - before + size]
+                    if m["kinds"] <= group_limit:
+                        out.append((m["anchor"] % parts, -1, m["anchor"], m["c"], m["n"], before, around))
+                        continue
+                    for k, (low, high) in enumerate(spans):
+                        if before >= low and size - before >= length - high:
+                            part = xxhash.xxh3_64_intdigest(around[before - low : before + length - high], (m["anchor"] + k) % 2**64) % parts
+                            out.append((part, k, m["anchor"], m["c"], m["n"], before, around))
                 if len(out) >= 4096:
                     yield _batch(out)
                     out = []
+        if out:
             yield _batch(out)
 
-    return texts.mapInArrow(rows, "anchor long, c long, before int, n long, kinds long, around binary")
+    return held.mapInArrow(rows, _KINDS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) or [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["anchor", "c", "before", "n", "kinds", "around"])
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "leads", "anchor", "c", "n", "before", "around"])
 
 
-def window_ranges(before: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window start (relative to the surroundings) over each anchor; the last may be smaller."""
-    return np.maximum(0, before + gram - length), np.minimum(before, sizes - length)
+def _compared(kinds: DataFrame, length: int, gram: int, ranges: int) -> DataFrame:
+    """anchor, c, back, ahead: how far from the anchor the repeated windows of a kind reach, all of which hold it."""
+    spans = np.array([(0, length - gram), *lead_ranges(length, gram, ranges)])
 
+    def find(table: pa.Table) -> pa.Table:
+        anchor, c, leads = (table[x].to_numpy() for x in ("anchor", "c", "leads"))
+        # A kind comes more than once if copies of its text did.
+        one, group = _once(anchor, leads, c)
+        around = [x.as_py() for x in table["around"].take(pa.array(one))]
+        before, n = table["before"].to_numpy()[one].astype(np.int64), table["n"].to_numpy()[one]
+        largest, smallest = repeated_leads(group, before, around, n, length, gram, spans[leads[one] + 1])
+        hit = np.flatnonzero(largest >= 0)
+        columns = [pa.array(anchor[one][hit]), pa.array(c[one][hit]), pa.array(largest[hit].astype(np.int32)), pa.array((length - smallest[hit]).astype(np.int32))]
+        return pa.Table.from_arrays(columns, ["anchor", "c", "back", "ahead"])
 
-def repeated_windows(groups: np.ndarray, before: np.ndarray, around: list[bytes], counts: np.ndarray, length: int, gram: int) -> list[tuple[int, int, int]]:
-    """(row, from, to): the surroundings' bytes covered by windows that also start elsewhere with the same anchor.
+    return kinds.groupBy("part").applyInArrow(find, "anchor long, c long, back int, ahead int")
 
-    All surroundings are laid out one behind the other; window starts are put in suffix order to the depth of a window,
-    and a start whose order neighbour agrees to that depth has an earlier or later factor of that length.
-    """
-    sizes = np.array([len(x) for x in around], np.int64)
-    edges = np.concatenate([[0], np.cumsum(sizes)])
-    data = np.frombuffer(b"".join(around), np.uint8)
-    low, high = window_ranges(before, sizes, length, gram)
-    n = np.maximum(high - low + 1, 0)
-    row = np.repeat(np.arange(len(around)), n)
-    start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(edges[:-1] + low, n)
-    if not len(row):
-        return []
-    hashes = span_hashes(prefix_sums(data), start, start + length)
-    offset = (edges[row] + before[row] - start).astype(np.uint64)  # of the anchor in its window
-    key = hashes ^ (groups[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (offset * np.uint64(0xC2B2AE3D27D4EB4F))
-    order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
-    repeated = np.zeros(len(row), bool)
-    repeated[order[1:]] |= same
-    repeated[order[:-1]] |= same
-    repeated |= counts[row] > 1
-    start = start[repeated] - edges[row[repeated]]
-    row = row[repeated]
-    if not len(row):
-        return []
-    cut = np.ones(len(row), bool)
-    cut[1:] = (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)
-    heads = np.flatnonzero(cut)
-    tails = np.append(heads[1:], len(row)) - 1
-    return list(zip(row[heads].tolist(), start[heads].tolist(), (start[tails] + length).tolist(), strict=True))
-
-
-def _covered_in_groups(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """anchor, c, from, to of the bytes of each surroundings that repeated windows cover."""
-
-    def find(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        found = repeated_windows(frame["anchor"].to_numpy(np.int64), frame["before"].to_numpy(np.int64), frame["around"].tolist(), frame["n"].to_numpy(np.int64), length, gram)
-        at = [x[0] for x in found]
-        return pd.DataFrame({"anchor": frame["anchor"].to_numpy()[at], "c": frame["c"].to_numpy()[at], "from": [x[1] for x in found], "to": [x[2] for x in found]})
-
-    return rows.groupBy("part").applyInPandas(find, "anchor long, c long, `from` int, `to` int")
-
-
-def _covered_by_count(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for anchors with very many surroundings: every window is a row, counted map-side first."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                before, around = row["before"], row["around"]
-                starts = np.arange(max(0, before + gram - length), min(before, len(around) - length) + 1)
-                w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(around[s : s + length]) for s in starts), np.int64).reshape(-1, 2)
-                same = [pa.array(np.full(len(starts), row[c], np.int64)) for c in ("anchor", "c", "n")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(starts.astype(np.int32)), pa.array((before - starts).astype(np.int32)), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy())], ["anchor", "c", "n", "from", "lead", "w1", "w2"])
 
-    found = rows.select("anchor", "c", "n", "before", "around").mapInArrow(windows, "anchor long, c long, n long, `from` int, lead int, w1 long, w2 long")
-    window = ["anchor", "lead", "w1", "w2"]
-    counted = found.groupBy(*window).agg(F.sum("n").alias("times")).where("times > 1").select(*window)
-    return found.join(counted, window, "left_semi").select("anchor", "c", "from", (F.col("from") + length).cast("int").alias("to"))
+def _once(anchor: np.ndarray, leads: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each (anchor, leads, c), and the number of its (anchor, leads)."""
+    order = np.lexsort((c, leads, anchor))
+    new_group = np.ones(len(order), bool)
+    new_group[1:] = (anchor[order][1:] != anchor[order][:-1]) | (leads[order][1:] != leads[order][:-1])
+    new = new_group.copy()
+    new[1:] |= c[order][1:] != c[order][:-1]
+    return order[new], np.cumsum(new_group)[new]
 
 
-def repeated_spans(texts: DataFrame, length: int = 200, gram: int = 16, group_limit: int = 8_000) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int = 200, gram: int = 16, group_limit: int = 4_000, ranges: int = 4, group_rows: int = 4_000) -> DataFrame:
     """k1, k2 and spans (sorted) of the bytes of each different text that repeated strings of ``length`` bytes cover;
     ``texts`` is from ``keyed_texts``, one row a document."""
     spark = texts.sparkSession
-    marks = materialize(_anchor_rows(texts, length, gram), "anchors")
-    # Copies of a text bring each of its anchors again; so do repeats within it.
-    counts = marks.groupBy("anchor").agg(F.sum(F.size("places")).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1")
-    counts = materialize(counts.select("anchor", (F.col("low") < F.col("high")).alias("differ")), "repeated-anchors")
+    repeated = materialize(anchor_counts(texts, length, gram).where("n > 1").select("anchor"), "repeated-anchors")
     release(spark)
-    repeated = materialize(marks.join(counts, "anchor"), "repeated-marks")
+    marks = materialize(anchor_marks(texts, length, gram).join(repeated, "anchor", "left_semi"), "repeated-marks")
     release(spark)
-
-    # The bytes over the windows that hold an anchor and lie within its surroundings.
-    low, high = F.greatest(F.lit(0), F.col("before") + gram - length), F.least(F.col("before"), F.col("size") - length)
-    whole = [low.cast("int").alias("from"), (high + length).cast("int").alias("to")]
-    # An anchor with one kind of surroundings needs no comparison; one with several does, once for each kind.
-    kinds = repeated.where("differ").groupBy("anchor", "c", "before", "size", "left", "right").agg(F.sum(F.size("places")).alias("n"), F.min(F.struct("k1", "k2", F.col("places")[0].alias("place"))).alias("one"))
-    kinds = materialize(kinds, "surroundings")
-    # A window reaches half its rest or more to the left or to the right of its anchor, so two kinds can share a window
-    # only if they agree on one of these sides.
-    shared = None
-    for side in ("left", "right"):
-        agree = kinds.where(F.col(side) != 0).groupBy("anchor", side).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
-        found = kinds.join(agree, ["anchor", side], "left_semi").select("anchor", "c")
-        shared = found if shared is None else shared.union(found)
-    alike_kinds = materialize(kinds.join(shared.distinct(), ["anchor", "c"], "left_semi"), "alike-surroundings")
+    kinds = marks.groupBy("anchor", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one"))
+    kinds = materialize(kinds.select("anchor", "c", "n", "one.k1", "one.k2", "one.place"), "kinds")
     release(spark)
-    per_anchor = alike_kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    listed = alike_kinds.join(per_anchor, "anchor").groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("anchor", "c", "before", "size", "n", "kinds", "one.place")).alias("marks"))
-    holder = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))  # one document stands for all copies of a text
-    copies = texts.groupBy(*_KEY).agg(F.min(holder).alias("holder"))
-    held = texts.withColumn("holder", holder).join(listed.join(copies, _KEY), [*_KEY, "holder"]).select("text", "marks")
-    around = materialize(_surroundings(held).dropDuplicates(["anchor", "c"]), "surrounding-bytes")
+    of_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    several = materialize(of_anchor.where("kinds > 1"), "anchors-of-several-kinds")
+    # An anchor with one kind of surroundings needs no comparison: its windows repeat if the kind does.
+    place = F.col("place")
+    alone = kinds.join(several, "anchor", "left_anti").where("n > 1").where(_size(place) >= length)
+    alone = alone.select("anchor", "c", _before(place).cast("int").alias("back"), F.least(F.lit(length), _size(place) - _before(place)).cast("int").alias("ahead"))
+    listed = kinds.join(several, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "c", "n", "kinds", "place")).alias("kinds"))
+    parts = max(1, -(-kinds.count() // group_rows))
+    held = texts.select("k1", "k2", "text").join(listed, _KEY)
+    found = _compared(_kind_bytes(held, parts, length, gram, group_limit, ranges), length, gram, ranges)
+    covered = materialize(found.unionByName(alone), "covered")
     release(spark)
-    parts = max(1, -(-around.count() // 4000))
-    dealt = around.where(F.col("kinds") <= group_limit).withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(parts)))
-    found = _covered_in_groups(dealt, length, gram).unionByName(_covered_by_count(around.where(F.col("kinds") > group_limit), length, gram))
-    found = materialize(found.unionByName(kinds.where("n > 1").where(high >= low).select("anchor", "c", *whole)), "covered")
-
-    begin = F.explode("places").alias("begin")
-    alike = repeated.where("not differ").where(high >= low).select("k1", "k2", begin, *whole)
-    differing = repeated.where("differ").join(found, ["anchor", "c"]).select("k1", "k2", begin, "from", "to")
-    spans = alike.unionByName(differing).select("k1", "k2", F.struct((F.col("begin") + F.col("from")).alias("from"), (F.col("begin") + F.col("to")).alias("to")).alias("span"))
+
+    spans = marks.join(covered, ["anchor", "c"]).select("k1", "k2", F.struct((_position(place) - F.col("back")).alias("from"), (_position(place) + F.col("ahead")).alias("to")).alias("span"))
     merged = materialize(spans.groupBy(*_KEY).agg(F.sort_array(F.collect_set("span")).alias("spans")), "repeated-spans")
+    discard(repeated, marks, kinds, several, covered)
     release(spark)
     return merged
 
@@ -308,15 +286,16 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 16, group_limit: int = 8_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 16, group_limit: int = 4_000, ranges: int = 4) -> DataFrame:
     """doc_id, n_bytes, kept (binary), n_removed, n_spans of each row: every byte goes that a string of ``length``
     bytes covers which also starts anywhere else, judged on the input.
 
     NULL texts count as empty; rows that repeat a doc_id are documents of their own and, being equal, repeat each other;
-    a NULL doc_id is carried as it is; other columns are not read; empty tables give empty results.
+    a NULL doc_id is carried as it is; a text shorter than ``length`` stays whole, one of any length is a row; other
+    columns are not read; empty tables give empty results.
     """
     texts = keyed_texts(docs)
-    spans = repeated_spans(texts, length, gram, group_limit)
+    spans = repeated_spans(texts, length, gram, group_limit, ranges)
     joined = texts.join(spans, _KEY, "left").select("doc_id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
