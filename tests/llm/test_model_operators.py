@@ -199,6 +199,21 @@ def test_kneser_ney(spark):
     assert lm_scoring.score_texts(df, empty).where("n_known > 0 or isnan(score)").count() == 0
 
 
+def test_scoring_fails_without_the_model(spark, tmp_path):
+    model = lm_scoring.fit_kneser_ney(spark.createDataFrame([("a b",)], "text string"))
+    model.folder = str(tmp_path / "elsewhere")
+    with pytest.raises(Exception, match="mounted"):
+        lm_scoring.score_texts(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).collect()
+
+
+def test_kneser_ney_edge_cases(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (None, "a b", "y"), (2, None, "z"), (3, "long " * 100_000, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    got = lm_scoring.score_texts(df, lm_scoring.fit_kneser_ney(df)).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == [("1", 4), ("1", 4), ("2", 1), ("3", 100_001), ("None", 3)]
+    assert len({r.score for r in got if r.doc_id == 1}) == 1 and all(r.score < 0 for r in got)
+
+
 def brute_nearest(rows, k, every):
     usable = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     unit = {i: v / np.abs(v).max() for i, v in usable.items()}

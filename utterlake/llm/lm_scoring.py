@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import LOWER, NOT_SPACE, crc32_mod, materialize, mix64, new_path, prefix_sums, span_hashes, token_spans, utf8_chunks
+from ._shared import LOWER, NOT_SPACE, crc32_mod, discard, materialize, mix64, new_path, prefix_sums, release, span_hashes, token_spans, utf8_chunks
 
 #: Hashes of the end of a text, and of what comes before its first token.
 _END, _BEGIN = np.uint64(0xE7D1A5B9C3F08261), np.uint64(0xB5297A4D3F84D5B5)
@@ -234,7 +234,11 @@ def _save(folder: str, name: str, values: np.ndarray) -> None:
 @lru_cache(maxsize=20_000)
 def _mapped(folder: str, name: str) -> np.ndarray:
     path = f"{folder}/{name}.npy"
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, np.uint64)
+    if os.path.exists(path):
+        return np.load(path, mmap_mode="r")
+    if not os.path.exists(f"{folder}/model.npy"):  # a worker that does not see the folder must not score by nothing
+        raise FileNotFoundError(f"no model in {folder}: it must be mounted on every worker")
+    return np.zeros(0, np.uint64)  # no hash of the corpus falls into this shard
 
 
 def _times(counts: np.ndarray) -> list[float]:
@@ -372,11 +376,16 @@ def _local(path: str) -> str:
 
 
 def fit_kneser_ney(docs: DataFrame) -> KneserNey:
-    """Count and store the model of all texts of ``docs``; NULL counts as empty."""
+    """Count and store the model of all texts of ``docs``.
+
+    NULL counts as empty; every row counts, repeated ones as often as they come and those without a doc_id too; texts of
+    any length are counted whole; only ``text`` is read. Without rows every token is unknown and equally likely.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     shards = shards_for(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     folder = _local(new_path(spark, "kneser-ney"))
+    _save(folder, "model", np.array([shards]))
     by_shard = word_counts(texts, shards).groupBy("shard").applyInPandas(_merge_words(folder), "shard int, n long, v long")
     n_tokens, n_words = by_shard.agg(F.sum("n"), F.sum("v")).first()
     n_tokens, n_words = n_tokens or 0, n_words or 0
@@ -392,6 +401,7 @@ def fit_kneser_ney(docs: DataFrame) -> KneserNey:
 
     merged = pair_counts(texts, shards, frequent).groupBy("shard").applyInPandas(_merge_pairs(folder, shards, frequent), _STATS)
     merged = materialize(merged, "pair-counts")
+    release(spark)
     sums = merged.where("kind <> 'follows'").groupBy("kind", "key").agg(*[F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(4)]).collect()
     table = np.zeros((len(frequent), 4))
     times = [0.0] * 4
@@ -403,6 +413,8 @@ def fit_kneser_ney(docs: DataFrame) -> KneserNey:
             table[np.searchsorted(frequent, np.int64(row["key"]).view(np.uint64))] = values
     follows = merged.where("kind = 'follows'").groupBy("shard").applyInPandas(_merge_follows(folder), "n double, t array<double>")
     found = follows.agg(F.sum("n").alias("n"), *[F.sum(F.col("t")[k]).alias(f"t{k}") for k in range(5)]).first()
+    discard(merged)
+    release(spark)
     n_pairs = found["n"] or 0.0
     t = [found[f"t{k}"] or 0.0 for k in range(5)]
     discount = _discounts(t[:4])
@@ -411,7 +423,11 @@ def fit_kneser_ney(docs: DataFrame) -> KneserNey:
 
 
 def score_texts(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of each row; NULL texts count as empty."""
+    """doc_id, n_tokens, n_known, base_score, score of each row.
+
+    NULL texts count as empty and have the end alone. Repeated rows and a NULL doc_id are carried as they are; other
+    columns are not read; an empty table gives an empty result. A worker that cannot see the model's folder fails.
+    """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
