@@ -87,7 +87,8 @@ def stateful(rules: EndpointRules):
         rows = rows[rows["seq"] > last]
         events, state = run_steps(rows, tuple(state), rules)
         held.update((*state, int(rows["seq"].max()) if len(rows) else last))
-        yield pd.DataFrame([(key[0], *e) for e in events], columns=["key", "event", "start_seq", "end_seq", "n_windows"])
+        if events:
+            yield pd.DataFrame([(key[0], *e) for e in events], columns=["key", "event", "start_seq", "end_seq", "n_windows"])
 
     return find
 

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "endpoint_batch"
-MODULES = ["q_gates", "q_scoring", "q_verify", "q_series", "q_sessions", "q_prep"]
+MODULES = ["q_gates", "q_scoring", "q_verify", "q_series", "q_sessions", "q_prep", "q_streams", "q_files", "q_batches"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 for _name in MODULES:

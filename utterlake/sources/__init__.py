@@ -1,0 +1 @@
+"""Readers and writers of transcripts, manifests, audio headers and corpora."""
