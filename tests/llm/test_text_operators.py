@@ -125,6 +125,47 @@ def test_mixed_bucket_is_dealt_on(spark):
     assert len(set(got.values())) == 40
 
 
+def test_near_duplicates_recall_close_to_the_threshold(spark):
+    rng, rows, wanted = random.Random(12), [], []
+    for g in range(100):
+        base = words(rng, 200, 10**6).split()
+        copy = list(base)
+        for at in rng.sample(range(200), 36):  # similarity 0.82
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, " ".join(copy))]
+        wanted.append(10 * g)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs(spark, rows)).collect()}
+    assert sum(got[g + 1] == g for g in wanted) >= 90
+    assert all(got[g] == g for g in wanted)
+
+
+def test_near_duplicates_edges(spark):
+    long = "word " * 60_000
+    rows = [(1, long), (2, long + "tail"), (3, "one"), (4, "one"), (5, "two")]
+    table = docs(spark, rows).withColumnRenamed("lang", "rep").withColumnRenamed("source", "class_id")
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(table).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    kept = near_dup.keep_one(table)
+    assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 5]
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 200)] + [(rng.randrange(1000, 1300), rng.randrange(1000, 1300)) for _ in range(250)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    got = {r.id: r.root for r in near_dup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(got.get(x, x) == find(x) for x in linked)
+
+
 def test_near_duplicates_empty(spark):
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0
 
