@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..tables import numbered
 from .verify import order_key
 
 
 def stable_shuffle(items: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """Adds ``place`` from 0 in a fixed-seed order that any engine can repeat. The place needs one global order; take
-    ``order_key`` itself where the order alone is enough."""
-    return items.withColumn("place", (F.row_number().over(Window.orderBy(order_key(seed, key), key)) - 1).cast("long"))
+    """Adds ``place`` from 0 in a fixed-seed order that any engine can repeat."""
+    return numbered(items.withColumn("__h", order_key(seed, key)), ["__h", key], "place").drop("__h")
 
 
 def item_split(items: DataFrame, key: str, seed: int = 0, most: int = 300) -> DataFrame:
@@ -30,7 +30,8 @@ def group_split(items: DataFrame, group: str, n_held_out: int = 8, seed: int = 0
 
 
 def stride_sample(items: DataFrame, order: list[str], k: int) -> DataFrame:
-    return items.withColumn("__r", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("__r") % k == 0).drop("__r")
+    """Every ``k``-th row in order, from the first."""
+    return numbered(items, order, "__r").where(F.col("__r") % k == 0).drop("__r")
 
 
 def pool_minus_existing(pool: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -41,8 +42,9 @@ def pool_minus_existing(pool: DataFrame, existing: DataFrame, key: str) -> DataF
 def append_list(existing: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
     """idx, key: the list as it is, then the new texts after its last index in their order."""
     last = existing.agg(F.coalesce(F.max("idx"), F.lit(-1)).alias("last"))
-    rows = pool_minus_existing(new, existing, key).withColumn("__r", F.row_number().over(Window.orderBy(*order)))
-    return existing.select("idx", key).unionByName(rows.crossJoin(last).select((F.col("last") + F.col("__r")).cast("long").alias("idx"), key))
+    rows = pool_minus_existing(new, existing, key).select(key, *order)
+    rows = numbered(rows, order, "__r")
+    return existing.select("idx", key).unionByName(rows.crossJoin(last).select((F.col("last") + 1 + F.col("__r")).cast("long").alias("idx"), key))
 
 
 def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -76,8 +78,11 @@ def coverage_report(sentences: DataFrame, pool: DataFrame, n: int = 3) -> DataFr
     more, upper median count."""
     totals = sentences.agg(F.count("*").alias("sentences"), F.sum("n_words").alias("words"), (F.sum("n_words") / 150).alias("minutes"))
     own, all_ = ngram_frequency(sentences, n), ngram_frequency(pool, n).select("gram")
-    ranked = own.withColumn("__r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("n", "gram"))).crossJoin(own.agg(F.count("*").alias("__c")))
-    stats = ranked.agg(F.count("*").alias("distinct"), F.avg((F.col("n") >= 5).cast("double")).alias("five"), F.max(F.when(F.col("__r") == F.floor(F.col("__c") / 2) + 1, F.col("n"))).alias("median"))
+    # Counts of equal counts: their running sum finds the median among the few different ones.
+    times = own.groupBy("n").agg(F.count("*").alias("__t"))
+    times = times.withColumn("__upto", F.sum("__t").over(Window.orderBy("n"))).crossJoin(own.agg(F.count("*").alias("__c")))
+    five = F.sum(F.when(F.col("n") >= 5, F.col("__t")).otherwise(0)) / F.sum("__t")
+    stats = times.agg(F.sum("__t").alias("distinct"), five.alias("five"), F.min(F.when(F.col("__upto") > F.floor(F.col("__c") / 2), F.col("n"))).alias("median"))
     covered = all_.join(own.select("gram", F.lit(1).alias("hit")), "gram", "left").agg(F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("coverage"))
     return totals.crossJoin(stats).crossJoin(covered)
 
@@ -89,7 +94,8 @@ def corpus_totals(items: DataFrame) -> DataFrame:
 def corpus_fingerprint(texts: DataFrame, key: str, text: str) -> DataFrame:
     """One row, fingerprint: n=<count>:<12 hex digits of sha1> over every max(1, n // 200)-th text in order of the key."""
     n = texts.count()
-    picked = stride_sample(texts.select(key, text), [key], max(1, n // 200))  # at most 399 rows
+    picked = stride_sample(texts.select(key), [key], max(1, n // 200))  # at most 399 rows
+    picked = picked.join(texts.select(key, text), key)
     joined = picked.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, text))), lambda x: x[text]), "").alias("t"))
     return joined.select(F.concat(F.lit(f"n={n}:"), F.substring(F.sha1("t"), 1, 12)).alias("fingerprint"))
 
@@ -104,7 +110,7 @@ def ctc_feasibility(items: DataFrame) -> DataFrame:
 def speed_expand(items: DataFrame, speeds: tuple[float, ...] = (0.9, 1.0, 1.1)) -> DataFrame:
     """Each item at each speed; ``class_id`` = speaker's place in order * speeds + the speed's place."""
     table = items.sparkSession.createDataFrame(list(enumerate(speeds)), "speed_id long, speed double")
-    speakers = items.select("speaker").distinct().withColumn("__s", F.row_number().over(Window.orderBy("speaker")) - 1)
+    speakers = numbered(items.select("speaker").distinct(), ["speaker"], "__s")
     return items.join(speakers, "speaker").crossJoin(table).withColumn("class_id", F.col("__s") * len(speeds) + F.col("speed_id")).drop("__s")
 
 

@@ -87,7 +87,7 @@ def mel_weights(spark, n_mels: int, n_fft: int, rate: int) -> DataFrame:
 
 def sparse_apply(power: DataFrame, weights: DataFrame) -> DataFrame:
     """key, frame, band, e: the power of each band."""
-    return power.join(F.broadcast(weights), "bin").groupBy("key", "frame", "band").agg(F.sum(F.col("power") * F.col("weight")).alias("e"))
+    return power.join(weights, "bin").groupBy("key", "frame", "band").agg(F.sum(F.col("power") * F.col("weight")).alias("e"))
 
 
 def log_mel(energy: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def normalize_feats(feats: DataFrame, kind: str = "mean") -> DataFrame:
 
 def floor_znorm(feats: DataFrame, stats: DataFrame, floor: float = -11.5) -> DataFrame:
     """v, no less than ``floor``, in corpus deviations from the corpus mean; stats: band, mean, std."""
-    return feats.join(F.broadcast(stats), "band").withColumn("v", (F.greatest(F.col("v"), F.lit(floor)) - F.col("mean")) / F.col("std")).drop("mean", "std")
+    return feats.join(stats, "band").withColumn("v", (F.greatest(F.col("v"), F.lit(floor)) - F.col("mean")) / F.col("std")).drop("mean", "std")
 
 
 def frame_rms_db(frames: DataFrame) -> DataFrame:

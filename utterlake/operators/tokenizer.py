@@ -10,19 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..streaming.sources import shared_folder
+from ..tables import written
 
 MARK = "▁"
 #: Ids 0 to 2: padding, start and end, unknown.
 SPECIAL, UNKNOWN = 3, 2
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def word_symbols(texts: DataFrame) -> DataFrame:
     """word, symbols (characters), n of the different words of ``norm``, each with the mark before it."""
     counts = texts.select(F.explode(tx.words(F.col("norm"))).alias("w")).groupBy(F.concat(F.lit(MARK), "w").alias("word")).agg(F.count("*").alias("n"))
@@ -45,7 +39,7 @@ def bpe_train(texts: DataFrame, merges: int, min_freq: int = 2, ahead: int = 64,
     is strictly more frequent than the next: later pairs cannot overtake them, so the result is that of one at a time.
     Only different words are kept, and the driver sees ``ahead`` pairs a pass; lineage is cut every few passes.
     """
-    words, found, turn = _written(word_symbols(texts).select("symbols", "n"), "bpe-words"), [], 0
+    words, found, turn = written(word_symbols(texts).select("symbols", "n"), "bpe-words"), [], 0
     while len(found) < merges:
         pairs = F.arrays_zip(F.slice("symbols", 1, F.size("symbols") - 1).alias("left"), F.slice("symbols", 2, F.size("symbols") - 1).alias("right"))
         counts = words.where(F.size("symbols") > 1).select("n", F.explode(pairs).alias("p")).groupBy("p.left", "p.right").agg(F.sum("n").alias("n")).where(F.col("n") >= min_freq)
@@ -63,7 +57,7 @@ def bpe_train(texts: DataFrame, merges: int, min_freq: int = 2, ahead: int = 64,
             if not fits:
                 break
         turn += 1
-        words = _written(words, "bpe-words") if turn % every == 0 or len(used) > 9 else words
+        words = written(words, "bpe-words") if turn % every == 0 or len(used) > 9 else words
     return found
 
 

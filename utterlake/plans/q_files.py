@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources import files as fi
-from ..streaming.sources import shared_folder
+from ..tables import shared_folder
 from . import views as v
 from .q_prep import chosen, sents
 from .views import with_sql

@@ -24,7 +24,7 @@ def normalize_text(spark, d):
 
 
 def char_encode(spark, d):
-    return docs(spark, d).where("lang = 'en'").select("doc_id", F.array_join(tx.char_encode(F.substring("text", 1, 200)), ",").alias("ids"))
+    return docs(spark, d).select("doc_id", F.array_join(tx.char_encode(F.col("text")), ",").alias("ids"))
 
 
 def char_decode(spark, d):
@@ -82,7 +82,7 @@ def clip_levels(spark, d):
 
 
 def cer(spark, d):
-    return v.hyp_ref(spark, d).select("conv_id", "turn", F.round(tx.cer(F.regexp_replace("hyp", "[^a-z' ]", ""), F.col("ref")), 6).alias("cer"))
+    return v.hyp_ref(spark, d).select("conv_id", "turn", F.round(tx.cer(F.col("hyp"), F.col("ref")), 6).alias("cer"))
 
 
 def wer(spark, d):
@@ -143,7 +143,7 @@ def log_sum_exp(spark, d):
 
 def nbest_rescore(spark, d):
     c = v.table(spark, d, "conversations")
-    rows = c.select(F.col("conv_id").alias("utt"), F.col("turn").alias("rank"), F.when(F.col("turn") % 3 == 1, "").otherwise(tx.normalize(F.substring("text", 1, 60))).alias("hyp"), (-F.length("text") / 10.0).alias("s1"), (-(F.col("turn") % 4) * 3.0).alias("s2"))
+    rows = c.select(F.col("conv_id").alias("utt"), F.col("turn").alias("rank"), F.when(F.col("turn") % 3 == 1, "").otherwise(tx.normalize(F.col("text"))).alias("hyp"), (-F.length("text") / 10.0).alias("s1"), (-(F.col("turn") % 4) * 3.0).alias("s2"))
     return sc.nbest_rescore(rows).select("utt", "rank", "hyp", F.round("score", 6).alias("score"))
 
 
@@ -152,17 +152,19 @@ def masked_accuracy(spark, d):
     return sc.masked_accuracy(f, F.col("p") * 8 - 4, (F.col("label") >= 2).cast("int"), F.col("seq") % 5 != 0).select(*r6("accuracy"))
 
 
+# Words of one side alone equal nothing on the other, so all of a side share one character; DuckDB counts bytes, and the
+# words that both sides have are fewer than the one-byte characters.
 _ERRS = """err AS (SELECT *, len(list_filter(string_split(ref, ' '), lambda w: w <> '')) AS ref_words,
   list_filter(string_split(hyp, ' '), lambda w: w <> '') AS hw, list_filter(string_split(ref, ' '), lambda w: w <> '') AS rw FROM hyp_ref),
-coded AS (SELECT *, list_distinct(list_concat(hw, rw)) AS u FROM err),
-scored AS (SELECT *, levenshtein(array_to_string(list_transform(hw, lambda w: chr(CAST(32 + list_position(u, w) AS INTEGER))), ''), array_to_string(list_transform(rw, lambda w: chr(CAST(32 + list_position(u, w) AS INTEGER))), '')) AS word_errors,
+coded AS (SELECT *, list_sort(list_intersect(hw, rw)) AS u FROM err),
+scored AS (SELECT *, levenshtein(array_to_string(list_transform(hw, lambda w: chr(CAST(coalesce(list_position(u, w), 0) + 2 AS INTEGER))), ''), array_to_string(list_transform(rw, lambda w: chr(CAST(coalesce(nullif(list_position(u, w), 0) + 2, 1) AS INTEGER))), '')) AS word_errors,
   levenshtein(hyp, ref) / greatest(1, length(ref)) AS cer FROM coded)"""
 _SCEN = "scen AS (SELECT 'type' || label AS scenario, 'e' || (key % 3) AS engine, p FROM frames)"
 
 QUERIES = {f.__name__: f for f in (normalize_text, char_encode, char_decode, split_sentences, length_window, char_ngrams, rtf, strip_punct, duration_filter, group_key_from_path, frame_count, hz_mel, db_convert, clip_levels, cer, wer, corpus_wer, engine_leaderboard, scenario_pivot, scenario_score, latency_summary, rolling_stage_percentile, event_counters, run_selection, best_k_runs, score_histogram, log_sum_exp, nbest_rescore, masked_accuracy)}
 ORACLE_SQL = {
     "normalize_text": f"SELECT doc_id, {norm_sql('text')} AS norm FROM documents",
-    "char_encode": "SELECT doc_id, array_to_string(list_transform(list_filter(string_split(lower(substr(text, 1, 200)), ''), lambda c: c <> '' AND instr(' abcdefghijklmnopqrstuvwxyz', c) > 0), lambda c: CAST(instr(' abcdefghijklmnopqrstuvwxyz', c) AS VARCHAR)), ',') AS ids FROM documents WHERE lang = 'en'",
+    "char_encode": "SELECT doc_id, array_to_string(list_transform(list_filter(string_split(lower(text), ''), lambda c: c <> '' AND instr(' abcdefghijklmnopqrstuvwxyz', c) > 0), lambda c: CAST(instr(' abcdefghijklmnopqrstuvwxyz', c) AS VARCHAR)), ',') AS ids FROM documents",
     "char_decode": "SELECT doc_id, regexp_replace(lower(text), '[^a-z ]', '', 'g') AS text FROM documents",
     "split_sentences": """SELECT doc_id, CAST(unnest(range(len(l))) AS BIGINT) AS pos, unnest(l) AS sentence FROM (
         SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?;:])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS l FROM documents)""",
@@ -197,7 +199,7 @@ ORACLE_SQL = {
     "score_histogram": with_sql("""c AS (SELECT label, CAST(least(60, floor(p / (CAST(1 AS DOUBLE) / 60)) + 1) AS BIGINT) AS bin, count(*) AS n FROM frames WHERE p BETWEEN 0 AND 1 GROUP BY 1, 2)
         SELECT label, bin, round(n / (sum(n) OVER (PARTITION BY label) * (CAST(1 AS DOUBLE) / 60)), 6) AS density FROM c""", "frames"),
     "log_sum_exp": with_sql("m AS (SELECT key, max(p * 1000) AS t FROM frames GROUP BY key) SELECT key, round(t + ln(sum(exp(p * 1000 - t))), 6) AS lse FROM frames JOIN m USING (key) GROUP BY key, t", "frames"),
-    "nbest_rescore": f"""WITH h AS (SELECT conv_id AS utt, turn AS rank, CASE WHEN turn % 3 = 1 THEN '' ELSE {norm_sql('substr(text, 1, 60)')} END AS hyp, CAST(0.3 AS DOUBLE) * (-length(text) / CAST(10 AS DOUBLE)) + CAST(0.7 AS DOUBLE) * (-(turn % 4) * CAST(3 AS DOUBLE)) AS score FROM conversations)
+    "nbest_rescore": f"""WITH h AS (SELECT conv_id AS utt, turn AS rank, CASE WHEN turn % 3 = 1 THEN '' ELSE {norm_sql('text')} END AS hyp, CAST(0.3 AS DOUBLE) * (-length(text) / CAST(10 AS DOUBLE)) + CAST(0.7 AS DOUBLE) * (-(turn % 4) * CAST(3 AS DOUBLE)) AS score FROM conversations)
         SELECT utt, rank, hyp, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY utt ORDER BY hyp = '', score DESC, rank) AS r FROM h) WHERE r = 1""",
     "masked_accuracy": sql("SELECT round(avg(CASE WHEN (1 / (1 + exp(-(p * 8 - 4))) > 0.5) = (label >= 2) THEN 1.0 ELSE 0.0 END) FILTER (seq % 5 <> 0), 6) AS accuracy FROM frames", "frames"),
 }

@@ -9,6 +9,7 @@ from ..operators import adaptive as ad
 from ..streaming import keyed as ky
 from ..streaming import sources as so
 from ..streaming import windows as wi
+from ..tables import shared_folder
 from . import q_gates, q_scoring, q_series, q_sessions
 from . import views as v
 from .q_scoring import r6
@@ -80,7 +81,7 @@ def late_side_output(spark, d):
 def append_stream(spark, d):
     """Two runs of one stream on one checkpoint: the second finds nothing new, and every row is there once."""
     rows = v.stages(spark, d).withColumn("at", F.col("ts").cast("timestamp"))
-    base = so.shared_folder(spark, "append")
+    base = shared_folder(spark, "append")
     so.write_slices(rows, f"{base}/in", "at", 3)
     for _ in range(2):
         so.append_batches(so.event_source(spark, f"{base}/in", rows.schema), f"{base}/out", f"{base}/checkpoint")
@@ -91,7 +92,7 @@ def align_stream(spark, d):
     from pyspark.sql import types as T
 
     waves = v.waves(spark, d).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("n")))
-    base = so.shared_folder(spark, "align")
+    base = shared_folder(spark, "align")
     so.write_slices(waves, f"{base}/in", "ts", 2)
     pair = [so.event_source(spark, f"{base}/in", waves.schema) for _ in range(2)]
     stream = wi.align_stream(pair[0], pair[1], 3)

@@ -49,16 +49,16 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hyp_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, turn, engine, ref, hyp: a turn's first 40 words, and the next turn's."""
+    """conv_id, turn, engine, ref, hyp: a turn's text, normalised, and the next turn's."""
     c = table(spark, sf_dir, "conversations")
-    cut = F.array_join(F.slice(tx.words(tx.normalize(F.col("text"))), 1, 40), " ")
+    whole = tx.normalize(F.col("text"))
     following = F.lead("ref").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return c.select("conv_id", "turn", F.col("role").alias("engine"), cut.alias("ref")).withColumn("hyp", following).where("hyp is not null and ref is not null")
+    return c.select("conv_id", "turn", F.col("role").alias("engine"), whole.alias("ref")).withColumn("hyp", following).where("hyp is not null and ref is not null")
 
 
 def sentence_rows(spark: SparkSession, sf_dir: str, min_words: int = 4, max_words: int = 16) -> DataFrame:
-    """doc_id, pos, sentence, norm: English sentences of 4 to 16 words, the first of equal ones."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    """doc_id, pos, sentence, norm: sentences of 4 to 16 words, the first of equal ones."""
+    d = table(spark, sf_dir, "documents")
     rows = d.select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence")).withColumn("norm", tx.normalize(F.col("sentence")))
     rows = rows.withColumn("n_words", F.size(tx.words(F.col("norm"))).cast("long")).where(F.col("n_words").between(min_words, max_words))
     first = Window.partitionBy("norm").orderBy("doc_id", "pos")
@@ -93,14 +93,14 @@ SQL = {
     "waves": "SELECT vec_id AS key, CAST(unnest(range(len(embedding))) AS BIGINT) AS n, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings",
     "vectors": "SELECT vec_id AS id, CAST(label AS BIGINT) AS speaker, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
     "hyp_ref": f"""SELECT conv_id, turn, engine, ref, hyp FROM (SELECT conv_id, turn, role AS engine, ref, lead(ref) OVER (PARTITION BY conv_id ORDER BY turn) AS hyp FROM (
-        SELECT conv_id, turn, role, array_to_string(list_filter(string_split({norm_sql('text')}, ' '), lambda w: w <> '')[1:40], ' ') AS ref FROM conversations)) WHERE hyp IS NOT NULL AND ref IS NOT NULL""",
+        SELECT conv_id, turn, role, {norm_sql('text')} AS ref FROM conversations)) WHERE hyp IS NOT NULL AND ref IS NOT NULL""",
     "sentence_rows": f"""SELECT doc_id, pos, sentence, norm, n_words FROM (
         SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) AS r FROM (
           SELECT *, CAST(len(list_filter(string_split(norm, ' '), lambda w: w <> '')) AS BIGINT) AS n_words FROM (
             SELECT doc_id, pos, sentence, {norm_sql('sentence')} AS norm FROM (
               SELECT doc_id, CAST(unnest(range(len(l))) AS BIGINT) AS pos, unnest(l) AS sentence FROM (
                 SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?;:])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS l
-                FROM documents WHERE lang = 'en'))))
+                FROM documents))))
         WHERE n_words BETWEEN 4 AND 16) WHERE r = 1""",
     "manifest": "SELECT source || '/' || source || '-' || doc_id AS path, source AS speaker, n_chars / 15.0 AS duration, text, doc_id FROM documents",
     "runs": "SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, value AS metric FROM events",

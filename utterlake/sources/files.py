@@ -8,9 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import numbered
+
 MANIFEST = "utt_id string, text string, raw_text string, duration_s double"
 
 
@@ -106,15 +108,6 @@ def next_ids(existing: DataFrame, new: DataFrame, order: list[str], prefix: str
     return numbered(new, order, "__k").crossJoin(last).withColumn("utt_id", F.concat(F.lit(prefix), F.format_string("%04d", F.col("__last") + 1 + F.col("__k")))).drop("__k", "__last")
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``rows`` with their number in ``order``, from 0: each range partition counts its own rows, and the ranges' totals,
-    one row a partition, are added up."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    totals = ranged.groupBy("__part").agg(F.count("*").alias("__size"))
-    before = totals.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return ranged.join(before, "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
-
-
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 

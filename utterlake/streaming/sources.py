@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; in a local session without one, below a temporary folder."""
-    base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="utterlake-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
+from ..tables import shared_folder
 
 def event_source(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
     """A stream of the Parquet files in a folder, oldest first."""
@@ -32,7 +19,7 @@ def write_slices(rows: DataFrame, path: str, order: str, slices: int) -> None:
     """The rows as ``slices`` files that follow each other in ``order``: what a service leaves behind over time. The
     borders are quantiles, so the files are about equal."""
     rows = rows.withColumn("__at", F.col(order).cast("double"))
-    edges = rows.approxQuantile("__at", [k / slices for k in range(1, slices)], 0.001)
+    edges = rows.approxQuantile("__at", [k / slices for k in range(1, slices)], 0.001) if slices > 1 else []
     for low, high in zip([None, *edges], [*edges, None], strict=True):
         part = rows if low is None else rows.where(F.col("__at") > low)
         part = part if high is None else part.where(F.col("__at") <= high)
