@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import let, materialize
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RUNS = "array<struct<from:int,to:int>>"
@@ -66,13 +66,19 @@ def body_words(body: Column) -> Column:
     return F.when(body != "", F.split(body, " ")).otherwise(F.array().cast("array<string>"))
 
 
-def positional_index(tokens: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+def positional_index(tokens: DataFrame, wanted: DataFrame, window: int, piece: int = 64) -> DataFrame:
     """The postings term, row_id, pos of the wanted terms, in the order of terms; those of terms that may begin a lookup
-    carry the words around them (at most ``2 * window - 1``)."""
+    carry the words around them (at most ``2 * window - 1``). Texts are cut into pieces of ``piece`` words with the words
+    around these, so a row is small however long its text."""
     terms = wanted.groupBy("term").agg(F.max("first").alias("first"))
-    left = F.least(F.col("pos"), F.lit(window - 1))
-    around = F.when(F.col("first"), F.slice("words", F.col("pos") - left + 1, left + window))
-    placed = tokens.select("row_id", body_words(F.col("body")).alias("words")).select("row_id", "words", F.posexplode("words").alias("pos", "term"))
+    reach = window - 1
+    low = lambda base: F.greatest(base - reach, F.lit(0))
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(piece)), lambda base: F.struct(base.alias("base"), F.slice(w, low(base) + 1, piece + 2 * reach).alias("words")))
+    pieces = tokens.where("body <> ''").select("row_id", F.explode(let(body_words(F.col("body")), cut)).alias("p")).select("row_id", "p.base", "p.words")
+    own = F.slice("words", F.col("base") - low(F.col("base")) + 1, piece)
+    placed = pieces.select("row_id", "base", "words", F.posexplode(own).alias("i", "term")).withColumn("pos", F.col("base") + F.col("i"))
+    left = F.least(F.col("pos"), F.lit(reach))
+    around = F.when(F.col("first"), F.slice("words", F.col("pos") - left - low(F.col("base")) + 1, left + window))
     index = placed.join(terms, "term").select("term", "row_id", "pos", around.alias("around"))
     return materialize(index.repartition("term", "row_id").sortWithinPartitions("term", "row_id", "pos"), "positional-index")
 

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import let, materialize
 
 # The base patterns, in the order of their kinds.
 KINDS = ["assign", "access", "hex"]
@@ -32,12 +32,6 @@ _BLOCK = 256
 _FAR = 2**31 - 1
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body names it: lambdas compute what they name
-    anew for every element, unless it is bound to a variable."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def before_each(values: Column, zero: int, join) -> Column:
     """What ``join`` (associative, of two integers) makes of all values before each one, from ``zero``. The array is
     cut into blocks, so the work for n values grows as n times the square root of n and not as its square."""
