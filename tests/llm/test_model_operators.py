@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from utterlake.llm import ann, lm_scoring, packing, quality, token_output
+from utterlake.llm import ann, lm_scoring, near_dup, packing, quality, token_output
 from utterlake.llm.tokens import encoder, tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
@@ -245,14 +245,79 @@ def test_hilbert_curve_visits_neighbours():
     assert (np.abs(np.diff(cells[order], axis=0)).sum(1) == 1).all()
 
 
-def test_pipeline_stages(spark):
+def plain_pipeline(spark, folder):
+    """The pipeline's documents before packing, stage by stage on the driver; only the fitted model is the operator's."""
+    rows = [r.asDict() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    model = quality.fit_quality(quality.with_vectors(spark.read.parquet(f"{folder}/documents.parquet")), spark.read.parquet(f"{folder}/labels.parquet"))
+    scores = model.score(quality.document_vectors(pa.array([r["text"] for r in rows])).astype(np.float32).astype(float))
+    rows = [r for r, s in zip(rows, scores, strict=True) if s >= 0.3]
+    key = lambda line: re.sub(rb"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", b"", line.encode()).lower()
+    holders = defaultdict(set)
+    for r in rows:
+        for line in (r["text"] or "").split("\n"):
+            if len(key(line).decode()) >= 40:
+                holders[key(line)].add(r["doc_id"])
+    keeper = {k: max(ids) for k, ids in holders.items() if len(ids) >= 5}
+    for r in rows:
+        r["text"] = "\n".join(x for x in (r["text"] or "").split("\n") if keeper.get(key(x), r["doc_id"]) == r["doc_id"])
+    cut = lambda text: [w.decode() for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.encode().lower())]
+    rows.sort(key=lambda r: r["doc_id"])
+    code = {}
+    words = [np.array([code.setdefault(w, len(code)) for w in cut(r["text"])], np.uint32) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):  # all pairs
+        for j in range(i):
+            band = near_dup.allowed(len(words[i]), len(words[j]), 0.8)
+            if near_dup.rough_distance(words[i], words[j]) <= band and near_dup.edit_distance(words[i], words[j], band) <= band:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    rows = [r for i, r in enumerate(rows) if find(i) == i]
+    items = [cut(r.text or "") for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    windows = {tuple(q[s : s + 13]) for q in items for s in range(max(1, len(q) - 12)) if q}
+    sizes = {len(w) for w in windows}
+    kept = []
+    for r in rows:
+        own, hit = cut(r["text"]), set()
+        for k in sizes:
+            for s in range(len(own) - k + 1):
+                if tuple(own[s : s + k]) in windows:
+                    hit.update(range(s, s + k))
+        if not hit or 20 * len(hit) < len(own):
+            kept.append(r)
+    return {r["doc_id"]: r["text"] for r in kept}
+
+
+def test_pipeline_equals_a_plain_version(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    n = docs.count()
+    columns, n = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = corpus_pipeline.materialize(stage(spark, docs, DATA), name)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        assert docs.count() <= n
+        assert docs.columns == columns and docs.count() <= n
         n = docs.count()
     assert docs.where("n_chars <> char_length(text)").count() == 0
-    packed = {r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()}
-    assert packed == {r.doc_id for r in docs.collect()}
+    want = plain_pipeline(spark, DATA)
+    assert {r.doc_id: r.text for r in docs.collect()} == want
+    packed, encode = corpus_pipeline.run(spark, DATA).collect(), library("byte_bpe_50k.json")
+    lengths, places = Counter(), defaultdict(list)
+    for r in packed:
+        lengths[r.doc_id] += r.length
+        places[r.sequence_id].append((r.offset, r.length))
+    assert lengths == {i: len(encode(t)) + 1 for i, t in want.items()}
+    for spans in places.values():
+        assert [a for a, _ in sorted(spans)] == [sum(x for _, x in sorted(spans)[:k]) for k in range(len(spans))] and sum(x for _, x in spans) <= 2048
+
+
+def test_pipeline_stages_with_odd_rows(spark):
+    rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (None, "Some good text without an id.", "en", None, 29), (3, "again", None, "s", 5), (3, "again", None, "s", 5), (4, "word " * 50_000, "en", "s", 250_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumnRenamed("lang", "h1").withColumnRenamed("source", "row_id")
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, DATA)
+            assert name == "pack" or out.columns == table.columns
+            assert out.count() >= (1 if table is docs else 0)
