@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..tables import numbered
+from .series import linear_regrid
 from .verify import order_key
 
 
@@ -107,6 +108,42 @@ def ctc_feasibility(items: DataFrame) -> DataFrame:
     return rows.withColumn("ok", F.floor(F.col("frames") / 1.1) >= F.col("need"))
 
 
+def ctc_summary(items: DataFrame, speed: float = 1.1) -> DataFrame:
+    """speed, violations, worst, median of frames over need, at ``speed`` and at the raw one, for items of ids, frames
+    that need any frame."""
+    rows = ctc_feasibility(items).where("need > 0")
+    at = lambda s: rows.select(F.lit(s).alias("speed"), F.floor(F.col("frames") / s).alias("f"), "need")
+    ratio = F.col("f") / F.col("need")
+    both = at(speed).unionByName(at(1.0))
+    return both.groupBy("speed").agg(F.count_if(F.col("f") < F.col("need")).alias("violations"), F.min(ratio).alias("worst"), F.percentile(ratio, F.lit(0.5)).alias("median"))
+
+
+def speed_series(samples: DataFrame, items: DataFrame, speeds: tuple[float, ...] = (0.9, 1.0, 1.1)) -> DataFrame:
+    """key, speed_id, class_id, n, x: the samples (key, n, x) of each item (key, speaker) resampled to each speed; every
+    speed of a speaker is a class of its own."""
+    classes = speed_expand(items, speeds).select("key", "speed_id", "class_id")
+    grids = [linear_regrid(samples, s).withColumn("speed_id", F.lit(i).cast("long")) for i, s in enumerate(speeds)]
+    moved = grids[0]
+    for g in grids[1:]:
+        moved = moved.unionByName(g)
+    return moved.join(classes, ["key", "speed_id"]).select("key", "speed_id", "class_id", "n", "x")
+
+
+def valid_manifest(cached: DataFrame, listing: DataFrame, key: str = "path") -> DataFrame:
+    """The cached manifest if it has rows and all of its paths are still listed, else the listing: every path is
+    looked up, not a sample."""
+    gone = cached.join(listing.select(key), key, "left_anti")
+    return listing if cached.isEmpty() or not gone.isEmpty() else cached
+
+
+def require_valid(report: DataFrame) -> DataFrame:
+    """The report, if no check has failed; else an error that names those that have."""
+    bad = [f"{r['check']}: {r['detail']}" for r in report.where("not ok").collect()]  # a row a check
+    if bad:
+        raise ValueError("failed checks: " + "; ".join(bad))
+    return report
+
+
 def speed_expand(items: DataFrame, speeds: tuple[float, ...] = (0.9, 1.0, 1.1)) -> DataFrame:
     """Each item at each speed; ``class_id`` = speaker's place in order * speeds + the speed's place."""
     table = items.sparkSession.createDataFrame(list(enumerate(speeds)), "speed_id long, speed double")

@@ -70,15 +70,16 @@ def event_counters(events: DataFrame) -> DataFrame:
     return events.groupBy("type").agg(F.count("*").alias("n"))
 
 
-def run_selection(runs: DataFrame) -> DataFrame:
-    """run, best, best_step, upper median of the evaluations after the first, their spread, the floor (the first)."""
+def run_selection(runs: DataFrame, ci: float = 0.0, wide: float = 0.02) -> DataFrame:
+    """run, best, best_step, upper median of the evaluations after the first, their spread, the floor (the first), and
+    whether the result is ``wide``: the spread or the confidence interval ``ci`` exceeds that bound."""
     order = Window.partitionBy("run").orderBy("metric", "step")
     later = runs.where("step > 0").withColumn("__r", F.row_number().over(order)).withColumn("__n", F.count("*").over(Window.partitionBy("run")))
     tail = later.groupBy("run").agg(
         F.max(F.when(F.col("__r") == F.floor(F.col("__n") / 2) + 1, F.col("metric"))).alias("median"), (F.max("metric") - F.min("metric")).alias("spread")
     )
     head = runs.groupBy("run").agg(F.min("metric").alias("best"), F.min_by("step", F.struct("metric", "step")).alias("best_step"), F.min_by("metric", "step").alias("floor"))
-    return head.join(tail, "run", "left")
+    return head.join(tail, "run", "left").withColumn("wide", F.greatest(F.lit(ci), F.coalesce("spread", F.lit(0.0))) > wide)
 
 
 def best_k_runs(runs: DataFrame, k: int) -> DataFrame:

@@ -23,30 +23,41 @@ def order_key(seed: int, *columns: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]), 256)
 
 
-def trial_pairs(items: DataFrame, n_pairs: int, seed: int = 0, partners: int = 8) -> DataFrame:
+def trial_pairs(items: DataFrame, n_pairs: int, seed: int = 0, bucket_rows: int = 4096) -> DataFrame:
     """a, b, same: as many pairs of one speaker as of two, each unordered pair once, none with itself.
 
-    ``n_pairs // 2`` pairs of each kind, fewer if there are not so many of the same speaker. All pairs are never made:
-    within a speaker an item meets the items at up to ``partners`` places after it in a hashed order, and an impostor
-    candidate is the item at such a place in the hashed order of all items of its bucket. Fewer than two speakers is
-    an error.
+    ``n_pairs // 2`` pairs of each kind, fewer if there are not so many of the same speaker or of two. All pairs are
+    never made: within a speaker an item meets the items at the next places of a hashed order, and an impostor candidate
+    is the item at such a place in the hashed order of its bucket of about ``bucket_rows``. The number of places starts
+    at what the quota needs on average and doubles until the quota is met or the largest group has no further place.
+    Fewer than two speakers is an error.
     """
     if items.select("speaker").distinct().limit(2).count() < 2:
         raise ValueError("trials need at least two speakers")
-    half = n_pairs // 2
-    hashed = items.select("id", "speaker", order_key(seed, "id").alias("h")).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(64)))
+    half, total = n_pairs // 2, items.count()
+    buckets = max(1, total // bucket_rows)
+    hashed = items.select("id", "speaker", order_key(seed, "id").alias("h")).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(buckets)))
 
-    def ahead(by: str) -> DataFrame:
+    def ahead(by: str, partners: int) -> DataFrame:
         w = Window.partitionBy(by).orderBy("h")
         rows = hashed.withColumn("others", F.collect_list(F.struct("id", "speaker")).over(w.rowsBetween(1, partners)))
         pairs = rows.select("id", "speaker", F.explode("others").alias("o"))
         return pairs.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"), (F.col("speaker") == F.col("o.speaker")).cast("long").alias("same")).distinct()
 
-    same, different = ahead("speaker").where("same = 1 and a <> b"), ahead("bucket").where("same = 0")
+    def enough(by: str, rule: str, wanted: int) -> DataFrame:
+        largest = hashed.groupBy(by).count().agg(F.max("count")).first()[0]
+        partners = max(1, -(-2 * wanted // total))
+        while True:
+            found = ahead(by, partners).where(rule)
+            if partners >= largest - 1 or found.limit(wanted).count() >= wanted:
+                return found
+            partners *= 2
+
     first = lambda df, n: df.withColumn("__h", order_key(seed, "a", "b")).orderBy("__h").limit(n).drop("__h")
-    targets = first(same, half)
+    targets = first(enough("speaker", "same = 1 and a <> b", half), half)
     n = targets.count()
-    return targets.unionByName(first(different, n))
+    others = first(enough("bucket", "same = 0", n), n)
+    return (targets if others.count() >= n else first(targets, others.count())).unionByName(others)
 
 
 def all_pairs(items: DataFrame) -> DataFrame:

@@ -122,6 +122,38 @@ def speed_expand(spark, d):
     return pr.speed_expand(man(spark, d)).select("path", F.col("speed_id"), "class_id", F.round(F.col("duration") / F.col("speed"), 6).alias("seconds"))
 
 
+def ctc_summary(spark, d):
+    return pr.ctc_summary(encoded(spark, d)).select("speed", "violations", *r6("worst", "median"))
+
+
+def speed_series(spark, d):
+    e = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").alias("speaker"))
+    return pr.speed_series(v.waves(spark, d), e).groupBy("key", "speed_id", "class_id").agg(F.count("*").alias("n"), F.round(F.sum("x"), 6).alias("total"))
+
+
+def manifest_cache(spark, d):
+    """A cache that lacks nothing is kept; one with a path that is gone gives way to the listing."""
+    listing = man(spark, d).select("path")
+    kept = pr.valid_manifest(listing.where("path like '%3'"), listing).withColumn("from_cache", F.lit(True))
+    gone = listing.select(F.concat("path", F.lit("-gone")).alias("path"))
+    return kept.unionByName(pr.valid_manifest(gone, listing).withColumn("from_cache", F.lit(False)))
+
+
+def pool_intersection(spark, d):
+    """How many n-grams both pools have."""
+    a, b = (pr.ngram_frequency(x).select("gram") for x in (chosen(spark, d), sents(spark, d).where("doc_id % 5 = 0")))
+    return a.intersect(b).agg(F.count("*").alias("shared"))
+
+
+def shifted_padded(spark, d):
+    """Targets padded with 0 to the longest of their batch."""
+    from ..operators.batching import ragged_pad
+
+    rows = pr.shifted_targets(encoded(spark, d)).select("doc_id", "pos", "y_in", (F.col("doc_id") % 50).alias("batch"))
+    found = ragged_pad(rows, "batch", "y_in")
+    return found.select("doc_id", "pos", F.size("y_in").cast("long").alias("padded"), F.array_join(F.slice("y_in", F.col("length"), 2), ",").alias("edge"))
+
+
 def shifted_targets(spark, d):
     out = pr.shifted_targets(encoded(spark, d))
     return out.select("doc_id", "pos", F.array_join("y_in", ",").alias("y_in"), F.array_join("y_out", ",").alias("y_out"))
@@ -138,7 +170,7 @@ _GRAMS = "grams AS (SELECT DISTINCT doc_id, pos, substr(' ' || norm || ' ', i, 3
 _ENC = """enc AS (SELECT doc_id, pos, norm, list_transform(list_filter(string_split(norm, ''), lambda c: c <> '' AND instr(' abcdefghijklmnopqrstuvwxyz', c) > 0), lambda c: instr(' abcdefghijklmnopqrstuvwxyz', c)) AS ids FROM sentence_rows),
 fit AS (SELECT doc_id, pos, len(ids) + CASE WHEN len(ids) > 1 THEN len(list_filter(range(2, len(ids) + 1), lambda i: ids[i] = ids[i - 1])) ELSE 0 END AS need, greatest(0, 1 + floor((floor(length(norm) / CAST(60 AS DOUBLE) * 16000) - 400) / 160)) AS frames FROM enc)"""
 
-QUERIES = {f.__name__: f for f in (stable_shuffle, item_split, group_split, stride_sample, pool_minus_existing, todo_anti, frozen_list, union_lists, overlap, pool_union_distinct, split_leakage, manifest_join, manifest_cache_check, bench_matrix, ngram_frequency, word_frequency, pair_frequency, coverage_report, corpus_totals, corpus_fingerprint, ctc_feasibility, speed_expand, shifted_targets, validation_report)}
+QUERIES = {f.__name__: f for f in (stable_shuffle, item_split, group_split, stride_sample, pool_minus_existing, todo_anti, frozen_list, union_lists, overlap, pool_union_distinct, split_leakage, manifest_join, manifest_cache_check, bench_matrix, ngram_frequency, word_frequency, pair_frequency, coverage_report, corpus_totals, corpus_fingerprint, ctc_feasibility, speed_expand, ctc_summary, speed_series, manifest_cache, pool_intersection, shifted_padded, shifted_targets, validation_report)}
 ORACLE_SQL = {
     "stable_shuffle": sql(f"SELECT path, row_number() OVER (ORDER BY {_KEY.format(seed=7, c='path')}, path) - 1 AS place FROM manifest", "manifest"),
     "item_split": sql(f"SELECT path, row_number() OVER (ORDER BY {_KEY.format(seed=1, c='path')}, path) <= greatest(1, least(300, (SELECT count(*) FROM manifest) // 10)) AS dev FROM manifest", "manifest"),
@@ -168,6 +200,17 @@ ORACLE_SQL = {
         SELECT 'n=' || max(n) || ':' || substr(sha1(string_agg(text, '' ORDER BY r) FILTER (r % greatest(1, n // 200) = 0)), 1, 12) AS fingerprint FROM t""",
     "ctc_feasibility": with_sql(_ENC + " SELECT doc_id, pos, need, floor(frames / CAST(1.1 AS DOUBLE)) >= need AS ok FROM fit", "sentence_rows"),
     "speed_expand": with_sql("s AS (SELECT speaker, row_number() OVER (ORDER BY speaker) - 1 AS s FROM (SELECT DISTINCT speaker FROM manifest)), k AS (SELECT unnest([0, 1, 2]) AS speed_id, unnest([0.9, 1.0, 1.1]) AS sp) SELECT path, CAST(speed_id AS BIGINT) AS speed_id, s * 3 + speed_id AS class_id, round(CAST(duration AS DOUBLE) / CAST(sp AS DOUBLE), 6) AS seconds FROM manifest JOIN s USING (speaker), k", "manifest"),
+    "ctc_summary": with_sql(_ENC + """, s AS (SELECT sp AS speed, floor(frames / sp) AS f, need FROM fit, (SELECT unnest([CAST(1.1 AS DOUBLE), CAST(1 AS DOUBLE)]) AS sp) WHERE need > 0)
+        SELECT speed, count(*) FILTER (f < need) AS violations, round(min(f / need), 6) AS worst, round(quantile_cont(f / need, 0.5), 6) AS median FROM s GROUP BY speed""", "sentence_rows"),
+    "speed_series": with_sql("""k AS (SELECT unnest([0, 1, 2]) AS speed_id, unnest([CAST(0.9 AS DOUBLE), CAST(1 AS DOUBLE), CAST(1.1 AS DOUBLE)]) AS sp), o AS (SELECT speed_id, CAST(round_even(64 / sp, 0) AS BIGINT) AS size FROM k),
+        g AS (SELECT speed_id, i, i * (63 / CAST(size - 1 AS DOUBLE)) AS pos FROM (SELECT speed_id, size, unnest(range(size)) AS i FROM o)),
+        r AS (SELECT a.key, speed_id, i, a.x + (coalesce(b.x, a.x) - a.x) * (pos - floor(pos)) AS x FROM g JOIN waves a ON a.n = CAST(least(floor(pos), 63) AS BIGINT) LEFT JOIN waves b ON b.key = a.key AND b.n = a.n + 1),
+        c AS (SELECT vec_id AS key, (dense_rank() OVER (ORDER BY label) - 1) * 3 AS c FROM embeddings)
+        SELECT key, CAST(speed_id AS BIGINT) AS speed_id, c + speed_id AS class_id, count(*) AS n, round(sum(x), 6) AS total FROM r JOIN c USING (key) GROUP BY key, speed_id, c""", "waves"),
+    "manifest_cache": sql("SELECT path, true AS from_cache FROM manifest WHERE path LIKE '%3' UNION ALL SELECT path, false FROM manifest", "manifest"),
+    "pool_intersection": with_sql(_GRAMS + " SELECT count(*) AS shared FROM (SELECT gram FROM grams WHERE doc_id % 3 = 0 INTERSECT SELECT gram FROM grams WHERE doc_id % 5 = 0)", "sentence_rows"),
+    "shifted_padded": with_sql(_ENC + """, y AS (SELECT doc_id, pos, doc_id % 50 AS batch, list_prepend(1, ids) AS y FROM enc)
+        SELECT doc_id, pos, max(len(y)) OVER (PARTITION BY batch) AS padded, CASE WHEN len(y) = max(len(y)) OVER (PARTITION BY batch) THEN CAST(y[-1] AS VARCHAR) ELSE y[-1] || ',0' END AS edge FROM y""", "sentence_rows"),
     "shifted_targets": with_sql(_ENC + " SELECT doc_id, pos, concat_ws(',', '1', CASE WHEN len(ids) > 0 THEN array_to_string(ids, ',') END) AS y_in, concat_ws(',', CASE WHEN len(ids) > 0 THEN array_to_string(ids, ',') END, '1') AS y_out FROM enc", "sentence_rows"),
     "validation_report": with_sql(_ENC + """, c AS (SELECT 'durations' AS "check", count(*) FILTER (duration <= 0) AS n FROM manifest UNION ALL SELECT 'feasible', count(*) FILTER (NOT floor(frames / CAST(1.1 AS DOUBLE)) >= need) FROM fit UNION ALL SELECT 'short', count(*) FILTER (duration < 1) FROM manifest)
         SELECT "check", n = 0 AS ok, CAST(n AS VARCHAR) AS detail, (SELECT count(*) FILTER (n > 0) FROM c) AS failed FROM c""", "sentence_rows", "manifest"),

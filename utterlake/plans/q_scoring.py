@@ -125,7 +125,7 @@ def event_counters(spark, d):
 
 
 def run_selection(spark, d):
-    return sc.run_selection(v.runs(spark, d)).select("run", *r6("best"), "best_step", *r6("median", "spread", "floor"))
+    return sc.run_selection(v.runs(spark, d)).select("run", *r6("best"), "best_step", *r6("median", "spread", "floor"), "wide")
 
 
 def best_k_runs(spark, d):
@@ -194,7 +194,7 @@ ORACLE_SQL = {
     "run_selection": with_sql("""l AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY metric, step) AS r, count(*) OVER (PARTITION BY run) AS n FROM runs WHERE step > 0),
         t AS (SELECT run, max(metric) FILTER (r = n // 2 + 1) AS median, max(metric) - min(metric) AS spread FROM l GROUP BY run),
         o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY metric, step) AS r FROM runs)
-        SELECT o.run, round(o.metric, 6) AS best, o.step AS best_step, round(median, 6) AS median, round(spread, 6) AS spread, round(f.metric, 6) AS floor FROM o LEFT JOIN t ON o.run = t.run JOIN runs f ON f.run = o.run AND f.step = 0 WHERE o.r = 1""", "runs"),
+        SELECT o.run, round(o.metric, 6) AS best, o.step AS best_step, round(median, 6) AS median, round(spread, 6) AS spread, round(f.metric, 6) AS floor, greatest(0.0, coalesce(spread, 0.0)) > 0.02 AS wide FROM o LEFT JOIN t ON o.run = t.run JOIN runs f ON f.run = o.run AND f.step = 0 WHERE o.r = 1""", "runs"),
     "best_k_runs": sql("SELECT run, step, round(metric, 6) AS metric FROM runs ORDER BY runs.metric, run, step LIMIT 20", "runs"),
     "score_histogram": with_sql("""c AS (SELECT label, CAST(least(60, floor(p / (CAST(1 AS DOUBLE) / 60)) + 1) AS BIGINT) AS bin, count(*) AS n FROM frames WHERE p BETWEEN 0 AND 1 GROUP BY 1, 2)
         SELECT label, bin, round(n / (sum(n) OVER (PARTITION BY label) * (CAST(1 AS DOUBLE) / 60)), 6) AS density FROM c""", "frames"),
