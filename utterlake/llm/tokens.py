@@ -21,7 +21,7 @@ from ._shared import prefix_sums, span_hashes, utf8_chunks
 #: Pieces that a worker remembers, at about 40 bytes each; when full it starts anew.
 MAX_PIECES = 2_000_000
 #: Bytes of text that are cut into pieces at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 
