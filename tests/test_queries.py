@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from utterlake.operators import endpoint, gates, scoring, verify
+from utterlake.operators import endpoint, gates, prep, scoring, verify
 from utterlake.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -95,6 +95,16 @@ def test_trials_are_balanced_and_unique(spark):
     rows = verify.trial_pairs(items, 100).collect()
     assert sum(r.same for r in rows) == 50 == sum(1 - r.same for r in rows)
     assert len({(r.a, r.b) for r in rows}) == 100 and all(r.a < r.b for r in rows)
+    every = verify.trial_pairs(items, 100_000).collect()  # more than there are: all pairs of one speaker
+    assert sum(r.same for r in every) == 10 * 45 == sum(1 - r.same for r in every)
+    assert len({(r.a, r.b) for r in every}) == 900
+
+
+def test_failed_checks_stop_the_job(spark):
+    report = spark.createDataFrame([("a", True, "0"), ("b", False, "3")], "check string, ok boolean, detail string")
+    with pytest.raises(ValueError, match="b: 3"):
+        prep.require_valid(report)
+    assert prep.require_valid(report.where("ok")).count() == 1
     with pytest.raises(ValueError):
         verify.trial_pairs(items.where("speaker = 1"), 10)
 
