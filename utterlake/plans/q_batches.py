@@ -27,7 +27,7 @@ def bpe_train(spark, d):
 def _encoded(spark, d):
     texts = turn_texts(spark, d)
     merges = to.bpe_train(texts, 12)
-    vocab = to.vocabulary(texts.where("conv_id % 2 = 0"), merges)
+    vocab = to.vocabulary(texts, merges)
     return to.bpe_encode(texts, ["conv_id", "turn"], merges, vocab), vocab
 
 
