@@ -11,7 +11,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -64,6 +64,26 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def placed(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with pos, their number within their group in ``order`` from 0, and size, the group's number of rows.
+
+    Rows are dealt by ranges, so that a hot group is shared by many tasks; what is added up over the ranges is a row for
+    each range and group in it."""
+    part = F.spark_partition_id()
+    ranged = materialize(rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("part", part).withColumn("at", F.monotonically_increasing_id()), "ranges")
+    runs = ranged.groupBy(*group, "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    of = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("n").over(of.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("part", *[F.col(g).alias(f"of_{g}") for g in group], "first", before.alias("before"), F.sum("n").over(of).alias("size")).withColumnRenamed("part", "of_part")
+    same = F.col("part") == F.col("of_part")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"of_{g}"))
+    pos = (F.col("at") - F.col("first") + F.col("before")).alias("pos")
+    numbered = materialize(ranged.join(runs, same).select(*rows.columns, pos, "size"), "placed")
+    discard(ranged)
+    return numbered
+
+
 def let(value, body):
     """``body(value)`` with the value computed once, however often the body names it: lambdas compute what they name
     anew for every element, unless it is bound to a variable."""
