@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import adaptive as ad
+from ..operators import takes as ta
 from ..streaming import keyed as ky
 from ..streaming import sources as so
 from ..streaming import windows as wi
@@ -24,6 +25,11 @@ def events(spark, d):
     return v.session_events(spark, d)
 
 
+def timed_waves(spark, d):
+    """The waves with an event time, a second a sample."""
+    return v.waves(spark, d).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("n")))
+
+
 def endpoint_stream(spark, d):
     return so.replay(frames(spark, d), "ts", lambda s: ky.endpoint_stream(s, q_sessions.RULES)).drop("batch")
 
@@ -33,7 +39,7 @@ def gate_stream(spark, d):
 
 
 def frame_stream(spark, d):
-    found = so.replay(v.waves(spark, d), "n", lambda s: ky.frame_stream(s, 16, 6))
+    found = so.replay(timed_waves(spark, d), "n", lambda s: ky.frame_stream(s, 16, 6))
     return found.select("key", "frame", F.round(F.aggregate("x", F.lit(0.0), lambda acc, x: acc + x * x), 6).alias("energy"))
 
 
@@ -71,11 +77,58 @@ def takes(spark, d):
     return found.select("key", F.round(F.col("start").cast("double"), 3).alias("start"), F.round(F.col("end").cast("double"), 3).alias("end"), "n")
 
 
+def _late(spark, d):
+    """The folders of the main and the side output of one run: every tenth frame of a key comes once more, a month later
+    than it was due."""
+    f = frames(spark, d).withColumn("due", F.col("ts"))
+    again = f.where("seq % 10 = 3").withColumn("due", F.col("due") + F.expr("INTERVAL 30 DAYS"))
+    rows, base = f.unionByName(again), shared_folder(spark, "late")
+    so.write_slices(rows, f"{base}/in", "due", 3)
+    so.append_split(ky.tag_late(so.event_source(spark, f"{base}/in", rows.schema), "due"), "late", f"{base}/main", f"{base}/side", f"{base}/checkpoint")
+    return f"{base}/main", f"{base}/side"
+
+
 def late_side_output(spark, d):
-    """Every tenth frame of a key comes once more, a month later than it was due."""
-    f = frames(spark, d).withColumn("due", F.col("ts").cast("double"))
-    again = f.where("seq % 10 = 3").withColumn("due", F.col("due") + 30 * 86400)
-    return so.replay(f.unionByName(again), "due", ky.late_rows).select("key", "seq")
+    return spark.read.schema("key long, seq long").parquet(_late(spark, d)[1]).select("key", "seq")
+
+
+def late_main_output(spark, d):
+    return spark.read.schema("key long, seq long").parquet(_late(spark, d)[0]).select("key", "seq")
+
+
+HOUR = 3_600_000_000
+TAKE_RULES = ta.TakeRules(quiet=24 * HOUR, lead=12 * HOUR, most=36 * HOUR, min_on=1, min_off=1)
+
+
+def timed_takes(spark, d):
+    return ta.timed_takes(frames(spark, d), TAKE_RULES)
+
+
+def timed_take_stream(spark, d):
+    """Those of ``timed_takes`` that a later frame or the watermark has closed: a key's last take stays open unless its
+    deadline lies behind the last event by more than the delay."""
+    return so.replay(frames(spark, d), "ts", lambda s: ky.take_stream(s, TAKE_RULES)).drop("batch")
+
+
+def clean_series(spark, d):
+    found = ad.clean_series(v.waves(spark, d), 16)
+    return found.select("key", "n", *r6("x", "gain"))
+
+
+def clean_series_identity(spark, d):
+    """Cleaning that takes nothing away."""
+    found = ad.clean_series(v.waves(spark, d), 16, 0.0)
+    return found.select("key", "n", *r6("x", "gain"))
+
+
+def clean_stream(spark, d):
+    found = so.replay(timed_waves(spark, d), "n", lambda s: ky.clean_stream(s, 16))
+    return found.select("key", "n", *r6("x", "gain"))
+
+
+def clean_stream_identity(spark, d):
+    found = so.replay(timed_waves(spark, d), "n", lambda s: ky.clean_stream(s, 16, 0.0))
+    return found.select("key", "n", *r6("x"))
 
 
 def append_stream(spark, d):
@@ -124,11 +177,20 @@ UNION ALL SELECT key, seq, s2, m2, s2, q2, CASE WHEN seq < 6 THEN s2 ELSE least(
     SELECT *, CASE WHEN seq < 6 OR m >= s2 THEN s2 ELSE CAST(0.998 AS DOUBLE) * m + (1 - CAST(0.998 AS DOUBLE)) / (1 - CAST(0.96 AS DOUBLE)) * (s2 - CAST(0.96 AS DOUBLE) * b) END AS m2 FROM (
      SELECT f.key, f.seq, f.x, r.m, r.b, r.q, r.l, CASE WHEN f.seq < 6 THEN r.l + (f.x - r.l) / (f.seq + 1) ELSE CAST(0.8 AS DOUBLE) * r.s + (1 - CAST(0.8 AS DOUBLE)) * f.x END AS s2 FROM r JOIN f ON f.key = r.key AND f.seq = r.seq + 1))))))
 SELECT key, seq, round(s + CAST(3e-11 AS DOUBLE), 9) AS smoothed, round(m + CAST(3e-11 AS DOUBLE), 9) AS floor, round(l + CAST(3e-11 AS DOUBLE), 9) AS noise, present FROM r WHERE seq >= 0"""
+_TIMED = """WITH RECURSIVE f AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, epoch_us(ts) AS us, least(value / 100, 1.0) AS p FROM events),
+t AS (SELECT DISTINCT key, CAST(-1 AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS seen, CAST(0 AS BIGINT) AS n, false AS act, CAST(NULL AS BIGINT) AS ca, CAST(NULL AS BIGINT) AS cseen, CAST(0 AS BIGINT) AS cn FROM f
+UNION ALL SELECT key, seq, CASE WHEN fresh THEN us ELSE a END, CASE WHEN act2 THEN us WHEN fresh THEN NULL ELSE seen END, CASE WHEN fresh THEN 1 ELSE n + 1 END, act2, CASE WHEN fresh THEN a END, CASE WHEN fresh THEN seen END, CASE WHEN fresh THEN n ELSE 0 END
+FROM (SELECT *, CASE WHEN p > 0.6 THEN true WHEN p < 0.4 THEN false ELSE act AND NOT fresh END AS act2 FROM (
+  SELECT f.key, f.seq, f.us, f.p, t.a, t.seen, t.n, t.act, t.a IS NULL OR f.us >= least(t.a + 36 * h, coalesce(t.seen + 24 * h, t.a + 12 * h)) AS fresh FROM t JOIN f ON f.key = t.key AND f.seq = t.seq + 1, (SELECT CAST(3600000000 AS BIGINT) AS h)))),
+l AS (SELECT key, max(seq) AS seq FROM t GROUP BY key),
+c AS (SELECT key, ca AS a, cseen AS seen, cn AS n, false AS final FROM t WHERE ca IS NOT NULL UNION ALL SELECT t.key, t.a, t.seen, t.n, true FROM t JOIN l USING (key, seq)),
+o AS (SELECT key, a AS start, least(a + 36 * h, coalesce(seen + 24 * h, a + 12 * h)) AS "end", CASE WHEN seen IS NULL THEN 'nothing heard' WHEN a + 36 * h <= seen + 24 * h THEN 'cap' ELSE 'quiet' END AS reason, n AS n_frames, final FROM c, (SELECT CAST(3600000000 AS BIGINT) AS h))
+SELECT key, start, "end", reason, n_frames FROM o"""
 _TAKES = """a AS (SELECT key, ts, ts - lag(ts) OVER (PARTITION BY key ORDER BY ts) >= INTERVAL 30 MINUTE AS fresh FROM frames WHERE p >= 0.4),
 b AS (SELECT *, count(*) FILTER (coalesce(fresh, true)) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS take FROM a),
 c AS (SELECT key, round(epoch_us(min(ts)) / 1e6, 3) AS start, round(epoch_us(max(ts)) / 1e6 + 1800, 3) AS "end", count(*) AS n FROM b GROUP BY key, take)"""
 
-QUERIES = {f.__name__: f for f in (endpoint_stream, gate_stream, frame_stream, metrics_stream, session_state_stream, barge_in_stream, telemetry_stream, takes, take_stream, late_side_output, append_stream, align_stream, ema_floor, floor_stream)}
+QUERIES = {f.__name__: f for f in (endpoint_stream, gate_stream, frame_stream, metrics_stream, session_state_stream, barge_in_stream, telemetry_stream, takes, take_stream, timed_takes, timed_take_stream, late_side_output, late_main_output, clean_series, clean_series_identity, clean_stream, clean_stream_identity, append_stream, align_stream, ema_floor, floor_stream)}
 ORACLE_SQL = {
     "endpoint_stream": q_sessions.ORACLE_SQL["endpoint_batch"],
     "gate_stream": q_gates.ORACLE_SQL["hysteresis_gate"],
@@ -139,6 +201,11 @@ ORACLE_SQL = {
     "telemetry_stream": q_sessions.ORACLE_SQL["telemetry_mean"],
     "takes": with_sql(_TAKES + " SELECT * FROM c", "frames"),
     "late_side_output": sql("SELECT key, seq FROM frames WHERE seq % 10 = 3", "frames"),
+    "late_main_output": sql("SELECT key, seq FROM frames", "frames"),
+    "timed_takes": _TIMED,
+    "timed_take_stream": _TIMED + """ WHERE NOT final OR "end" < (SELECT max(epoch_us(ts)) - 600000000 FROM events)""",
+    "clean_series_identity": sql("SELECT key, n, round(x, 6) AS x, CAST(1.0 AS DOUBLE) AS gain FROM waves", "waves"),
+    "clean_stream_identity": sql("SELECT key, n, round(x, 6) AS x FROM waves WHERE n < 56", "waves"),
     "append_stream": "SELECT event_id, event_type AS stage, round(value, 6) AS ms FROM events",
     "align_stream": sql("SELECT a.key, b.n, round(a.x, 6) AS raw, round(b.x, 6) AS x FROM waves a JOIN waves b ON a.key = b.key AND b.n = a.n + 3", "waves"),
     "ema_floor": _FLOOR,

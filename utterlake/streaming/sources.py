@@ -38,6 +38,19 @@ def append_batches(stream: DataFrame, table: str, checkpoint: str, mode: str = "
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
 
 
+def append_split(stream: DataFrame, flag: str, main: str, side: str, checkpoint: str) -> None:
+    """One run of a stream with two outputs: rows with ``flag`` go to the folder ``side``, the others to ``main``. Each
+    micro-batch is computed once, and run again replaces what it wrote."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        batch.where(~F.col(flag)).drop(flag).write.mode("overwrite").parquet(f"{main}/batch={number}")
+        batch.where(flag).drop(flag).write.mode("overwrite").parquet(f"{side}/batch={number}")
+        batch.unpersist()
+
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+
+
 def replay(rows: DataFrame, order: str, form: Callable[[DataFrame], DataFrame], slices: int = 3, mode: str = "append") -> DataFrame:
     """The result of a streaming form over ``rows``, fed as ``slices`` files, one a micro-batch; with the batch's number."""
     spark = rows.sparkSession
