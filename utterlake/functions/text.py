@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ALPHABET = " abcdefghijklmnopqrstuvwxyz"
 BLANK = 0
@@ -53,15 +55,31 @@ def cer(hyp: Column, ref: Column) -> Column:
     return F.levenshtein(hyp, ref) / F.greatest(F.lit(1), F.length(ref))
 
 
-def word_errors(hyp: Column, ref: Column) -> Column:
-    """Edit distance in words: each different word of the pair becomes one character, then levenshtein."""
-    both = F.array_distinct(F.concat(words(hyp), words(ref)))
-
-    def as_text(ws: Column) -> Column:
-        codes = F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + 0x4DFF), 8, "0")), "UTF-32"))
-        return F.array_join(codes, "")
-
-    return F.levenshtein(as_text(words(hyp)), as_text(words(ref)))
+def edit_distance(a: list, b: list) -> int:
+    """Insertions, deletions and substitutions from one list to another. A column of the table is two bit vectors of its
+    steps up and down, so that each element of ``b`` costs a few operations on whole numbers of len(a) bits."""
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, distance = full, 0, len(a)
+    for y in b:
+        match = where.get(y, 0)
+        level = (((match & up) + up) ^ up) | match | down
+        rise, fall = down | ~(level | up) & full, up & level
+        distance += (1 if rise & top else 0) - (1 if fall & top else 0)
+        rise = (rise << 1 | 1) & full
+        up, down = (fall << 1 | ~(level | rise)) & full, rise & level
+    return distance
+
+
+@F.pandas_udf(T.LongType())
+def word_errors(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    """Edit distance in words of two normalised texts, of any number of words; NULL if one is."""
+    split = lambda text: [w for w in text.split(" ") if w]
+    return pd.Series([None if h is None or r is None else edit_distance(split(h), split(r)) for h, r in zip(hyp, ref, strict=True)], dtype="Int64")
 
 
 def wer(hyp: Column, ref: Column) -> Column:

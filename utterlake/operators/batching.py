@@ -4,35 +4,72 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import numbered
 from .verify import order_key
 
 
-def length_batches(items: DataFrame, key: str, max_frames: int = 12_000, max_batch: int = 32, partitions: int | None = None) -> DataFrame:
-    """key, frames, part, batch: items in order of duration, a batch closed before the item that would make it longer
-    than ``max_frames`` when padded, or at ``max_batch`` items. Durations are range-partitioned; each partition packs
-    its own range, so there is at most one batch a partition more than with one."""
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part, number, count, longest = TaskContext.get().partitionId(), 0, 0, 0
+def _next_starts(frames: np.ndarray, max_frames: int, max_batch: int) -> np.ndarray:
+    """Where the next batch begins if one begins at each item; items are in order of length, so a batch's longest is its
+    last one so far."""
+    n, at = len(frames), np.arange(len(frames))
+    found = np.minimum(at + max_batch, n)
+    for size in range(min(max_batch, n) - 1, 0, -1):  # the batch is full at this size if the item after it is too long for it
+        after = at[: n - size] + size
+        found[: n - size] = np.where(frames[after] * (size + 1) > max_frames, after, found[: n - size])
+    return found
+
+
+def length_batches(items: DataFrame, key: str, max_frames: int = 12_000, max_batch: int = 32, chunk: int = 8192) -> DataFrame:
+    """key, frames, part (0), batch: items in order of duration, a batch closed before the item that would make it longer
+    than ``max_frames`` when padded, or at ``max_batch`` items; the batches of one pass over all items.
+
+    The items are cut into chunks of ``chunk``. Where a batch ends depends on where it begins and on the next ``max_batch``
+    items alone, so a chunk tells for each place at which its first batch may begin how many it has and where the next
+    chunk's first one begins. These maps, a row a chunk, are followed one after another; then each chunk numbers its own."""
+    chunk = max(chunk, max_batch)
+    rows = numbered(items.select(key, F.floor(F.col("duration") * 100).cast("long").alias("frames")), ["frames", key], "__k")
+    own, begins = F.floor(F.col("__k") / chunk), F.col("__k") % chunk < max_batch
+    ahead = rows.select("frames", "__k", F.explode(F.when(begins & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))).alias("__chunk"))
+
+    def maps(of: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__k")
+        n = int((part["__k"] // chunk == of[0]).sum())
+        after = _next_starts(part["frames"].to_numpy(), max_frames, max_batch)
+        leaves, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for i in range(n - 1, -1, -1):
+            j = after[i]
+            leaves[i], count[i] = (j - n, 1) if j >= n else (leaves[j], count[j] + 1)
+        return pd.DataFrame({"__chunk": [of[0]], "leaves": [leaves[:max_batch]], "count": [count[:max_batch]]})
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, number = 0, 0
         for batch in batches:
-            numbers = []
-            for frames in batch["frames"].tolist():
-                if count and (max(longest, frames) * (count + 1) > max_frames or count >= max_batch):
-                    number, count, longest = number + 1, 0, 0
-                count, longest = count + 1, max(longest, frames)
-                numbers.append(number)
-            yield batch[[key, "frames"]].assign(part=part, batch=numbers)
-
-    rows = items.select(key, F.floor(F.col("duration") * 100).cast("long").alias("frames"))
-    ordered = rows.repartitionByRange(partitions, "frames", key) if partitions else rows.repartitionByRange("frames", key)
-    kind = items.schema[key].dataType.simpleString()
-    return ordered.sortWithinPartitions("frames", key).mapInPandas(pack, f"{key} {kind}, frames long, part int, batch long")
+            out = []
+            for of, leaves, count in zip(batch["__chunk"].tolist(), batch["leaves"], batch["count"], strict=True):
+                out.append((of, first, number))
+                number, first = number + int(count[first]), int(leaves[first])
+            yield pd.DataFrame(out, columns=["__chunk", "__first", "__number"])
+
+    def number(of: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__k")
+        mine = (part["__k"] // chunk == of[0]).to_numpy()
+        n, first = int(mine.sum()), int(part["__first"].iloc[0])
+        after = _next_starts(part["frames"].to_numpy(), max_frames, max_batch)
+        starts = np.zeros(n, np.int64)
+        while first < n:
+            starts[first] = 1
+            first = after[first]
+        return pd.DataFrame({"__k": part["__k"].to_numpy()[mine], "batch": part["__number"].iloc[0] - 1 + np.cumsum(starts)})
+
+    found = ahead.groupBy("__chunk").applyInPandas(maps, "__chunk long, leaves array<long>, count array<long>")
+    entries = found.coalesce(1).sortWithinPartitions("__chunk").mapInPandas(follow, "__chunk long, __first long, __number long")
+    batches = ahead.join(entries, "__chunk").groupBy("__chunk").applyInPandas(number, "__k long, batch long")
+    return rows.join(batches, "__k").select(key, "frames", F.lit(0).alias("part"), "batch")
 
 
 def epoch_order(batches: DataFrame, seed: int, epoch: int) -> DataFrame:

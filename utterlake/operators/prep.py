@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,3 +164,19 @@ def validation_report(*checks: DataFrame) -> DataFrame:
     for c in checks[1:]:
         rows = rows.unionByName(c)
     return rows.crossJoin(rows.agg(F.count_if(~F.col("ok")).alias("failed")))
+
+
+def union_lists(first: DataFrame, second: DataFrame, order: list[str]) -> DataFrame:
+    """The rows of both with ``idx``, their places: the first list in ``order``, then the second; repeats stay."""
+    one, two = numbered(first, order, "idx"), numbered(second, order, "idx")
+    return one.unionByName(two.withColumn("idx", F.col("idx") + one.count()))
+
+
+def bench_matrix(utterances: DataFrame, *dimensions: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every combination of an utterance with a row of each dimension. Dimensions are lists that people keep, of ``most``
+    combinations at most (more is an error); they are held by all tasks, and utterances are not shuffled."""
+    settings = reduce(lambda a, b: a.crossJoin(b), dimensions)
+    rows = settings.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} settings")
+    return utterances.crossJoin(F.broadcast(utterances.sparkSession.createDataFrame(rows, settings.schema)))

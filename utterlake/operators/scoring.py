@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..tables import numbered
 
 
 def with_errors(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
@@ -59,11 +65,32 @@ def latency_summary(samples: DataFrame, window: int = 500) -> DataFrame:
     )
 
 
-def rolling_percentile(samples: DataFrame, q: float = 0.95, window: int = 500) -> DataFrame:
-    """Adds ``pct``: the nearest-rank percentile of the last ``window`` samples of the stage, as of each sample."""
-    w = Window.partitionBy("stage").orderBy("ts", "event_id").rowsBetween(-(window - 1), 0)
-    rows = samples.withColumn("__last", F.sort_array(F.collect_list("ms").over(w)))
-    return rows.withColumn("pct", F.element_at("__last", (F.rint(q * (F.size("__last") - 1)) + 1).cast("int"))).drop("__last")
+def rolling_percentile(samples: DataFrame, q: float = 0.95, window: int = 500, chunk: int = 20_000) -> DataFrame:
+    """Adds ``pct``: the nearest-rank percentile of the last ``window`` samples of the stage, as of each sample.
+
+    Samples in order of stage and time are numbered and cut into chunks of ``chunk``, each with the ``window`` - 1 samples
+    before it, so that a hot stage is many tasks; a task keeps the last samples in order and moves one in and one out."""
+    chunk, names = max(chunk, window), [*samples.columns, "pct"]
+    rows = numbered(samples, ["stage", "ts", "event_id"], "__k")
+    own, late = F.floor(F.col("__k") / chunk), F.col("__k") % chunk > chunk - window
+    rows = rows.withColumn("__own", own).withColumn("__chunk", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+
+    def find(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__k")
+        found, recent, ranked, now = [], deque(), [], None
+        for stage, ms in zip(part["stage"].tolist(), part["ms"].tolist(), strict=True):
+            if stage != now:
+                now, recent, ranked = stage, deque(), []
+            if len(recent) == window:
+                del ranked[bisect_left(ranked, recent.popleft())]
+            recent.append(ms)
+            insort(ranked, ms)
+            found.append(ranked[round(q * (len(ranked) - 1))])
+        part = part.assign(pct=found)
+        return part[part["__own"] == key[0]][names]
+
+    schema = T.StructType([*samples.schema.fields, T.StructField("pct", T.DoubleType())])
+    return rows.groupBy("__chunk").applyInPandas(find, schema)
 
 
 def event_counters(events: DataFrame) -> DataFrame:

@@ -103,6 +103,11 @@ def normalize_feats(feats: DataFrame, kind: str = "mean") -> DataFrame:
     return feats.withColumn("v", centred if kind == "mean" else centred / (F.coalesce(F.stddev_samp("v").over(w), F.lit(0.0)) + 1e-5))
 
 
+def floor_znorm_inverse(feats: DataFrame, stats: DataFrame) -> DataFrame:
+    """The values that ``floor_znorm`` was given, except that those below its floor are the floor."""
+    return feats.join(stats, "band").withColumn("v", F.col("v") * F.col("std") + F.col("mean")).drop("mean", "std")
+
+
 def floor_znorm(feats: DataFrame, stats: DataFrame, floor: float = -11.5) -> DataFrame:
     """v, no less than ``floor``, in corpus deviations from the corpus mean; stats: band, mean, std."""
     return feats.join(stats, "band").withColumn("v", (F.greatest(F.col("v"), F.lit(floor)) - F.col("mean")) / F.col("std")).drop("mean", "std")
@@ -194,15 +199,32 @@ def delay_align(raw: DataFrame, clean: DataFrame, delay: int) -> DataFrame:
     return clean.select("key", "n", F.col("x").alias("clean")).join(moved, ["key", "n"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
 
 
+def _arrays(samples: DataFrame, name: str) -> DataFrame:
+    """key, the series' samples in order of n, and the first n."""
+    rows = samples.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("l"))
+    return rows.select("key", F.transform("l", lambda s: s["x"]).alias(name), F.element_at("l", 1)["n"].alias(f"{name}_first"))
+
+
 def best_lag(ref: DataFrame, est: DataFrame, max_lag: int, step: int = 4) -> DataFrame:
-    """key, lag with the largest sum of products, the smallest such lag; overlaps of half the series or more."""
-    spark = ref.sparkSession
-    lags = spark.range(-max_lag, max_lag + 1, step).withColumnRenamed("id", "lag")
-    size = ref.groupBy("key").agg(F.count("*").alias("size"))
-    moved = est.crossJoin(F.broadcast(lags)).select("key", (F.col("n") - F.col("lag")).alias("n"), "lag", F.col("x").alias("e"))
-    rows = ref.select("key", "n", F.col("x").alias("r")).join(moved, ["key", "n"]).groupBy("key", "lag").agg(F.sum(F.col("r") * F.col("e")).alias("s"), F.count("*").alias("c"))
-    ok = rows.join(size, "key").where(F.col("c") >= F.floor(F.col("size") / 2))
-    return ok.groupBy("key").agg(F.max_by("lag", F.struct(F.round("s", 9), -F.col("lag"))).alias("lag"))
+    """key, lag with the largest sum of products, the smallest such lag; overlaps of half the series or more. Series are
+    gapless in n; all lags of a pair come from one transform of both, so a series is an array in its row."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lags = np.arange(-max_lag, max_lag + 1, step)
+        for batch in batches:
+            out = []
+            for key, r, e, r0, e0 in zip(batch["key"], batch["r"], batch["e"], batch["r_first"], batch["e_first"], strict=True):
+                size = 1 << (len(r) + len(e) - 1).bit_length()
+                products = np.fft.irfft(np.fft.rfft(e, size) * np.conj(np.fft.rfft(r, size)), size)
+                shift = lags + r0 - e0
+                overlap = np.minimum(len(r), len(e) - shift) - np.maximum(0, -shift)
+                fits = (overlap >= max(1, len(r) // 2)) & (np.abs(shift) < size)
+                if fits.any():
+                    sums = np.where(fits, np.round(products[np.where(fits, shift, 0) % size], 9), -np.inf)
+                    out.append((key, int(lags[int(np.argmax(sums))])))
+            yield pd.DataFrame(out, columns=["key", "lag"])
+
+    return _arrays(ref, "r").join(_arrays(est, "e"), "key").mapInPandas(find, "key long, lag long")
 
 
 def linear_regrid(samples: DataFrame, rate: float) -> DataFrame:
@@ -216,12 +238,11 @@ def linear_regrid(samples: DataFrame, rate: float) -> DataFrame:
 
 
 def mix_noise(speech: DataFrame, noise: DataFrame, snr_db: float) -> DataFrame:
-    """key, n, x: the speech plus the noise (n, x), repeated to its length and scaled to the target ratio."""
-    length = noise.agg(F.count("*").alias("len"), F.avg(F.col("x") ** 2).alias("pn"))
+    """key, n, x: the speech (key, n, x, clip) plus the noise of its clip (clip, n, x), repeated to its length and scaled to
+    the target ratio. Samples meet by clip and place, so a noise table of many clips spreads the work."""
+    clips = noise.groupBy("clip").agg(F.count("*").alias("len"), F.avg(F.col("x") ** 2).alias("pn"))
     own = speech.groupBy("key").agg(F.avg(F.col("x") ** 2).alias("ps"))
-    rows = speech.join(own, "key").crossJoin(F.broadcast(length)).withColumn("__m", F.col("n") % F.col("len"))
-    rows = rows.join(noise.select(F.col("n").alias("__m"), F.col("x").alias("noise")), "__m")
+    rows = speech.join(own, "key").join(clips, "clip").withColumn("__m", F.col("n") % F.col("len"))
+    rows = rows.join(noise.select("clip", F.col("n").alias("__m"), F.col("x").alias("noise")), ["clip", "__m"])
     scale = F.sqrt(F.col("ps") / (F.col("pn") * 10 ** (snr_db / 10) + 1e-12))
     return rows.select("key", "n", (F.col("x") + scale * F.col("noise")).alias("x"))
-
-

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -69,14 +70,31 @@ def vocabulary(texts: DataFrame, merges: list[tuple[str, str]]) -> dict[str, int
 
 
 def apply_merges(word: str, rank: dict[tuple[str, str], int]) -> list[str]:
-    """The pieces of a word: the pair of the lowest rank first, the leftmost of these first."""
-    pieces = list(word)
-    while len(pieces) > 1:
-        best = min(range(len(pieces) - 1), key=lambda i: (rank.get((pieces[i], pieces[i + 1]), len(rank)), i))
-        if (pieces[best], pieces[best + 1]) not in rank:
-            break
-        pieces[best : best + 2] = [pieces[best] + pieces[best + 1]]
-    return pieces
+    """The pieces of a word: the pair of the lowest rank first, the leftmost of these first. Pairs wait in a heap by rank
+    and place; pieces know their neighbours, and a pair whose pieces have changed since is passed over."""
+    piece = dict(enumerate(word))
+    after, before = {i: i + 1 for i in piece}, {i: i - 1 for i in piece}
+    waiting: list[tuple[int, int, str, str]] = []
+
+    def offer(i: int) -> None:
+        left, right = piece.get(i), piece.get(after.get(i))
+        if left is not None and right is not None and (left, right) in rank:
+            heappush(waiting, (rank[left, right], i, left, right))
+
+    for i in range(len(word) - 1):
+        offer(i)
+    while waiting:
+        _, i, left, right = heappop(waiting)
+        j = after.get(i)
+        if piece.get(i) != left or piece.get(j) != right:
+            continue
+        piece[i] = left + right
+        del piece[j]
+        after[i] = after.pop(j)
+        before[after[i]] = i
+        offer(i)
+        offer(before[i])
+    return [piece[i] for i in sorted(piece)]
 
 
 def word_pieces(texts: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -92,6 +97,11 @@ def det_curve_ranged(scored: DataFrame, partitions: int = 64) -> DataFrame:
     """The same curve by two-level sums: scores are range-partitioned, each range sums on its own, and the ranges'
     totals, one row a partition, are added up and sent back."""
     counts = scored.groupBy(F.col("score").alias("threshold")).agg(F.sum("same").alias("t"), F.sum(1 - F.col("same")).alias("n"))
+    return curve_of_counts(written(counts, "score-counts"), partitions)
+
+
+def curve_of_counts(counts: DataFrame, partitions: int = 64) -> DataFrame:
+    """The curve of counts (threshold, t, n), a table: it is read more than once."""
     last = counts.agg((F.max("threshold") + 1).alias("threshold")).withColumns({"t": F.lit(0).cast("long"), "n": F.lit(0).cast("long")})
     edges = counts.approxQuantile("threshold", [k / partitions for k in range(1, partitions)], 0.01)
     part = reduce(lambda acc, e: acc + (F.col("threshold") > e).cast("int"), sorted(set(edges)), F.lit(0))
@@ -116,21 +126,43 @@ def min_dcf(curve: DataFrame, p_target: float = 0.01, c_miss: float = 1.0, c_fa:
 
 
 def trial_summary(scored: DataFrame) -> DataFrame:
-    """eer, threshold, min_dcf, mean_same, mean_different, separation in one row."""
-    curve = det_curve(scored)
-    means = scored.agg(F.avg(F.when(F.col("same") == 1, F.col("score"))).alias("mean_same"), F.avg(F.when(F.col("same") == 0, F.col("score"))).alias("mean_different"))
-    return eer(curve).crossJoin(min_dcf(curve)).crossJoin(means).withColumn("separation", F.col("mean_same") - F.col("mean_different"))
-
-
-def bootstrap_eer(scored: DataFrame, replicates: int = 500, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """low, high: quantiles of the EER over resampled trials. Each trial gets a Poisson(1) weight by a hash of its
-    names, the replicate and the seed; replicates without both classes are left out."""
-    u = (F.pmod(F.xxhash64("a", "b", "rep", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]
-    weight = reduce(lambda acc, s: acc + (u >= s).cast("long"), steps, F.lit(0).cast("long"))
-    rows = scored.crossJoin(scored.sparkSession.range(replicates).withColumnRenamed("id", "rep")).withColumn("w", weight).where("w > 0")
-    both = rows.groupBy("rep").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo < hi").select("rep")
-    found = eer(det_curve(rows.join(both, "rep"), ["rep"], "w"), ["rep"])
+    """eer, threshold, min_dcf, mean_same, mean_different, separation in one row. Trials are scored once, into counts by
+    score; the curve is made by ranges of scores."""
+    t = F.col("same")
+    counts = written(scored.groupBy("score").agg(F.sum(t).alias("t"), F.sum(1 - t).alias("n")), "score-counts")
+    curve = curve_of_counts(counts.withColumnRenamed("score", "threshold"))
+    found = eer(curve).crossJoin(min_dcf(curve))  # one row each
+    mean = lambda n: F.sum(F.col("score") * F.col(n)) / F.sum(n)
+    means = counts.agg(mean("t").alias("mean_same"), mean("n").alias("mean_different"))
+    return found.crossJoin(means).withColumn("separation", F.col("mean_same") - F.col("mean_different"))
+
+
+def bootstrap_eer(scored: DataFrame, replicates: int = 500, level: float = 0.95, seed: int = 0, bins: int = 8192, low: float = -1.0, high: float = 1.0) -> DataFrame:
+    """low, high: quantiles of the EER over resampled trials; replicates without both classes are left out.
+
+    Trials are counted once, by class and by ``bins`` equal bins of [low, high], which is all that leaves the executors; a
+    replicate draws counts instead of trials, so it costs the number of bins whatever the number of trials. An EER is off
+    by the trials of one bin at most."""
+    place = F.least(F.greatest(F.floor((F.col("score") - low) / (high - low) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+    counts = scored.groupBy(place.alias("bin"), "same").agg(F.count("*").alias("n")).toPandas()
+    cells = np.zeros(2 * bins)
+    cells[counts["bin"] + bins * (counts["same"] == 1)] = counts["n"]
+    total = int(cells.sum())
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for rep in batch["id"].tolist():
+                drawn = np.random.default_rng([seed, rep]).multinomial(total, cells / max(total, 1))
+                n, t = drawn[:bins], drawn[bins:]
+                if n.any() and t.any():
+                    frr = np.append(0, np.cumsum(t)) / t.sum()
+                    far = 1 - np.append(0, np.cumsum(n)) / n.sum()
+                    at = int(np.argmin(np.round(np.abs(far - frr), 12)))
+                    found.append((far[at] + frr[at]) / 2)
+            yield pd.DataFrame({"eer": found}, dtype=float)
+
+    found = scored.sparkSession.range(replicates).mapInPandas(draw, "eer double")
     return found.agg(F.percentile("eer", F.lit((1 - level) / 2)).alias("low"), F.percentile("eer", F.lit((1 + level) / 2)).alias("high"))
 
 

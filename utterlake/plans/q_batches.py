@@ -54,12 +54,11 @@ def token_lookup(spark, d):
 
 
 def length_batches(spark, d):
-    """One range, so that batches are those of a single pass."""
-    return ba.length_batches(man(spark, d).where("duration < 1200"), "doc_id", partitions=1).select("doc_id", "frames", "batch")
+    return ba.length_batches(man(spark, d), "doc_id").select("doc_id", "frames", "batch")
 
 
 def epoch_order(spark, d):
-    batches = ba.length_batches(man(spark, d).where("duration < 1200"), "doc_id", partitions=1)
+    batches = ba.length_batches(man(spark, d), "doc_id")
     return ba.epoch_order(batches, 3, 2).select("part", "batch", "order")
 
 
@@ -97,7 +96,7 @@ _TEXT = f"texts AS (SELECT conv_id, turn, {v.norm_sql('text')} AS norm FROM conv
 _WORDS = _TEXT + """, placed AS (SELECT conv_id, turn, '▁' || w AS word FROM (SELECT conv_id, turn, unnest(string_split(norm, ' ')) AS w FROM texts) WHERE w <> ''),
 top AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS r FROM placed WHERE conv_id % 2 = 0 GROUP BY word), known AS (SELECT word, r + 2 AS id FROM top WHERE r <= 200)"""
 _HASH = "('0x' || substr(sha256({0}), 1, 8))::BIGINT"
-_BATCHES = """RECURSIVE items AS (SELECT doc_id, CAST(floor(duration * 100) AS BIGINT) AS frames, row_number() OVER (ORDER BY floor(duration * 100), doc_id) AS k FROM manifest WHERE duration < 1200),
+_BATCHES = """RECURSIVE items AS (SELECT doc_id, CAST(floor(duration * 100) AS BIGINT) AS frames, row_number() OVER (ORDER BY floor(duration * 100), doc_id) AS k FROM manifest),
 b AS (SELECT k, doc_id, frames, CAST(0 AS BIGINT) AS batch, 1 AS n FROM items WHERE k = 1
   UNION ALL SELECT i.k, i.doc_id, i.frames, CASE WHEN shut THEN batch + 1 ELSE batch END, CASE WHEN shut THEN 1 ELSE n + 1 END FROM (
     SELECT b.*, (i.frames * (b.n + 1) > 12000 OR b.n >= 32) AS shut, i.k AS ik FROM b JOIN items i ON i.k = b.k + 1) x JOIN items i ON i.k = x.ik)"""

@@ -60,9 +60,17 @@ def ljspeech_read(spark, d):
 
 
 def append_corpus(spark, d):
-    first = fi.next_ids(spark.createDataFrame([], "utt_id string"), chosen(spark, d).select("norm"), ["norm"])
+    """Two batches, the second numbered on from the first; a third is killed before its manifest row, and another comes
+    twice: neither changes what a reader sees."""
+    path, schema = shared_folder(spark, "corpus"), "norm string, utt_id string"
+    ids = lambda: fi.read_committed(spark, path, schema)
+    rows = fi.next_ids(spark.createDataFrame([], "utt_id string"), chosen(spark, d).select("norm"), ["norm"])
+    fi.commit_batch(rows, path, "first")
+    rows.write.parquet(f"{path}/data/batch=killed")
     rest = sents(spark, d).where("doc_id % 3 = 1").select("norm")
-    return first.unionByName(fi.next_ids(first, rest, ["norm"]))
+    fi.commit_batch(fi.next_ids(ids(), rest, ["norm"]), path, "second")
+    fi.commit_batch(rows, path, "first")
+    return ids()
 
 
 def json_sink(spark, d):
@@ -74,12 +82,13 @@ def json_sink(spark, d):
 
 
 def fingerprint_guard(spark, d):
-    """Labels are joined only if they belong to the manifest that they were made from."""
+    """Labels that an earlier job made from the manifest are joined, as they carry its fingerprint."""
     from ..operators import prep as pr
 
-    m = v.manifest(spark, d)
-    stamp = pr.corpus_fingerprint(m, "doc_id", "path").first()["fingerprint"]
-    return fi.guard(m, stamp, pr.corpus_fingerprint(v.manifest(spark, d), "doc_id", "path").first()["fingerprint"]).select("path", "speaker")
+    m, path = v.manifest(spark, d), shared_folder(spark, "labels")
+    stamp = lambda: pr.corpus_fingerprint(v.manifest(spark, d), "doc_id", "path").first()["fingerprint"]
+    fi.write_artifact(m.select("path", F.length("text").alias("chars")), path, stamp())
+    return m.join(fi.read_artifact(spark, path, stamp()), "path").select("path", "speaker", "chars")
 
 
 _TURNS = """turns AS (SELECT conv_id || '-' || turn AS utt_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, length(text) / CAST(15 AS DOUBLE) AS duration FROM conversations)"""
@@ -97,5 +106,5 @@ ORACLE_SQL = {
         b AS (SELECT norm, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY norm) - 1 AS k FROM sentence_rows WHERE doc_id % 3 = 1)
         SELECT norm, 'utt-' || CASE WHEN k < 10000 THEN lpad(CAST(k AS VARCHAR), 4, '0') ELSE CAST(k AS VARCHAR) END AS utt_id FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""", "sentence_rows"),
     "json_sink": "SELECT conv_id, turn, role, length(text) AS chars FROM conversations",
-    "fingerprint_guard": "SELECT source || '/' || source || '-' || doc_id AS path, source AS speaker FROM documents",
+    "fingerprint_guard": "SELECT source || '/' || source || '-' || doc_id AS path, source AS speaker, length(text) AS chars FROM documents",
 }

@@ -54,7 +54,8 @@ def frozen_list(spark, d):
 
 
 def union_lists(spark, d):
-    return chosen(spark, d).select("norm").unionByName(sents(spark, d).select("norm"))
+    """Both lists with their places, the second after the first, repeats and all."""
+    return pr.union_lists(chosen(spark, d), sents(spark, d), ["doc_id", "pos"]).select("idx", "norm")
 
 
 def overlap(spark, d):
@@ -81,8 +82,10 @@ def manifest_cache_check(spark, d):
 
 
 def bench_matrix(spark, d):
-    engines, kinds = (v.table(spark, d, "conversations").select(F.col("role").alias("engine")).distinct(), v.table(spark, d, "events").select(F.col("event_type").alias("noise")).distinct())
-    return engines.crossJoin(kinds)
+    """Every engine and noise for every utterance: the two small dimensions go to all tasks."""
+    turns = v.table(spark, d, "conversations")
+    engines, kinds = turns.select(F.col("role").alias("engine")).distinct(), v.table(spark, d, "events").select(F.col("event_type").alias("noise")).distinct()
+    return pr.bench_matrix(turns.select("conv_id", "turn"), engines, kinds)
 
 
 def ngram_frequency(spark, d):
@@ -180,14 +183,14 @@ ORACLE_SQL = {
     "todo_anti": sql("SELECT norm, doc_id, pos FROM sentence_rows WHERE doc_id % 3 <> 0", "sentence_rows"),
     "frozen_list": with_sql(f"""a AS (SELECT row_number() OVER (ORDER BY {_KEY.format(seed=3, c='norm')}, norm) - 1 AS idx, norm FROM sentence_rows WHERE doc_id % 3 = 0)
         SELECT idx, norm FROM a UNION ALL SELECT (SELECT max(idx) FROM a) + row_number() OVER (ORDER BY doc_id, pos), norm FROM sentence_rows WHERE doc_id % 3 <> 0""", "sentence_rows"),
-    "union_lists": sql("SELECT norm FROM sentence_rows WHERE doc_id % 3 = 0 UNION ALL SELECT norm FROM sentence_rows", "sentence_rows"),
+    "union_lists": sql("SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS idx, norm FROM sentence_rows WHERE doc_id % 3 = 0 UNION ALL SELECT (SELECT count(*) FROM sentence_rows WHERE doc_id % 3 = 0) + row_number() OVER (ORDER BY doc_id, pos) - 1, norm FROM sentence_rows", "sentence_rows"),
     "overlap": sql("SELECT path FROM manifest WHERE doc_id % 6 = 0", "manifest"),
     "pool_union_distinct": with_sql(_GRAMS + " SELECT DISTINCT gram FROM grams WHERE doc_id % 3 = 0 OR doc_id % 5 = 0", "sentence_rows"),
     "split_leakage": with_sql("""p AS (SELECT path FROM manifest WHERE doc_id % 2 = 0 INTERSECT SELECT path FROM manifest WHERE doc_id % 2 = 1), s AS (SELECT speaker FROM manifest WHERE doc_id % 2 = 0 INTERSECT SELECT speaker FROM manifest WHERE doc_id % 2 = 1)
         SELECT 'path' AS "check", count(*) AS n, count(*) = 0 AS ok FROM p UNION ALL SELECT 'speaker', count(*), true FROM s""", "manifest"),
     "manifest_join": sql("SELECT path, round(CAST(duration AS DOUBLE), 6) AS duration, CAST(quality AS BIGINT) AS quality FROM manifest JOIN labels USING (doc_id)", "manifest"),
     "manifest_cache_check": sql("SELECT path FROM manifest WHERE doc_id % 10 = 3", "manifest"),
-    "bench_matrix": "SELECT engine, noise FROM (SELECT DISTINCT role AS engine FROM conversations), (SELECT DISTINCT event_type AS noise FROM events)",
+    "bench_matrix": "SELECT conv_id, turn, engine, noise FROM conversations, (SELECT DISTINCT role AS engine FROM conversations), (SELECT DISTINCT event_type AS noise FROM events)",
     "ngram_frequency": with_sql(_GRAMS + " SELECT gram, count(*) AS n FROM grams GROUP BY gram", "sentence_rows"),
     "word_frequency": sql("SELECT '▁' || w AS word, count(*) AS n FROM (SELECT unnest(string_split(norm, ' ')) AS w FROM sentence_rows) WHERE w <> '' GROUP BY w", "sentence_rows"),
     "pair_frequency": with_sql("""f AS (SELECT '▁' || w AS word, count(*) AS n FROM (SELECT unnest(string_split(norm, ' ')) AS w FROM sentence_rows) WHERE w <> '' GROUP BY w)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import adaptive as ad
 from ..operators import takes as ta
+from ..sources import files as fi
 from ..streaming import keyed as ky
 from ..streaming import sources as so
 from ..streaming import windows as wi
+from ..streaming.session_logs import session_frames
 from ..tables import shared_folder
 from . import q_gates, q_scoring, q_series, q_sessions
 from . import views as v
@@ -66,6 +68,12 @@ def telemetry_stream(spark, d):
     return last.select("key", F.col("start").cast("double").alias("start"), F.round("m.p", 6).alias("p"), "m.n")
 
 
+def telemetry_sliding_stream(spark, d):
+    found = so.replay(frames(spark, d), "ts", lambda s: wi.telemetry_stream(s, "2 hours", "1 hour"), mode="update")
+    last = found.groupBy("key", "start").agg(F.max_by(F.struct("p", "n"), "n").alias("m"))
+    return last.select("key", F.col("start").cast("double").alias("start"), F.round("m.p", 6).alias("p"), "m.n")
+
+
 def take_stream(spark, d):
     """The takes that the watermark has closed: those that end before the last event less the delay."""
     found = so.replay(frames(spark, d).where("p >= 0.4"), "ts", wi.takes)
@@ -137,8 +145,24 @@ def append_stream(spark, d):
     base = shared_folder(spark, "append")
     so.write_slices(rows, f"{base}/in", "at", 3)
     for _ in range(2):
-        so.append_batches(so.event_source(spark, f"{base}/in", rows.schema), f"{base}/out", f"{base}/checkpoint")
-    return spark.read.schema(rows.schema).parquet(f"{base}/out").select("event_id", "stage", *r6("ms"))
+        so.append_committed(so.event_source(spark, f"{base}/in", rows.schema), f"{base}/out", f"{base}/checkpoint")
+    return fi.read_committed(spark, f"{base}/out", "event_id long, stage string, ms double").select("event_id", "stage", *r6("ms"))
+
+
+def session_source(spark, d):
+    """The frames as a service logs them, a file for each session and slice, read by a source with offsets of its own."""
+    rows = frames(spark, d).select(F.col("key").alias("session"), "seq", F.unix_micros("ts").alias("us"), "p")
+    base = shared_folder(spark, "sessions")
+    stream, query = None, None
+    for low, high in ((0, 20), (20, 1 << 40)):
+        part = rows.where((F.col("seq") >= low) & (F.col("seq") < high))
+        part.select("session", F.to_json(F.struct("seq", "us", "p")).alias("value")).repartition("session").sortWithinPartitions("session", "value").write.mode("append").partitionBy("session").text(f"{base}/in")
+        if query is None:
+            stream = session_frames(spark, f"{base}/in")
+            query = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").format("parquet").start(f"{base}/out")
+        query.processAllAvailable()
+    query.stop()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out").select("session", "seq", *r6("p"))
 
 
 def align_stream(spark, d):
@@ -190,7 +214,7 @@ _TAKES = """a AS (SELECT key, ts, ts - lag(ts) OVER (PARTITION BY key ORDER BY t
 b AS (SELECT *, count(*) FILTER (coalesce(fresh, true)) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS take FROM a),
 c AS (SELECT key, round(epoch_us(min(ts)) / 1e6, 3) AS start, round(epoch_us(max(ts)) / 1e6 + 1800, 3) AS "end", count(*) AS n FROM b GROUP BY key, take)"""
 
-QUERIES = {f.__name__: f for f in (endpoint_stream, gate_stream, frame_stream, metrics_stream, session_state_stream, barge_in_stream, telemetry_stream, takes, take_stream, timed_takes, timed_take_stream, late_side_output, late_main_output, clean_series, clean_series_identity, clean_stream, clean_stream_identity, append_stream, align_stream, ema_floor, floor_stream)}
+QUERIES = {f.__name__: f for f in (endpoint_stream, gate_stream, frame_stream, metrics_stream, session_state_stream, barge_in_stream, telemetry_stream, telemetry_sliding_stream, takes, take_stream, timed_takes, timed_take_stream, late_side_output, late_main_output, clean_series, clean_series_identity, clean_stream, clean_stream_identity, append_stream, session_source, align_stream, ema_floor, floor_stream)}
 ORACLE_SQL = {
     "endpoint_stream": q_sessions.ORACLE_SQL["endpoint_batch"],
     "gate_stream": q_gates.ORACLE_SQL["hysteresis_gate"],
@@ -199,6 +223,7 @@ ORACLE_SQL = {
     "session_state_stream": f"SELECT * FROM ({q_sessions.ORACLE_SQL['session_states']}) WHERE dwell_s IS NOT NULL",
     "barge_in_stream": q_sessions.ORACLE_SQL["barge_in"],
     "telemetry_stream": q_sessions.ORACLE_SQL["telemetry_mean"],
+    "telemetry_sliding_stream": q_sessions.ORACLE_SQL["telemetry_sliding"],
     "takes": with_sql(_TAKES + " SELECT * FROM c", "frames"),
     "late_side_output": sql("SELECT key, seq FROM frames WHERE seq % 10 = 3", "frames"),
     "late_main_output": sql("SELECT key, seq FROM frames", "frames"),
@@ -207,6 +232,7 @@ ORACLE_SQL = {
     "clean_series_identity": sql("SELECT key, n, round(x, 6) AS x, CAST(1.0 AS DOUBLE) AS gain FROM waves", "waves"),
     "clean_stream_identity": sql("SELECT key, n, round(x, 6) AS x FROM waves WHERE n < 56", "waves"),
     "append_stream": "SELECT event_id, event_type AS stage, round(value, 6) AS ms FROM events",
+    "session_source": sql("SELECT key AS session, seq, round(p, 6) AS p FROM frames", "frames"),
     "align_stream": sql("SELECT a.key, b.n, round(a.x, 6) AS raw, round(b.x, 6) AS x FROM waves a JOIN waves b ON a.key = b.key AND b.n = a.n + 3", "waves"),
     "ema_floor": _FLOOR,
     "floor_stream": _FLOOR,

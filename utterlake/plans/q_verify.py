@@ -43,17 +43,23 @@ def det_curve_ranged(spark, d):
 
 
 def eer(spark, d):
-    return ve.eer(ve.det_curve(scored(spark, d))).select(*r6("eer", "threshold"))
+    return ve.eer(ve.det_curve_ranged(scored(spark, d))).select(*r6("eer", "threshold"))
 
 
 def min_dcf(spark, d):
-    return ve.min_dcf(ve.det_curve(scored(spark, d))).select(*r6("min_dcf"))
+    return ve.min_dcf(ve.det_curve_ranged(scored(spark, d))).select(*r6("min_dcf"))
 
 
 def trial_summary(spark, d):
     return ve.trial_summary(scored(spark, d)).select(*r6("eer", "threshold", "min_dcf", "mean_same", "mean_different", "separation"))
 
 
+def trial_summary_sampled(spark, d):
+    """The summary of balanced trials: what a corpus too large for all pairs is verified by."""
+    found = ve.trial_summary(ve.score_trials(ve.trial_pairs(small(spark, d), 10_000), small(spark, d)))
+    return found.select(*r6("eer", "threshold", "min_dcf", "mean_same", "mean_different", "separation"))
+
+
 def bootstrap_eer(spark, d):
     t = ve.score_trials(ve.trial_pairs(v.vectors(spark, d), 400), v.vectors(spark, d)).withColumn("score", F.round("score", 4))
     return ve.bootstrap_eer(t, 100).select(*r6("low", "high"))
@@ -101,7 +107,7 @@ _EER = "e AS (SELECT (far + frr) / 2 AS eer, threshold FROM curve ORDER BY round
 _BANDS = "bands AS (SELECT key, n // 8 AS frame, n % 8 AS band, x, n < 56 AS valid FROM waves)"
 _CURVE_SQL = with_sql(_CURVE + " SELECT round(threshold, 6) AS threshold, round(CAST(frr AS DOUBLE), 6) AS frr, round(CAST(far AS DOUBLE), 6) AS far FROM curve", "vectors")
 
-QUERIES = {f.__name__: f for f in (trial_pairs, trial_pairs_all, score_trials, det_curve, det_curve_ranged, eer, min_dcf, trial_summary, bootstrap_eer, feature_stats, feature_stats_cmvn, feature_stats_masked, stats_embedding, center_embeddings, pca_project)}
+QUERIES = {f.__name__: f for f in (trial_pairs, trial_pairs_all, score_trials, det_curve, det_curve_ranged, eer, min_dcf, trial_summary, trial_summary_sampled, bootstrap_eer, feature_stats, feature_stats_cmvn, feature_stats_masked, stats_embedding, center_embeddings, pca_project)}
 ORACLE_SQL = {
     "trial_pairs_all": with_sql(_PAIRS + " SELECT a, b, same FROM pairs", "vectors"),
     "score_trials": with_sql(_PAIRS + " SELECT a, b, same, score FROM pairs", "vectors"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -65,9 +65,10 @@ def sentence_rows(spark: SparkSession, sf_dir: str, min_words: int = 4, max_word
     return rows.withColumn("__r", F.row_number().over(first)).where("__r = 1").select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence", "norm", "n_words")
 
 
-def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, speaker, duration, text"""
+def manifest(spark: SparkSession, sf_dir: str, rows: Column | None = None) -> DataFrame:
+    """path, speaker, duration, text of all documents, or of those with ``rows``, a predicate on stored columns"""
     d = table(spark, sf_dir, "documents")
+    d = d if rows is None else d.where(rows)
     return d.select(F.concat_ws("", "source", F.lit("/"), "source", F.lit("-"), "doc_id").alias("path"), F.col("source").alias("speaker"), (F.col("n_chars") / 15.0).alias("duration"), "text", "doc_id")
 
 

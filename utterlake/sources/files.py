@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import numbered
@@ -108,6 +108,50 @@ def next_ids(existing: DataFrame, new: DataFrame, order: list[str], prefix: str
     return numbered(new, order, "__k").crossJoin(last).withColumn("utt_id", F.concat(F.lit(prefix), F.format_string("%04d", F.col("__last") + 1 + F.col("__k")))).drop("__k", "__last")
 
 
+def commit_batch(rows: DataFrame, table: str, batch: str, between=None) -> bool:
+    """Append ``rows`` to a table as one batch: first the data, then the manifest row that makes them count. A run that is
+    killed in between leaves files that no reader sees, and which the batch replaces when it runs again; a batch that the
+    manifest has is left alone. ``between`` is called after the data are written."""
+    spark = rows.sparkSession
+    if committed(spark, table).where(F.col("batch") == batch).limit(1).count():
+        return False
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{table}/data/batch={batch}")
+    if between:
+        between()
+    spark.createDataFrame([(batch, seen.get["n"])], _BATCHES).coalesce(1).write.mode("overwrite").parquet(f"{table}/manifest/of={batch}")
+    return True
+
+
+_BATCHES = "batch string, n long"
+
+
+def committed(spark: SparkSession, table: str) -> DataFrame:
+    """batch, n: the batches that count, and their rows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/manifest")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], _BATCHES)
+    return spark.read.schema(_BATCHES).parquet(f"{table}/manifest").select("batch", "n")
+
+
+def read_committed(spark: SparkSession, table: str, schema: str) -> DataFrame:
+    """The rows of all batches that the manifest has."""
+    data = spark.read.schema(f"{schema}, batch string").parquet(f"{table}/data")
+    return data.join(committed(spark, table).select("batch"), "batch", "left_semi").drop("batch")
+
+
+def write_artifact(rows: DataFrame, path: str, fingerprint: str) -> None:
+    """Rows made from a corpus, with the fingerprint of that corpus beside them."""
+    rows.write.parquet(f"{path}/rows")
+    rows.sparkSession.createDataFrame([(fingerprint,)], "fingerprint string").coalesce(1).write.parquet(f"{path}/made_from")
+
+
+def read_artifact(spark: SparkSession, path: str, fingerprint: str) -> DataFrame:
+    """The rows of an artifact, if it was made from the corpus of this fingerprint; else an error."""
+    found = spark.read.schema("fingerprint string").parquet(f"{path}/made_from").first()["fingerprint"]
+    return guard(spark.read.parquet(f"{path}/rows"), fingerprint, found)
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 

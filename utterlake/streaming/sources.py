@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.files import commit_batch
 from ..tables import shared_folder
 
 def event_source(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
@@ -38,6 +39,15 @@ def append_batches(stream: DataFrame, table: str, checkpoint: str, mode: str = "
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
 
 
+def append_committed(stream: DataFrame, table: str, checkpoint: str, between: Callable[[], None] | None = None) -> None:
+    """Run a stream over all that is there; each micro-batch is a batch of ``commit_batch``, named by its number."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        commit_batch(batch, table, str(number), between)
+
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+
+
 def append_split(stream: DataFrame, flag: str, main: str, side: str, checkpoint: str) -> None:
     """One run of a stream with two outputs: rows with ``flag`` go to the folder ``side``, the others to ``main``. Each
     micro-batch is computed once, and run again replaces what it wrote."""
