@@ -125,6 +125,35 @@ def test_mixed_bucket_is_dealt_on(spark):
     assert len(set(got.values())) == 40
 
 
+def under_a_passage(pairs, vocabulary, others, at_random=True):
+    """Documents of 200 words of which 150 are one passage: ``pairs`` with a copy at similarity 0.84 (32 words changed,
+    anywhere or only outside the passage), and ``others`` alone."""
+    rng, rows = random.Random(pairs), []
+    passage = words(rng, 150, vocabulary).split()
+    for g in range(pairs + others):
+        base = passage + words(rng, 50, vocabulary).split()
+        rows.append((10 * g, " ".join(base)))
+        if g < pairs:
+            copy = list(base)
+            for at in rng.sample(range(200), 32) if at_random else rng.sample(range(150, 200), 32):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            rows.append((10 * g + 1, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("vocabulary,at_random", [(400, True), (20_000, True), (20_000, False)])
+def test_links_under_a_common_passage(spark, vocabulary, at_random):
+    """A passage of three quarters of all documents hides neither copies whose changes are scattered nor those whose
+    changes are all in what is left; the documents themselves are at 0.75."""
+    rows = under_a_passage(150, vocabulary, 300, at_random)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs(spark, rows)).collect()}
+    assert sum(got[10 * g + 1] == got[10 * g] for g in range(150)) >= 135
+    text = dict(rows)
+    split = lambda i: np.array([hash(w) & 0xFFFFFFFF for w in text[i].split()], "<u4")
+    wrong = [i for i, c in got.items() if i != c and i % 10 == 0 and near_dup.edit_distance(split(i), split(c), 200) > 40]
+    assert len(wrong) < 15  # linked through others only
+
+
 def test_near_duplicates_recall_close_to_the_threshold(spark):
     rng, rows, wanted = random.Random(12), [], []
     for g in range(100):
