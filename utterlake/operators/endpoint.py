@@ -67,13 +67,21 @@ def run_steps(rows: pd.DataFrame, state: tuple, rules: EndpointRules) -> tuple[l
 
 
 def endpoints(frames: DataFrame, rules: EndpointRules) -> DataFrame:
-    """key, event, start_seq, end_seq, n_windows for all keys; a key's frames pass one task in order of seq."""
-
-    def find(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        events, _ = run_steps(rows.sort_values("seq"), START, rules)
-        return pd.DataFrame([(key[0], *e) for e in events], columns=["key", "event", "start_seq", "end_seq", "n_windows"])
-
-    return frames.select("key", "seq", "p").groupBy("key").applyInPandas(find, EVENTS)
+    """key, event, start_seq, end_seq, n_windows for all keys. Frames are sorted by key and seq within their task and pass in
+    batches, so a long stream needs no more memory than a batch."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, START
+        for batch in batches:
+            out = []
+            for key, rows in batch.groupby("key", sort=False):
+                if key != now:
+                    now, state = key, START
+                events, state = run_steps(rows, state, rules)
+                out += [(key, *e) for e in events]
+            yield pd.DataFrame(out, columns=["key", "event", "start_seq", "end_seq", "n_windows"])
+
+    return frames.select("key", "seq", "p").repartition("key").sortWithinPartitions("key", "seq").mapInPandas(find, EVENTS)
 
 
 def stateful(rules: EndpointRules):
