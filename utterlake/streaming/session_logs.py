@@ -1,8 +1,8 @@
 """A stream of session logs: text files of JSON lines that grow while a session lasts, in a folder ``session=<id>`` each.
 
 An offset is how many bytes of each file have been read, always whole lines, so a run that is killed reads the same lines
-again. The driver sees file names and sizes; a micro-batch is a task for each stretch of a file, at most ``max_bytes``
-long. The folder must be mounted on all machines, as services write to it by other means than Spark.
+again. The driver sees file names and sizes; a micro-batch is a task for every ``max_bytes`` or so, of one file or of many.
+The folder must be mounted on all machines, as services write to it by other means than Spark.
 """
 
 from __future__ import annotations
@@ -20,11 +20,10 @@ FRAMES = "session long, seq long, ts timestamp, p double"
 
 
 @dataclass
-class Stretch(InputPartition):
-    path: str
-    session: int
-    start: int
-    end: int
+class Stretches(InputPartition):
+    """What a task reads: (path, session, start, end) of some stretches."""
+
+    parts: list[tuple[str, int, int, int]]
 
 
 class SessionLogs(DataSource):
@@ -73,23 +72,29 @@ class SessionReader(DataSourceStreamReader):
                 end = start
         return 0
 
-    def partitions(self, start: dict, end: dict) -> list[Stretch]:
-        out = []
+    def partitions(self, start: dict, end: dict) -> list[Stretches]:
+        out, size = [], 0
         for name, last in sorted(end.items()):
             session, first = int(name.split(os.sep)[0].removeprefix("session=")), start.get(name, 0)
             for at in range(first, last, self._max):
-                out.append(Stretch(os.path.join(self._path, name), session, at, min(at + self._max, last)))
+                until = min(at + self._max, last)
+                if not out or size + until - at > self._max or len(out[-1].parts) >= 256:
+                    out.append(Stretches([]))
+                    size = 0
+                out[-1].parts.append((os.path.join(self._path, name), session, at, until))
+                size += until - at
         return out
 
-    def read(self, part: Stretch) -> Iterator[tuple]:
-        """The lines that begin within the stretch."""
-        with open(part.path, "rb") as file:
-            file.seek(max(0, part.start - 1))
-            if part.start:
-                file.readline()  # up to the first line that begins here
-            while file.tell() < part.end:
-                row = json.loads(file.readline())
-                yield part.session, row["seq"], datetime.datetime.fromtimestamp(row["us"] / 1e6, datetime.UTC), row["p"]
+    def read(self, partition: Stretches) -> Iterator[tuple]:
+        """The lines that begin within the stretches."""
+        for path, session, start, end in partition.parts:
+            with open(path, "rb") as file:
+                file.seek(max(0, start - 1))
+                if start:
+                    file.readline()  # up to the first line that begins here
+                while file.tell() < end:
+                    row = json.loads(file.readline())
+                    yield session, row["seq"], datetime.datetime.fromtimestamp(row["us"] / 1e6, datetime.UTC), row["p"]
 
     def commit(self, end: dict) -> None:
         pass
