@@ -245,6 +245,55 @@ def test_contamination_of_a_very_long_text(spark):
     assert time.time() - began < 120
 
 
+def brute_by_windows(rows, items, window=13):
+    """As ``brute_rows``, for long texts: windows are looked up in a dictionary."""
+    cut = lambda t: WORD.findall((t or "").encode().lower())
+    held, out = {}, []
+    for item, text in items:
+        q = cut(text)
+        k = min(window, len(q))
+        for s in range(len(q) - k + 1) if k else ():
+            held.setdefault(tuple(q[s : s + k]), set()).add(str(item))
+    sizes = {len(x) for x in held}
+    for i, t in rows:
+        w, hit, named = cut(t), set(), set()
+        for k in sizes:
+            for a in range(len(w) - k + 1):
+                if found := held.get(tuple(w[a : a + k])):
+                    hit.update(range(a, a + k))
+                    named |= found
+        out.append((i, len(w), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+@pytest.mark.parametrize("size", [2_000, 20_000])
+def test_contamination_by_long_items(spark, size):
+    """An item as long as a text, equal to it but for a word here and there, out of many words, few words or one."""
+    rng = random.Random(size)
+    wide, narrow = words(rng, size, 5_000), words(rng, size, 40)
+    holed = wide.split()
+    for at in range(30, size, 97):
+        holed[at] = "other"
+    items = [(1, wide), (2, narrow), (3, "na " * size), (4, "short one"), (5, " ".join(wide.split()[100:200]))]
+    rows = [(1, wide), (2, " ".join(holed)), (3, "before " + narrow + " after"), (4, "na " * size), (5, words(rng, size, 5_000)), (6, "short one"), (7, " ".join(wide.split()[-20:]))]
+    began = time.time()
+    found = decontamination.contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert time.time() - began < 60
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found) == sorted(brute_by_windows(rows, items))
+
+
+def test_phrases_and_proximity(spark):
+    long = " ".join(f"w{i}" for i in range(100))
+    items = spark.createDataFrame([("a", long), ("b", "one two"), ("a", long), ("c", None)], "item_id string, text string")
+    rows = [(1, "x " + long + " y one two one two"), (2, "one x two"), (3, " ".join(long.split()[:40]) + " gap " + " ".join(long.split()[50:]))]
+    tokens = decontamination.with_words(docs(spark, rows))
+    ids = {r.row_id: r.doc_id for r in tokens.collect()}
+    got = sorted((ids[r["row_id"]], r["item_id"], r["from"], r["to"]) for r in decontamination.phrase_matches(tokens, items).collect() if r["from"] is not None)
+    assert got == [(1, "a", 1, 101), (1, "b", 102, 106), (3, "a", 0, 40), (3, "a", 41, 91)]
+    only = [(ids[r["row_id"]], r["item_id"]) for r in decontamination.phrase_matches(tokens, items).collect() if r["from"] is None]
+    assert only == [(2, "b")]
+
+
 def test_contamination_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in decontamination.contamination(docs(spark, [(1, "a b")]), none).collect()] == [False]

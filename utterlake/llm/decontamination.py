@@ -2,11 +2,12 @@
 
 Every window of ``window`` consecutive item words is asked for by its two rarest terms in the training data. The index
 holds the positions of these terms in all documents, sorted by term, and with a rarest term the words around it. The
-lists of the two terms are shifted by the terms' offsets in the item and intersected by grouping on the shift; what is
-left is compared word by word around the rarest term, and runs of ``window`` equal words or more are exact phrase
-matches: a run of that length within reach of the term always holds it. Only rare terms are looked up, so a frequent
-word costs nothing unless a window consists of frequent words. Proximity matches (a window's two rarest terms near each
-other without the phrase) come from the same lists. No list grows with a text: a group is one place of an item.
+lists of the two terms are shifted by the terms' distance in the item and intersected; what is left is compared word by
+word around the rarest term, and runs of ``window`` equal words or more are exact phrase matches: a run of that length
+within reach of the term always holds it. Only rare terms are looked up, so a frequent word costs nothing unless a
+window consists of frequent words. Proximity matches (a window's two rarest terms near each other without the phrase)
+come from the same lists. Items and texts are cut into pieces, and places of items with equal words around them are one
+place for the search, so no row or group grows with the length of either, and a repeated passage is looked up once.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import let, materialize
+from ._shared import discard, let, materialize
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RUNS = "array<struct<from:int,to:int>>"
+PLACE = ["p1", "p2"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,20 +30,37 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(WORDS), F.lit(0))
 
 
-def item_anchors(items: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
-    """One row an item with words: item_key, item_words, width, anchors (array of windows' rarest and second rarest
-    offsets). Items are short, so each is handled as a row."""
-    terms = items.select("item_key", F.posexplode("item_words").alias("offset", "term"))
-    rated = terms.join(frequency, "term", "left").select("item_key", "offset", F.coalesce("n", F.lit(0)).alias("n"))
-    lists = rated.groupBy("item_key").agg(F.sort_array(F.collect_list(F.struct("offset", "n"))).alias("rated"))
-    width = F.least(F.lit(window), F.size("item_words"))
-    starts = F.sequence(F.lit(0), F.size("item_words") - width)
+def placed_words(rows: DataFrame, keys: list[str], found: Column, window: int, piece: int = 64) -> tuple[DataFrame, Column, Column]:
+    """keys, term, pos of each word of the arrays ``found``, and two columns over these rows: the words around the word
+    (at most ``window - 1`` on each side), and how many of them stand before it. Arrays are cut into pieces of ``piece``
+    words with the words around these, so a row is small however long its array. Empty arrays give no rows."""
+    reach = window - 1
+    low = lambda base: F.greatest(base - reach, F.lit(0))
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(piece)), lambda base: F.struct(base.alias("base"), F.slice(w, low(base) + 1, piece + 2 * reach).alias("words")))
+    pieces = rows.select(*keys, F.explode(let(found, cut)).alias("p")).select(*keys, "p.base", "p.words")
+    own = F.slice("words", F.col("base") - low(F.col("base")) + 1, piece)
+    placed = pieces.select(*keys, "base", "words", F.posexplode(own).alias("i", "term")).withColumn("pos", F.col("base") + F.col("i"))
+    left = F.least(F.col("pos"), F.lit(reach))
+    return placed, F.slice("words", F.col("pos") - left - low(F.col("base")) + 1, left + window), left
+
+
+def item_anchors(places: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
+    """item_key, pos, second: the rarest and the second rarest position (NULL in windows of one word) of all windows of
+    the items; ``places`` has item_key, n_words, pos, term. A group is a stretch of windows, however long the item."""
+    stretch = max(64, window)
+    width, first = F.least(F.lit(window), F.col("n_words")), F.col("k") * stretch
+    rated = places.join(frequency, "term", "left").select("item_key", "n_words", "pos", F.coalesce("n", F.lit(0)).alias("n"))
+    k = F.floor(F.col("pos") / stretch).cast("int")
+    rated = rated.select("*", F.explode(F.when((F.col("pos") % stretch < window - 1) & (k > 0), F.array(k, k - 1)).otherwise(F.array(k))).alias("k"))
+    lists = rated.groupBy("item_key", "n_words", "k").agg(F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("rated"))
 
     def rarest(start: Column) -> Column:
-        inside = F.sort_array(F.transform(F.slice("rated", start + 1, width), lambda x: F.struct(x["n"].alias("n"), x["offset"].alias("offset"))))
-        return F.struct(inside[0]["offset"].alias("first"), F.get(inside, F.lit(1))["offset"].alias("second"))
+        inside = F.sort_array(F.transform(F.slice("rated", start - first + 1, width), lambda x: F.struct(x["n"].alias("n"), x["pos"].alias("pos"))))
+        return let(inside, lambda x: F.struct(F.get(x, F.lit(0))["pos"].alias("pos"), F.get(x, F.lit(1))["pos"].alias("second")))
 
-    return items.join(lists, "item_key").withColumn("anchors", F.array_distinct(F.transform(starts, rarest))).withColumn("width", width).drop("rated")
+    starts = F.sequence(first, F.least(first + stretch, F.col("n_words") - width + 1) - 1)
+    found = lists.where(first <= F.col("n_words") - width).select("item_key", F.explode(F.array_distinct(F.transform(starts, rarest))).alias("a"))
+    return found.select("item_key", "a.pos", "a.second").distinct()
 
 
 def runs_of(equal, first: int, last: int, width: Column) -> Column:
@@ -66,79 +85,79 @@ def body_words(body: Column) -> Column:
     return F.when(body != "", F.split(body, " ")).otherwise(F.array().cast("array<string>"))
 
 
-def positional_index(tokens: DataFrame, wanted: DataFrame, window: int, piece: int = 64) -> DataFrame:
+def positional_index(tokens: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The postings term, row_id, pos of the wanted terms, in the order of terms; those of terms that may begin a lookup
-    carry the words around them (at most ``2 * window - 1``). Texts are cut into pieces of ``piece`` words with the words
-    around these, so a row is small however long its text."""
+    carry the words around them (at most ``2 * window - 1``)."""
     terms = wanted.groupBy("term").agg(F.max("first").alias("first"))
-    reach = window - 1
-    low = lambda base: F.greatest(base - reach, F.lit(0))
-    cut = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(piece)), lambda base: F.struct(base.alias("base"), F.slice(w, low(base) + 1, piece + 2 * reach).alias("words")))
-    pieces = tokens.where("body <> ''").select("row_id", F.explode(let(body_words(F.col("body")), cut)).alias("p")).select("row_id", "p.base", "p.words")
-    own = F.slice("words", F.col("base") - low(F.col("base")) + 1, piece)
-    placed = pieces.select("row_id", "base", "words", F.posexplode(own).alias("i", "term")).withColumn("pos", F.col("base") + F.col("i"))
-    left = F.least(F.col("pos"), F.lit(reach))
-    around = F.when(F.col("first"), F.slice("words", F.col("pos") - left - low(F.col("base")) + 1, left + window))
-    index = placed.join(terms, "term").select("term", "row_id", "pos", around.alias("around"))
+    placed, around, _ = placed_words(tokens.where("body <> ''"), ["row_id"], body_words(F.col("body")), window)
+    index = placed.join(terms, "term").select("term", "row_id", "pos", F.when(F.col("first"), around).alias("around"))
     return materialize(index.repartition("term", "row_id").sortWithinPartitions("term", "row_id", "pos"), "positional-index")
 
 
-def phrase_matches(tokens: DataFrame, items: DataFrame, window: int = 13, near: int = 13) -> DataFrame:
-    """row_id, item_id, runs, near: the exact and proximity matches of each row of ``tokens`` and each item.
-
-    ``runs`` are the row's word positions of an exact match (to exclusive), one row a place of the item in the text;
-    ``near`` tells that the two rarest terms of a window come within ``near`` words of their distance in the item, with
-    or without a phrase, and stands in a row of its own. Items without words, and repeats of an item row, add nothing.
-    """
+def found_places(tokens: DataFrame, items: DataFrame, window: int, near: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: row_id, p1, p2, from, to (runs of equal words of a row of ``tokens`` around a place); row_id, p1, p2
+    (rows with a window's two rarest terms near each other at this place); p1, p2, item_id (the items of a place)."""
     asked = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("item_words")).where("size(item_words) > 0").distinct()
-    asked = materialize(asked.withColumn("item_key", F.xxhash64("item_id", F.concat_ws(" ", "item_words"))), "items")
-    keyed = asked.select("item_key", "item_words")
+    asked = materialize(asked.select(F.monotonically_increasing_id().alias("item_key"), "item_id", F.size("item_words").alias("n_words"), "item_words"), "items")
 
-    vocabulary = keyed.select(F.explode("item_words").alias("term")).distinct()
+    vocabulary = asked.select(F.explode("item_words").alias("term")).distinct()
     frequency = tokens.select(F.explode(body_words(F.col("body"))).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    anchors = materialize(item_anchors(keyed, materialize(frequency, "term-frequency"), window), "anchors")
-    pairs = anchors.select("item_key", "item_words", F.explode("anchors").alias("a"))
-    ends = F.array(F.struct(F.col("a.first").alias("offset"), F.lit(True).alias("first")), F.struct(F.col("a.second").alias("offset"), F.lit(False).alias("first")))
-    wanted = pairs.select("item_key", "item_words", F.explode(ends).alias("p")).where("p.offset is not null")
-    wanted = wanted.groupBy("item_key", "p.offset", F.element_at("item_words", F.col("p.offset") + 1).alias("term")).agg(F.max("p.first").alias("first"))
-    wanted = materialize(wanted, "wanted-terms")
+    frequency = materialize(frequency, "term-frequency")
+    placed, around, left = placed_words(asked, ["item_key", "n_words"], F.col("item_words"), window)
+    anchors = item_anchors(placed.select("item_key", "n_words", "pos", "term"), frequency, window)
+    around = placed.select("item_key", F.least(F.lit(window), F.col("n_words")).alias("width"), "pos", "term", around.alias("mine"), left.alias("left"))
+    content = [F.col("width"), F.col("left"), F.col("mine")]
+    places = anchors.join(around, ["item_key", "pos"]).select(
+        F.xxhash64(*content).alias("p1"), F.xxhash64(F.lit(7), *content).alias("p2"), "item_key", "term", *content,
+        (F.col("second") - F.col("pos")).alias("delta"), F.get("mine", F.col("left") + F.col("second") - F.col("pos")).alias("other"),
+    )
+    places = materialize(places, "places")
+    lookups = materialize(places.select(*PLACE, "term", *content).dropDuplicates(PLACE), "lookups")
+    deltas = materialize(places.where("delta is not null").select(*PLACE, "delta", "other").distinct(), "deltas")
+    wanted = lookups.select("term", F.lit(True).alias("first")).unionByName(deltas.select(F.col("other").alias("term"), F.lit(False).alias("first")))
     index = positional_index(tokens, wanted, window)
 
-    # Every list is shifted by its term's offset in the item; one shuffle by item and row serves all that follows.
-    hits = index.join(wanted, "term").select("item_key", "row_id", "offset", (F.col("pos") - F.col("offset")).alias("shift"), F.when(wanted["first"], F.col("around")).alias("around"))
-    hits = hits.repartition("item_key", "row_id")
-    # The lists intersected: what stands at one shift, which is never more than the item has words.
-    here = F.struct("offset", "around")
-    at_shift = hits.groupBy("item_key", "row_id", "shift").agg(F.count("*").alias("n"), F.collect_list(here).alias("found")).join(anchors, "item_key")
-    offsets = F.transform("found", lambda x: x["offset"])
-    whole = F.filter("anchors", lambda a: F.array_contains(offsets, a["first"]) & (a["second"].isNull() | F.array_contains(offsets, a["second"])))
-    beginning = F.filter("found", lambda x: x["around"].isNotNull() & F.exists("whole", lambda a: a["first"] == x["offset"]))
-    both = at_shift.where("n > 1 or exists(anchors, a -> a.second is null)").withColumn("whole", whole).where("size(whole) > 0").withColumn("both", beginning)
-    reach = window - 1
+    # The lists of a place, shifted to its rarest term, and intersected.
+    firsts = index.where("around is not null").join(lookups.select(*PLACE, "term", "width"), "term").select(*PLACE, "row_id", F.col("pos").alias("at"), "around", "width")
+    seconds = index.select("row_id", "pos", F.col("term").alias("other")).join(deltas, "other").select(*PLACE, "row_id", (F.col("pos") - F.col("delta")).alias("at"), "delta")
+    both = firsts.where("width > 1").join(seconds, [*PLACE, "row_id", "at"], "left_semi").unionByName(firsts.where("width = 1"))
+    both = both.drop("width").join(lookups.select(*PLACE, *content), PLACE)
+    reach, before = window - 1, F.least(F.col("at"), F.lit(window - 1))
 
-    def exact(x: Column) -> Column:
-        """The runs of equal words around the rarest term, as positions of the document."""
-        pos, before = F.col("shift") + x["offset"], F.least(F.col("shift") + x["offset"], F.lit(reach))
+    def equal(d: Column) -> Column:
+        mine, theirs = F.col("left") + d, before + d
+        return F.coalesce(F.get("mine", F.when(mine >= 0, mine)) == F.get("around", F.when(theirs >= 0, theirs)), F.lit(False))
 
-        def equal(d: Column) -> Column:
-            mine, theirs = x["offset"] + d, before + d
-            return F.coalesce(F.get("item_words", F.when(mine >= 0, mine)) == F.get(x["around"], F.when(theirs >= 0, theirs)), F.lit(False))
-
-        return F.transform(runs_of(equal, -reach, reach, F.col("width")), lambda r: F.struct((r["from"] + pos).alias("from"), (r["to"] + pos).alias("to")))
-
-    runs = F.array_distinct(F.flatten(F.transform("both", exact)))
-    phrases = both.select("item_key", "row_id", runs.alias("runs"), F.lit(False).alias("near")).where("size(runs) > 0")
+    runs = both.select(*PLACE, "row_id", "at", F.explode(runs_of(equal, -reach, reach, F.col("width"))).alias("r"))
+    runs = runs.select(*PLACE, "row_id", (F.col("at") + F.col("r.from")).alias("from"), (F.col("at") + F.col("r.to")).alias("to"))
+    runs = materialize(runs, "runs")
 
     # Proximity: of the places of a window's two rarest terms, in the order of their shifts, each sees the last one of
     # the other term before it; so the nearest pair is found in one pass.
-    sides = pairs.where("a.second is not null").select("item_key", "a.first", "a.second", F.explode(F.array(F.struct(F.col("a.first").alias("offset"), F.lit(True).alias("rarest")), F.struct(F.col("a.second").alias("offset"), F.lit(False).alias("rarest")))).alias("s"))
-    sides = sides.select("item_key", "first", "second", "s.offset", "s.rarest")
-    line = Window.partitionBy("item_key", "row_id", "first", "second").orderBy("shift").rowsBetween(Window.unboundedPreceding, 0)
-    other = lambda rarest: F.last(F.when(F.col("rarest") == rarest, F.col("shift")), ignorenulls=True).over(line)
-    seen = hits.select("item_key", "row_id", "offset", "shift").join(sides, ["item_key", "offset"])
-    seen = seen.withColumn("gap", F.col("shift") - F.when(F.col("rarest"), other(False)).otherwise(other(True)))
-    close = seen.where(F.col("gap") <= near).select("item_key", "row_id").distinct().select("item_key", "row_id", F.array().cast(RUNS).alias("runs"), F.lit(True).alias("near"))
-    return phrases.unionByName(close).join(asked.select("item_key", "item_id"), "item_key").drop("item_key")
+    rarest = firsts.select(*PLACE, "row_id", "at").join(deltas.select(*PLACE, "delta"), PLACE).withColumn("rarest", F.lit(True))
+    seen = rarest.unionByName(seconds.withColumn("rarest", F.lit(False)))
+    line = Window.partitionBy(*PLACE, "delta", "row_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    other = lambda rarest: F.last(F.when(F.col("rarest") == rarest, F.col("at")), ignorenulls=True).over(line)
+    gap = F.col("at") - F.when(F.col("rarest"), other(False)).otherwise(other(True))
+    close = materialize(seen.withColumn("gap", gap).where(F.col("gap") <= near).select(*PLACE, "row_id").distinct(), "close")
+    of = materialize(places.select(*PLACE, "item_key").distinct().join(asked.select("item_key", "item_id"), "item_key").select(*PLACE, "item_id").distinct(), "items-of-places")
+    discard(asked, frequency, places, lookups, deltas, index)
+    return runs, close, of
+
+
+def phrase_matches(tokens: DataFrame, items: DataFrame, window: int = 13, near: int = 13) -> DataFrame:
+    """row_id, item_id, from, to: the exact and proximity matches of each row of ``tokens`` (from ``with_words``) and
+    each item. An exact match is a longest stretch of the row's words (to exclusive) that windows of the item cover
+    without a gap. A proximity match has no from and to: the two rarest terms of a window come within ``near`` words of
+    their distance in the item, and the row has no exact match of the item. Items without words, and repeats of an item
+    row, add nothing."""
+    runs, close, of = found_places(tokens, items, window, near)
+    spans = runs.join(of, PLACE).select("row_id", "item_id", "from", "to").distinct()
+    line = Window.partitionBy("row_id", "item_id").orderBy("from", "to")
+    fresh = F.col("from") > F.coalesce(F.max("to").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    spans = spans.withColumn("n", F.sum(fresh.cast("int")).over(line)).groupBy("row_id", "item_id", "n").agg(F.min("from").alias("from"), F.max("to").alias("to")).drop("n")
+    only = close.join(of, PLACE).select("row_id", "item_id").distinct().join(spans, ["row_id", "item_id"], "left_anti")
+    return spans.unionByName(only, allowMissingColumns=True)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
@@ -146,26 +165,30 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
 
     Contaminated: some word is hit and 1 in ``share`` words or more are. n_near counts items with a proximity match
     only. NULL and empty texts have no words and are clean; rows that repeat a doc_id, or have none, are judged each for
-    itself; of equally rare terms the earlier is looked up; a text of any length is cut into postings, so very long
-    ones make longer lists but no larger rows; other columns are not read; empty tables give empty results or clean
+    itself; of equally rare terms the earlier is looked up; texts and items of any length are cut into places, so very
+    long ones make longer lists but no larger rows; other columns are not read; empty tables give empty results or clean
     documents.
     """
     tokens = with_words(docs)
-    matches = phrase_matches(tokens, items, window)
-    exact = F.size("runs") > 0
-    # First item by item, so that what an item adds to a row is small whatever the length of the text.
-    per_item = matches.groupBy("row_id", "item_id").agg(F.max("near").alias("near"), F.max(exact).alias("exact"))
-    named = per_item.groupBy("row_id").agg(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("item_id")))).alias("ids"), F.count_if(F.col("near") & ~F.col("exact")).alias("n_near"))
+    runs, close, of = found_places(tokens, items, window, near=window)
+    # A row and a place once, before the items of the place are named.
+    places = runs.select("row_id", *PLACE, F.lit(True).alias("exact")).unionByName(close.select("row_id", *PLACE, F.lit(False).alias("exact")))
+    places = places.groupBy("row_id", *PLACE).agg(F.max("exact").alias("exact"))
+    per_item = places.join(of, PLACE).groupBy("row_id", "item_id").agg(F.max("exact").alias("exact"))
+    named = per_item.groupBy("row_id").agg(F.sort_array(F.collect_list(F.when(F.col("exact"), F.col("item_id")))).alias("ids"), F.count_if(~F.col("exact")).alias("n_near"))
     # Word positions that are hit, each counted once: spans in order, each adds what lies beyond all before it.
-    spans = matches.select("row_id", F.explode("runs").alias("r")).select("row_id", "r.from", "r.to").distinct()
+    spans = runs.select("row_id", "from", "to").distinct()
     before = F.coalesce(F.max("to").over(Window.partitionBy("row_id").orderBy("from", "to").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     hit = spans.withColumn("fresh", F.greatest(F.lit(0), F.col("to") - F.greatest("from", before))).groupBy("row_id").agg(F.sum("fresh").alias("n_hit"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return tokens.select("row_id", "doc_id", "n_words").join(named, "row_id", "left").join(hit, "row_id", "left").select(
+    judged = tokens.select("row_id", "doc_id", "n_words").join(named, "row_id", "left").join(hit, "row_id", "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "row_id",
     )
+    judged = materialize(judged, "judged")
+    discard(tokens, runs, close, of)
+    return judged
 
 
 def _text_key(text: Column) -> list[Column]:
