@@ -112,6 +112,30 @@ def test_sum_of_squares_fills():
     assert sequence.max() + 1 <= least * 1.01
 
 
+@pytest.mark.parametrize(("capacity", "low", "n"), [(12, 1, 200), (30, 4, 300), (64, 20, 300)])
+def test_sum_of_squares_takes_the_best_place(capacity, low, n):
+    """Each length, longest first, against all open sequences tried one by one."""
+    lengths = np.random.default_rng(capacity).integers(low, capacity + 1, n)
+    sequence, offset = packing.sum_of_squares(lengths, capacity)
+    gaps: dict[int, int] = {}
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        size, chosen = int(lengths[i]), int(sequence[i])
+        if chosen not in gaps:
+            assert not any(g >= size for g in gaps.values()), "a sequence was opened although one has room"
+            gaps[chosen] = capacity
+        else:
+            squares = {}
+            for gap in {g for g in gaps.values() if g >= size}:
+                counts = Counter(g for g in gaps.values() if g)
+                counts[gap] -= 1
+                counts[gap - size] += gap > size
+                squares[gap] = sum(c * c for c in counts.values())
+            assert gaps[chosen] == min(squares, key=lambda g: (squares[g], g))
+        assert offset[i] == capacity - gaps[chosen]
+        gaps[chosen] -= size
+    assert sum(capacity - g for g in gaps.values()) == lengths.sum()
+
+
 def test_quality_on_held_out(spark):
     path = "/root/testdata/sf0.01"
     scores = {r.doc_id: r for r in quality.op6_quality_classifier(spark, path).collect()}

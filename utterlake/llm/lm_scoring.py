@@ -122,8 +122,9 @@ def shards_for(n_bytes: int, shard_bytes: int = 1 << 24) -> int:
 def _split(own: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order by shard, and (shard, from, to) of those that occur."""
     order = np.argsort(own, kind="stable")
-    edges = np.searchsorted(own[order], np.arange(shards + 1))
-    return order, [(k, int(x), int(y)) for k, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
+    found, heads = np.unique(own[order], return_index=True)
+    edges = np.append(heads, len(own)).tolist()
+    return order, list(zip(found.tolist(), edges[:-1], edges[1:], strict=True))
 
 
 #: Different entries after which a task sends what it has.

@@ -99,7 +99,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 0, ca
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A NULL or empty text has the end id alone, so every document has a piece; a NULL doc_id is carried as it is;
-    documents that repeat a doc_id are packed each for itself; further columns of ``docs`` are not read.
+    documents that repeat a doc_id are packed each for itself; of equally good places the smallest gap is taken, of
+    sequences of one gap the one that came to it last; further columns of ``docs`` are not read.
     """
     return pack(token_pieces(docs, path or tokenizer_path(TOKENIZER), end_id, capacity), capacity, group_rows)
 
