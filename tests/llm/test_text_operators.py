@@ -294,6 +294,14 @@ def test_phrases_and_proximity(spark):
     assert only == [(2, "b")]
 
 
+def test_index_beyond_the_broadcast_bound(spark):
+    rng = random.Random(8)
+    tokens = decontamination.with_words(docs(spark, [(i, words(rng, 150, 30)) for i in range(6)] + [(9, None)]))
+    wanted = spark.createDataFrame([("w1", True), ("w2", False), ("w2", True), ("w3", False)], "term string, first boolean")
+    index = lambda bound: sorted(map(str, decontamination.positional_index(tokens, wanted, 13, bound).collect()))
+    assert index(0) == index(8 << 20) != []
+
+
 def test_contamination_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in decontamination.contamination(docs(spark, [(1, "a b")]), none).collect()] == [False]

@@ -30,18 +30,23 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(WORDS), F.lit(0))
 
 
-def placed_words(rows: DataFrame, keys: list[str], found: Column, window: int, piece: int = 64) -> tuple[DataFrame, Column, Column]:
-    """keys, term, pos of each word of the arrays ``found``, and two columns over these rows: the words around the word
-    (at most ``window - 1`` on each side), and how many of them stand before it. Arrays are cut into pieces of ``piece``
-    words with the words around these, so a row is small however long its array. Empty arrays give no rows."""
+def word_pieces(rows: DataFrame, keys: list[str], found: Column, window: int, piece: int = 64) -> DataFrame:
+    """keys, base, words: the arrays ``found`` cut into pieces of ``piece`` words from ``base`` on, each with the
+    ``window - 1`` words on both sides of it, so a row is small however long its array. Empty arrays give no rows."""
     reach = window - 1
     low = lambda base: F.greatest(base - reach, F.lit(0))
     cut = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(piece)), lambda base: F.struct(base.alias("base"), F.slice(w, low(base) + 1, piece + 2 * reach).alias("words")))
-    pieces = rows.select(*keys, F.explode(let(found, cut)).alias("p")).select(*keys, "p.base", "p.words")
-    own = F.slice("words", F.col("base") - low(F.col("base")) + 1, piece)
+    return rows.select(*keys, F.explode(let(found, cut)).alias("p")).select(*keys, "p.base", "p.words")
+
+
+def placed_words(pieces: DataFrame, keys: list[str], window: int, piece: int = 64) -> tuple[DataFrame, Column, Column]:
+    """keys, base, words, term, pos of each word of the pieces, and two columns over these rows: the words around the
+    word (at most ``window - 1`` on each side), and how many of them stand before it."""
+    low = F.greatest(F.col("base") - (window - 1), F.lit(0))
+    own = F.slice("words", F.col("base") - low + 1, piece)
     placed = pieces.select(*keys, "base", "words", F.posexplode(own).alias("i", "term")).withColumn("pos", F.col("base") + F.col("i"))
-    left = F.least(F.col("pos"), F.lit(reach))
-    return placed, F.slice("words", F.col("pos") - left - low(F.col("base")) + 1, left + window), left
+    left = F.least(F.col("pos"), F.lit(window - 1))
+    return placed, F.slice("words", F.col("pos") - left - low + 1, left + window), left
 
 
 def item_anchors(places: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
@@ -85,13 +90,22 @@ def body_words(body: Column) -> Column:
     return F.when(body != "", F.split(body, " ")).otherwise(F.array().cast("array<string>"))
 
 
-def positional_index(tokens: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+def positional_index(tokens: DataFrame, wanted: DataFrame, window: int, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """The postings term, row_id, pos of the wanted terms, in the order of terms; those of terms that may begin a lookup
-    carry the words around them (at most ``2 * window - 1``)."""
-    terms = wanted.groupBy("term").agg(F.max("first").alias("first"))
-    placed, around, _ = placed_words(tokens.where("body <> ''"), ["row_id"], body_words(F.col("body")), window)
-    index = placed.join(terms, "term").select("term", "row_id", "pos", F.when(F.col("first"), around).alias("around"))
-    return materialize(index.repartition("term", "row_id").sortWithinPartitions("term", "row_id", "pos"), "positional-index")
+    carry the words around them (at most ``2 * window - 1``). Terms of up to ``broadcast_bytes`` in all, as measured,
+    go to the texts; beyond that, places go to the terms without words, and what is found fetches its piece's words."""
+    terms = materialize(wanted.groupBy("term").agg(F.max("first").alias("first")), "wanted-terms")
+    size = terms.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
+    pieces = word_pieces(tokens.where("body <> ''"), ["row_id"], body_words(F.col("body")), window)
+    placed, around, _ = placed_words(pieces, ["row_id"], window)
+    if size <= broadcast_bytes:
+        placed = placed.join(F.broadcast(terms), "term")
+    else:
+        placed = placed.select("row_id", "base", "pos", "term").join(terms, "term").join(pieces, ["row_id", "base"])
+    index = placed.select("term", "row_id", "pos", F.when(F.col("first"), around).alias("around"))
+    index = materialize(index.repartition("term", "row_id").sortWithinPartitions("term", "row_id", "pos"), "positional-index")
+    discard(terms)
+    return index
 
 
 def found_places(tokens: DataFrame, items: DataFrame, window: int, near: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -103,7 +117,8 @@ def found_places(tokens: DataFrame, items: DataFrame, window: int, near: int) ->
     vocabulary = asked.select(F.explode("item_words").alias("term")).distinct()
     frequency = tokens.select(F.explode(body_words(F.col("body"))).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     frequency = materialize(frequency, "term-frequency")
-    placed, around, left = placed_words(asked, ["item_key", "n_words"], F.col("item_words"), window)
+    pieces = word_pieces(asked, ["item_key", "n_words"], F.col("item_words"), window)
+    placed, around, left = placed_words(pieces, ["item_key", "n_words"], window)
     anchors = item_anchors(placed.select("item_key", "n_words", "pos", "term"), frequency, window)
     around = placed.select("item_key", F.least(F.lit(window), F.col("n_words")).alias("width"), "pos", "term", around.alias("mine"), left.alias("left"))
     content = [F.col("width"), F.col("left"), F.col("mine")]
