@@ -93,6 +93,8 @@ def test_banded_alignment():
         band, want = int(rng.integers(0, 8)), edit_distance(a, b)
         assert near_dup.edit_distance(a, b, band) == min(want, band + 1)
         assert near_dup.rough_distance(a, b) <= want and near_dup.least_distance(a, b) <= want
+        differ = sum(int(x ^ y).bit_count() for x, y in zip(near_dup.parities(a).view(np.uint64).tolist(), near_dup.parities(b).view(np.uint64).tolist(), strict=True))
+        assert differ <= 2 * want
 
 
 def test_near_duplicates(spark):
@@ -168,6 +170,25 @@ def test_near_duplicates_recall_close_to_the_threshold(spark):
     assert all(got[g] == g for g in wanted)
 
 
+def test_only_pairs_that_cannot_link_are_ruled_out(spark):
+    """Pairs that differ by words moved, dropped, put in or put for others, at both sides of the threshold."""
+    rng, rows = random.Random(12), []
+    for i in range(300):
+        n = rng.choice([1, 4, 5, 20, 90, 400])
+        a = np.array([rng.randrange(60 if i % 2 else 100_000) for _ in range(n)], "<u4")
+        b = a.tolist()
+        for _ in range(rng.randrange(int(0.9 * n) + 2)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = [rng.randrange(100_000)] * rng.randrange(2)
+        b = np.array(b, "<u4")
+        most = near_dup.allowed(len(a), len(b), 0.8)
+        rows.append((len(a), len(b), near_dup.parities(a).tolist(), near_dup.parities(b).tolist(), near_dup.edit_distance(a, b, most) <= most))
+    table = spark.createDataFrame(rows, "n long, m long, x array<long>, y array<long>, linked boolean")
+    got = table.select("linked", near_dup.may_link(table["n"], table["m"], table["x"], table["y"], 0.8).alias("may")).collect()
+    assert all(r.may for r in got if r.linked)
+    assert sum(r.linked for r in got) > 50 and sum(not r.may for r in got) > 50
+
+
 def test_near_duplicates_edges(spark):
     long = "word " * 60_000
     rows = [(1, long), (2, long + "tail"), (3, "one"), (4, "one"), (5, "two")]
