@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..tables import numbered
-from .series import linear_regrid
+from .series import regrids
 from .verify import order_key
 
 
@@ -124,10 +124,7 @@ def speed_series(samples: DataFrame, items: DataFrame, speeds: tuple[float, ...]
     """key, speed_id, class_id, n, x: the samples (key, n, x) of each item (key, speaker) resampled to each speed; every
     speed of a speaker is a class of its own."""
     classes = speed_expand(items, speeds).select("key", "speed_id", "class_id")
-    grids = [linear_regrid(samples, s).withColumn("speed_id", F.lit(i).cast("long")) for i, s in enumerate(speeds)]
-    moved = grids[0]
-    for g in grids[1:]:
-        moved = moved.unionByName(g)
+    moved = regrids(samples, speeds).withColumnRenamed("rate_id", "speed_id")
     return moved.join(classes, ["key", "speed_id"]).select("key", "speed_id", "class_id", "n", "x")
 
 

@@ -229,12 +229,26 @@ def best_lag(ref: DataFrame, est: DataFrame, max_lag: int, step: int = 4) -> Dat
 
 def linear_regrid(samples: DataFrame, rate: float) -> DataFrame:
     """key, n, x resampled to round(n / rate) points from the first to the last sample, by linear interpolation."""
-    size = samples.groupBy("key").agg(F.count("*").alias("size")).withColumn("out", F.rint(F.col("size") / rate).cast("long")).where("out > 0")
-    grid = size.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("out") - 1)).alias("n"), "size", "out")
-    at = F.when(F.col("out") == 1, F.lit(0.0)).otherwise(F.col("n") * ((F.col("size") - 1) / (F.col("out") - 1)))
-    grid = grid.withColumn("at", at).withColumn("low", F.least(F.floor("at"), F.col("size") - 1))
-    ahead = samples.withColumn("next", F.coalesce(F.lead("x").over(Window.partitionBy("key").orderBy("n")), F.col("x"))).withColumnRenamed("n", "low")
-    return grid.join(ahead, ["key", "low"]).select("key", "n", (F.col("x") + (F.col("next") - F.col("x")) * (F.col("at") - F.col("low"))).alias("x"))
+    return regrids(samples, (rate,)).select("key", "n", "x")
+
+
+def regrids(samples: DataFrame, rates: tuple[float, ...]) -> DataFrame:
+    """key, rate_id, n, x: ``linear_regrid`` at each rate, numbered from 0. Every sample makes the points that lie between
+    it and the next one, so points meet no table of samples: there is no join, whose side could be taken for a small one."""
+    own = Window.partitionBy("key")
+    following = F.coalesce(F.lead("x").over(own.orderBy("n")), F.col("x"))
+    rows = samples.where("key is not null").select("key", F.col("n").alias("low"), "x", following.alias("next"), F.count("*").over(own).alias("size"))
+    rows = rows.select("*", F.posexplode(F.array(*[F.lit(float(r)) for r in rates])).alias("rate_id", "rate"))
+    rows = rows.withColumn("out", F.rint(F.col("size") / F.col("rate")).cast("long")).where("out > 0")
+    last, gaps = F.col("size") - 1, F.col("out") - 1
+    step = F.when(gaps > 0, last / gaps).otherwise(F.lit(0.0))
+    # A point more at both ends than exact arithmetic has; the test of the point's own place decides.
+    first = F.when(last > 0, F.greatest(F.floor(F.col("low") * gaps / last) - 1, F.lit(0))).otherwise(F.lit(0))
+    until = F.when(last > 0, F.least(F.ceil((F.col("low") + 1) * gaps / last) + 1, gaps)).otherwise(gaps)
+    points = rows.withColumns({"step": step, "first": first.cast("long"), "until": until.cast("long"), "last": last}).where("first <= until")
+    points = points.select("*", F.explode(F.sequence("first", "until")).alias("n")).withColumn("at", F.col("n") * F.col("step"))
+    points = points.where(F.least(F.floor("at"), F.col("last")) == F.col("low"))
+    return points.select("key", F.col("rate_id").cast("long").alias("rate_id"), "n", (F.col("x") + (F.col("next") - F.col("x")) * (F.col("at") - F.col("low"))).alias("x"))
 
 
 def mix_noise(speech: DataFrame, noise: DataFrame, snr_db: float) -> DataFrame:
