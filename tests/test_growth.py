@@ -30,3 +30,14 @@ def test_speed_series_joins_no_samples(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     assert found.selectExpr("max(class_id)").first()[0] == 5
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 4  # only those of the classes
+
+
+@pytest.mark.parametrize("rate", [0.3, 0.9, 1.1, 2.7, 40.0])
+def test_linear_regrid_without_a_join(spark, rate):
+    own = _walks([1, 2, 5, 64, 200])
+    samples = spark.createDataFrame([(k, n, v) for k, x in own.items() for n, v in enumerate(x)] + [(None, 0, 1.0)], "key long, n long, x double")
+    found = series.linear_regrid(samples, rate)
+    got = {(r.key, r.n): r.x for r in found.collect()}
+    want = {(k, i): v for k, x in own.items() for i, v in enumerate(_regridded(x, rate).tolist())}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
