@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from utterlake.operators import prep, series
+from utterlake.operators import prep, series, verify
+from utterlake.plans import registry
 
 
 def _regridded(x, rate):
@@ -41,3 +42,28 @@ def test_linear_regrid_without_a_join(spark, rate):
     want = {(k, i): v for k, x in own.items() for i, v in enumerate(_regridded(x, rate).tolist())}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _odd_items(spark):
+    rng = random.Random(3)
+    rows = [(i, None if i % 17 == 3 else rng.randrange(3), [rng.gauss(0, 1) for _ in range(8)]) for i in range(150)]
+    rows += [(200, 1, None), (201, 1, [1.0, None] + [0.0] * 6), (202, 2, [0.0] * 8), (203, 0, [1.0] * 5), (204, 0, [2.0] * 5), (205, 1, [float("nan")] * 8), (206, 1, [1.0] + [0.0] * 7), (207, 1, [0.0000005, 1.0] + [0.0] * 6), (208, 1, [1e-200] * 8)]
+    return spark.createDataFrame(rows, "id long, speaker long, v array<double>")
+
+
+@pytest.mark.parametrize("digits", [1, 6])
+def test_counts_of_all_pairs_equal_single_scores(spark, digits):
+    items = _odd_items(spark)
+    want = verify.score_trials(verify.all_pairs(items), items).withColumn("score", F.round("score", digits))
+    got = verify.all_pair_counts(items, digits)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.groupBy("same", "score").agg(F.count("*").alias("n")).collect()))
+
+
+@pytest.mark.parametrize("name", ["det_curve", "det_curve_ranged", "eer", "min_dcf", "trial_summary"])
+def test_summaries_of_all_pairs_make_no_row_a_pair(spark, name, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a row for each pair")
+
+    monkeypatch.setattr(verify, "score_trials", refuse)
+    monkeypatch.setattr(verify, "all_pairs", refuse)
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
