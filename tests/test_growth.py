@@ -67,3 +67,12 @@ def test_summaries_of_all_pairs_make_no_row_a_pair(spark, name, monkeypatch):
     monkeypatch.setattr(verify, "score_trials", refuse)
     monkeypatch.setattr(verify, "all_pairs", refuse)
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("digits", [1, 6])
+def test_scores_of_all_pairs_equal_single_scores(spark, digits):
+    items = _odd_items(spark)
+    want = verify.score_trials(verify.all_pairs(items), items).withColumn("score", F.round("score", digits))
+    got = verify.all_pair_scores(items, digits)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
