@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from utterlake.operators import prep, series, verify
 from utterlake.plans import registry
+from utterlake.streaming import sources
 
 
 def _regridded(x, rate):
@@ -76,3 +77,14 @@ def test_scores_of_all_pairs_equal_single_scores(spark, digits):
     got = verify.all_pair_scores(items, digits)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_slices_of_several_files_are_a_batch_each(spark, tmp_path):
+    rows = spark.range(6000).select(F.col("id").alias("x"), (F.col("id") % 7).alias("key")).repartition(3)
+    files = sources.write_slices(rows, f"{tmp_path}/in", "x", 3, file_rows=500)
+    assert files == len(list((tmp_path / "in").glob("*.parquet"))) // 3 > 1
+    stream = sources.event_source(spark, f"{tmp_path}/in", rows.schema, files)
+    sources.append_batches(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    found = spark.read.parquet(f"{tmp_path}/out").groupBy("batch").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).orderBy("batch").collect()
+    assert len(found) == 3 and sum(r.n for r in found) == 6000
+    assert [r.high + 1 for r in found[:2]] == [r.low for r in found[1:]] and found[0].low == 0 and found[2].high == 5999

@@ -91,8 +91,8 @@ def _late(spark, d):
     f = frames(spark, d).withColumn("due", F.col("ts"))
     again = f.where("seq % 10 = 3").withColumn("due", F.col("due") + F.expr("INTERVAL 30 DAYS"))
     rows, base = f.unionByName(again), shared_folder(spark, "late")
-    so.write_slices(rows, f"{base}/in", "due", 3)
-    so.append_split(ky.tag_late(so.event_source(spark, f"{base}/in", rows.schema), "due"), "late", f"{base}/main", f"{base}/side", f"{base}/checkpoint")
+    files = so.write_slices(rows, f"{base}/in", "due", 3)
+    so.append_split(ky.tag_late(so.event_source(spark, f"{base}/in", rows.schema, files), "due"), "late", f"{base}/main", f"{base}/side", f"{base}/checkpoint")
     return f"{base}/main", f"{base}/side"
 
 
@@ -143,9 +143,9 @@ def append_stream(spark, d):
     """Two runs of one stream on one checkpoint: the second finds nothing new, and every row is there once."""
     rows = v.stages(spark, d).withColumn("at", F.col("ts").cast("timestamp"))
     base = shared_folder(spark, "append")
-    so.write_slices(rows, f"{base}/in", "at", 3)
+    files = so.write_slices(rows, f"{base}/in", "at", 3)
     for _ in range(2):
-        so.append_committed(so.event_source(spark, f"{base}/in", rows.schema), f"{base}/out", f"{base}/checkpoint")
+        so.append_committed(so.event_source(spark, f"{base}/in", rows.schema, files), f"{base}/out", f"{base}/checkpoint")
     return fi.read_committed(spark, f"{base}/out", "event_id long, stage string, ms double").select("event_id", "stage", *r6("ms"))
 
 
@@ -170,8 +170,8 @@ def align_stream(spark, d):
 
     waves = v.waves(spark, d).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("n")))
     base = shared_folder(spark, "align")
-    so.write_slices(waves, f"{base}/in", "ts", 2)
-    pair = [so.event_source(spark, f"{base}/in", waves.schema) for _ in range(2)]
+    files = so.write_slices(waves, f"{base}/in", "ts", 2)
+    pair = [so.event_source(spark, f"{base}/in", waves.schema, files) for _ in range(2)]
     stream = wi.align_stream(pair[0], pair[1], 3)
     so.append_batches(stream, f"{base}/out", f"{base}/checkpoint")
     return spark.read.schema(T.StructType(stream.schema.fields)).parquet(f"{base}/out").select("key", "n", *r6("raw", "x"))

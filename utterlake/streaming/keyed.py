@@ -49,7 +49,7 @@ def _with_state(stream: DataFrame, key: str, find: Callable, output: str, state:
             held.remove()
             return
         rows = list(batches)
-        latest = max(int(x[at].max().timestamp() * 1000) for x in rows)
+        latest = max(int(np.fmax.reduce(x[at].to_numpy()).astype("datetime64[ms]").astype(int)) for x in rows)
         yield from find(key, iter(rows), held)
         held.setTimeoutTimestamp(max(latest + wait, held.getCurrentWatermarkMs() + 1))
 
@@ -57,8 +57,13 @@ def _with_state(stream: DataFrame, key: str, find: Callable, output: str, state:
 
 
 def _fresh(batches: Iterator[pd.DataFrame], seq: str, last: int) -> pd.DataFrame:
-    rows = pd.concat(list(batches)).drop_duplicates(seq).sort_values(seq)
-    return rows[rows[seq] > last]
+    found = list(batches)
+    rows = found[0] if len(found) == 1 else pd.concat(found)
+    at = rows[seq].to_numpy()
+    if len(at) and at[0] > last and (at[1:] > at[:-1]).all():
+        return rows
+    at, first = np.unique(at, return_index=True)  # of repeats the first
+    return rows.iloc[first[at > last]]
 
 
 def endpoint_stream(frames: DataFrame, rules: EndpointRules, idle: str | None = IDLE) -> DataFrame:

@@ -9,22 +9,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.files import commit_batch
-from ..tables import shared_folder
+from ..tables import shared_folder, written
+
 
 def event_source(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
     """A stream of the Parquet files in a folder, oldest first."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def write_slices(rows: DataFrame, path: str, order: str, slices: int) -> None:
-    """The rows as ``slices`` files that follow each other in ``order``: what a service leaves behind over time. The
-    borders are quantiles, so the files are about equal."""
-    rows = rows.withColumn("__at", F.col(order).cast("double"))
+def write_slices(rows: DataFrame, path: str, order: str, slices: int, file_rows: int = 250_000) -> int:
+    """The rows as ``slices`` sets of files that follow each other in ``order``: what a service leaves behind over time. The
+    borders are quantiles, so the sets are about equal. Returns the number of files of a set, the same for all: a file
+    holds ``file_rows`` or more, so none is empty where a set has several, and tasks write and read them side by side."""
+    rows = written(rows.withColumn("__at", F.col(order).cast("double")), "slices")
     edges = rows.approxQuantile("__at", [k / slices for k in range(1, slices)], 0.001) if slices > 1 else []
+    parts = []
     for low, high in zip([None, *edges], [*edges, None], strict=True):
         part = rows if low is None else rows.where(F.col("__at") > low)
-        part = part if high is None else part.where(F.col("__at") <= high)
-        part.drop("__at").coalesce(1).write.mode("append").parquet(path)
+        parts.append(part if high is None else part.where(F.col("__at") <= high))
+    files = max(1, min(part.count() for part in parts) // file_rows)
+    for part in parts:
+        part = part.drop("__at")
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(path)
+    return files
 
 
 def append_batches(stream: DataFrame, table: str, checkpoint: str, mode: str = "append", also: Callable[[DataFrame, int], None] | None = None) -> None:
@@ -62,10 +69,10 @@ def append_split(stream: DataFrame, flag: str, main: str, side: str, checkpoint:
 
 
 def replay(rows: DataFrame, order: str, form: Callable[[DataFrame], DataFrame], slices: int = 3, mode: str = "append") -> DataFrame:
-    """The result of a streaming form over ``rows``, fed as ``slices`` files, one a micro-batch; with the batch's number."""
+    """The result of a streaming form over ``rows``, fed as ``slices`` sets of files, one a micro-batch; with the batch's number."""
     spark = rows.sparkSession
     base = shared_folder(spark, "stream")
-    write_slices(rows, f"{base}/in", order, slices)
-    stream = form(event_source(spark, f"{base}/in", rows.schema))
+    files = write_slices(rows, f"{base}/in", order, slices)
+    stream = form(event_source(spark, f"{base}/in", rows.schema, files))
     append_batches(stream, f"{base}/out", f"{base}/checkpoint", mode)
     return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/out")
