@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from utterlake.operators import prep, series, verify
+from utterlake.functions import text as tx
+from utterlake.operators import coverage, prep, series, verify
 from utterlake.plans import registry
 from utterlake.streaming import sources
 
@@ -88,3 +89,27 @@ def test_slices_of_several_files_are_a_batch_each(spark, tmp_path):
     found = spark.read.parquet(f"{tmp_path}/out").groupBy("batch").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).orderBy("batch").collect()
     assert len(found) == 3 and sum(r.n for r in found) == 6000
     assert [r.high + 1 for r in found[:2]] == [r.low for r in found[1:]] and found[0].low == 0 and found[2].high == 5999
+
+
+@pytest.mark.parametrize("top", [1, 3, 200])
+def test_greedy_coverage_makes_its_candidates_once(spark, top):
+    rng = random.Random(8)
+    texts = {i: "".join(rng.choice("abc ") for _ in range(rng.randrange(3, 30))) for i in range(60)}
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    pool = spark.createDataFrame(list(texts.items()), "idx long, norm string").mapInArrow(count, "idx long, norm string")
+    grams = {r.idx: sorted(r.g) for r in spark.createDataFrame(list(texts.items()), "idx long, norm string").select("idx", tx.char_ngrams(F.col("norm"), 3).alias("g")).collect() if r.g}
+    seen = {"aaa": 5, "bca": 2}
+    want, now = [], dict(seen)
+    while len(want) < 12:
+        score = {i: sum(1.0 / (1 + now.get(g, 0)) for g in own) / len(texts[i]) ** 0.5 for i, own in grams.items() if i not in want}
+        want.append(min(score, key=lambda i: (-score[i], i)))
+        for g in grams[want[-1]]:
+            now[g] = now.get(g, 0) + 1
+    got = coverage.greedy_coverage(pool, 12, seen=spark.createDataFrame(list(seen.items()), "gram string, n long"), top=top)
+    assert got == want and made.value == len(texts)
