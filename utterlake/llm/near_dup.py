@@ -10,10 +10,10 @@ Documents of equal word sequences are one class at once. For the others every bu
 smallest document as pivot by a map-side combined minimum and each member is aligned with its pivot. Classes are the
 connected components of all links. Where a bucket's members are still of different classes, those outside its largest
 class are aligned with all others; they are few, as the largest class of a bucket of copies holds nearly all. A bucket
-with very many outside comes of a passage that many unlike documents share: there the passage is cut out of its members'
-words, and sketches of single words and word pairs of what is left make new buckets. Those of these that are full again
-are dealt finer by several of their members' full sketches at a time. Never all pairs of a bucket are made, and nothing
-about single documents goes through the driver.
+with very many outside comes of a passage that many unlike documents share. The members of all such buckets meet each
+other in blocks: within a task lengths, parities and counts of words rule out the pairs that cannot be near enough, and
+only the others become rows and are aligned. So no pair that shares a sketch is left out, no bucket is one task, and
+nothing about single documents goes through the driver.
 """
 
 from __future__ import annotations
@@ -267,121 +267,124 @@ def components(links: DataFrame) -> DataFrame:
     return found
 
 
-def _bucket_pairs(live: DataFrame, roots: DataFrame, codes: DataFrame, limit: int, pivots: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """For buckets (sig, rep) whose members are of different classes: the pairs to align next, and the members of those
-    with more than ``limit`` members outside their largest class.
+def _bucket_pairs(live: DataFrame, roots: DataFrame, codes: DataFrame, limit: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For buckets (sig, rep) whose members are of different classes: the pairs to align next, the members (rep) of those
+    with more than ``limit`` members outside their largest class, for ``_crowded_links``, and the table that both come from.
 
-    Members outside the largest class meet all members of other classes. In a fuller bucket they meet in finer ones; with
-    ``pivots``, as at the last level, about that many of them, chosen by hash, meet all others there. So a bucket never
-    costs more than ``limit`` looks a member; the join itself passes on only pairs that lengths and parities allow.
+    In the other buckets members outside the largest class meet all members of other classes, so such a bucket costs no
+    more than ``limit`` looks a member; the join itself passes on only pairs that lengths and parities allow.
     """
     rows = live.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     sizes = rows.groupBy("sig", "root").agg(F.count("*").alias("n"))  # a class of a bucket is a row, not a member
     state = sizes.groupBy("sig").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1")
     state = state.select("sig", F.col("top.root").alias("largest"), (F.col("n") - F.col("top.n")).alias("outside"))
-    traits = codes.select("rep", "n", "bits")
-    mixed = materialize(rows.join(state, "sig").join(traits, "rep"), "mixed-buckets")
+    mixed = materialize(rows.join(state, "sig"), "mixed-buckets")
+    few = mixed.where(F.col("outside") <= limit).join(codes.select("rep", "n", "bits"), "rep")
     salts = 8  # the few members outside are copied, so that the many of a hot bucket need not be in one task
-    few = F.col("outside") <= limit
-    if pivots:
-        few = few | (F.pmod(F.xxhash64("rep"), F.ceil(F.col("outside") / pivots)) == 0)
-    chosen = mixed.where("root <> largest").where(few)
+    chosen = few.where("root <> largest")
     chosen = chosen.select("sig", F.col("rep").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("bits").alias("bx"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    met = mixed.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")).join(chosen, ["sig", "salt"]).where("root <> rx")
+    met = few.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")).join(chosen, ["sig", "salt"]).where("root <> rx")
     met = met.where(may_link(F.col("n"), F.col("nx"), F.col("bits"), F.col("bx"), threshold))
     pairs = met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    return pairs, mixed.where(F.col("outside") > limit).select("sig", "rep")
-
-
-#: One in so many k-mers tells where a text has passages that others share.
-_SAMPLED = 4
-
-
-def _sampled(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k-mers of the sample and their places."""
-    kmers = shingles(words, k)
-    at = np.flatnonzero((kmers >> np.uint64(40)) % np.uint64(_SAMPLED) == 0)
-    return kmers[at].astype(np.int64), at
-
-
-def what_is_left(words: np.ndarray, common: np.ndarray, k: int) -> np.ndarray:
-    """The words outside the passages whose sampled k-mers are ``common`` (places): those of a common k-mer, and those
-    between two common ones with no other of the sample between."""
-    _, at = _sampled(words, k)
-    gone = np.zeros(len(words) + 1, np.int64)
-    is_common = np.isin(at, common)
-    for i in np.flatnonzero(is_common).tolist():
-        goes_on = i + 1 < len(at) and is_common[i + 1]
-        gone[at[i]] += 1
-        gone[at[i + 1] if goes_on else min(at[i] + k, len(words))] -= 1
-    return words[np.cumsum(gone[:-1]) == 0]
-
-
-def rest_sketches(words: np.ndarray, tables: int) -> np.ndarray:
-    """The smallest labelled word and the smallest labelled pair of words of each table."""
-    out = []
-    seeds = mix64(np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-    for k in (1, 2):
-        kmers = labelled(shingles(words, k))
-        for seed in seeds:
-            out.append(mix64(mix64(seed + np.uint64(k)) ^ kmers[mix64(kmers ^ seed).argmin()]))
-    return np.array(out, np.uint64)
-
-
-def _rest(codes: DataFrame, members: DataFrame, limit: int, tables: int, k: int, threshold: float) -> DataFrame:
-    """Buckets (sig, rep) of ``members`` (rep) by what they do not share with more than ``limit`` of each other. Who has less
-    left than two alike documents may differ by is in none: all that share the rest are alike."""
-    own = codes.select("rep", "codes").join(members, "rep", "left_semi")
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            reps, values, places = [], [], []
-            for rep, code in zip(batch["rep"].to_pylist(), batch["codes"], strict=True):
-                found, at = _sampled(np.frombuffer(code.as_py(), "<u4").astype(np.uint64), k)
-                reps.append(np.full(len(at), rep, np.int64))
-                values.append(found)
-                places.append(at.astype(np.int32))
-            columns = [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((reps, np.int64), (values, np.int64), (places, np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rep", "gram", "at"])
-
-    rows = own.select("rep", "codes").mapInArrow(grams, "rep long, gram long, at int")
-    common = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).where((F.col("n") > limit) & (F.col("low") < F.col("high")))
-    common = materialize(common.select(F.col("gram").alias("known")), "common-grams")
-    places = rows.join(common, F.col("gram") == F.col("known")).groupBy("rep").agg(F.collect_list("at").alias("common"))
-
-    def left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return pairs, mixed.where(F.col("outside") > limit).select("rep").distinct(), mixed
+
+
+def _alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    most = allowed(len(a), len(b), threshold)
+    return least_distance(a, b) <= most and edit_distance(a, b, most) <= most
+
+
+#: Bins of the counts of words that bound the distance of two texts of crowded buckets.
+_BINS = 512
+
+
+def _near_enough(x: dict, y: dict, own: bool, threshold: float, rows: int = 256, columns: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (their places in x and y) of different classes that lengths, parities and counts of words allow to link,
+    a tile at a time; with ``own``, x and y are the same block and each pair comes once."""
+    for i in range(0, len(x["rep"]), rows):
+        a = slice(i, i + rows)
+        for j in range(i // columns * columns if own else 0, len(y["rep"]), columns):
+            b = slice(j, j + columns)
+            n, m = x["n"][a, None], y["n"][None, b]
+            most = np.floor((1 - threshold) * np.maximum(n, m) + 1e-9).astype(np.int64)
+            near = (np.abs(n - m) <= most) & (x["root"][a, None] != y["root"][None, b])
+            if own:
+                near &= np.arange(i, i + near.shape[0])[:, None] < np.arange(j, j + near.shape[1])
+            differ = np.zeros(near.shape, np.int16)
+            for k in range(_PARITIES // 64):
+                differ += np.bitwise_count(x["bits"][a, None, k] ^ y["bits"][None, b, k])
+            r, c = np.nonzero(near & (differ <= 2 * most))
+            for at in range(0, len(r), 8192):
+                u, w = r[at : at + 8192], c[at : at + 8192]
+                apart = np.abs(x["counts"][i + u].astype(np.int16) - y["counts"][j + w]).sum(1, dtype=np.int64)
+                fits = apart <= 2 * most[u, w]
+                if fits.any():
+                    yield i + u[fits], j + w[fits]
+
+
+def _crowded_links(members: DataFrame, roots: DataFrame, codes: DataFrame, threshold: float, block: int = 16_384, words: int = 1 << 22) -> DataFrame:
+    """All links (a, b) between ``members`` (rep) of different classes, a table.
+
+    Texts that may be near enough are of the same or of the next band of lengths. A band is dealt into blocks of about
+    ``block`` texts, of ``words`` words at most unless a single text has more, and each block goes to all blocks of its own
+    and of the bands beside it. A task holds two blocks, aligns what the exact bounds allow and hands on links alone. The
+    looks grow with the square of a band's members, the rows that are sent with the members times the number of blocks."""
+    spark = members.sparkSession
+    found = codes.select("rep", "n", "bits", "codes").join(members, "rep", "left_semi")
+    found = found.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    base = min(max(1.0001 / max(threshold, 1e-3), 1.1), 1e3)  # a little wider than what the threshold allows, for rounding
+    found = materialize(found.withColumn("band", F.floor(F.log("n") / float(np.log(base))).cast("int")), "crowded")
+    sizes = found.groupBy("band").agg(F.count("*").alias("size"), F.max("n").alias("n")).orderBy("band").collect()  # few: bands of lengths
+    block = min(block, max(512, sum(r["size"] for r in sizes) // 16))
+    dealt = {r["band"]: -(-r["size"] // max(1, min(block, words // r["n"]))) for r in sizes}
+    blocks = [(band, i) for band, n in dealt.items() for i in range(n)]
+    met = [(x, y) for x in blocks for y in blocks if x <= y and (y[0] - x[0] <= 1 or threshold < 1e-3)]
+    places = [(p, x == y, side, *z) for p, (x, y) in enumerate(met) for side, z in enumerate((x, y)[: 1 + (x != y)])]
+    places = spark.createDataFrame(places, "pair int, own boolean, side int, band int, block int")
+    counts = F.create_map(*[F.lit(z) for x in dealt.items() for z in x])
+    rows = found.withColumn("block", F.pmod(F.xxhash64("rep"), counts[F.col("band")]).cast("int")).join(F.broadcast(places), ["band", "block"])
+    rows = rows.select("pair", "own", "side", "rep", "root", "n", "bits", "codes").repartition(max(1, min(len(met), 512)), "pair").sortWithinPartitions("pair", "side")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            sigs = []
-            for code, at in zip(batch["codes"], batch["common"].to_pylist(), strict=True):
-                words = np.frombuffer(code.as_py(), "<u4").astype(np.uint64)
-                left = what_is_left(words, np.array(at or [], np.int64), k)
-                sigs.append(rest_sketches(left, tables).astype(np.int64).tolist() if len(left) > (1 - threshold) * len(words) else [])
-            yield pa.RecordBatch.from_arrays([batch["rep"], pa.array(sigs, pa.list_(pa.int64()))], ["rep", "sigs"])
-
-    found = own.join(places, "rep", "left").select("rep", "codes", "common").mapInArrow(left_over, "rep long, sigs array<long>")
-    found = materialize(found.select("rep", F.explode(F.array_distinct("sigs")).alias("sig")).select("sig", "rep"), "rest-buckets")
-    discard(common)
-    return found
-
-
-def _finer(full: DataFrame, size: int, keys: int = 16) -> DataFrame:
-    """Buckets (sig, rep) of the members of full ones, by ``size`` of their full sketches at a time: for each of
-    ``keys`` seeds those of the smallest hashes, so that documents that share most of their full sketches meet."""
-    sets = full.groupBy("rep").agg(F.sort_array(F.collect_set("sig")).alias("own"))  # no more than a document has sketches
-    ranked = lambda seed: F.slice(F.array_sort(F.transform("own", lambda s: F.struct(F.xxhash64(seed, s).alias("h"), s.alias("s")))), 1, size)
-    key = lambda seed: F.xxhash64(F.lit(size), F.array_sort(F.transform(ranked(seed), lambda x: x["s"])))
-    found = sets.where(F.size("own") >= size).select("rep", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(keys)), key))).alias("sig"))
-    return found.select("sig", "rep")
-
-
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, tables: int = 24, keep: int = 3, k: int = 5, limit: int = 64, levels: int = 4, pivots: int = 4) -> DataFrame:
+            numbers = batch["pair"].to_numpy()
+            for start, end in zip([0, *(edges := (np.flatnonzero(np.diff(numbers)) + 1).tolist())], [*edges, len(numbers)], strict=True):
+                if held and end > start and held[-1]["pair"][0].as_py() != numbers[start]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                if end > start:
+                    held.append(batch.slice(start, end - start))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def side(table: pa.Table) -> dict:
+        bits = table["bits"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes()
+        codes = [np.frombuffer(x.as_py(), "<u4") for x in table["codes"]]
+        counts = np.array([np.minimum(np.bincount(x & (_BINS - 1), minlength=_BINS), 255) for x in codes], np.uint8)
+        return {c: table[c].to_numpy() for c in ("rep", "root", "n")} | {"bits": np.frombuffer(bits, np.uint64).reshape(-1, _PARITIES // 64), "counts": counts, "codes": codes}
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole(batches):
+            second, own = table["side"].to_numpy() == 1, table["own"][0].as_py()
+            x = side(table.filter(pa.array(~second)))
+            y = x if own else side(table.filter(pa.array(second)))
+            for r, c in _near_enough(x, y, own, threshold):
+                near = np.array([_alike(x["codes"][i], y["codes"][j], threshold) for i, j in zip(r.tolist(), c.tolist(), strict=True)])
+                p, q = x["rep"][r[near]], y["rep"][c[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+    links = materialize(rows.mapInArrow(meet, "a long, b long"), "crowded-links")
+    discard(found)
+    return links
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, tables: int = 24, keep: int = 3, k: int = 5, limit: int = 64) -> DataFrame:
     """One row for each row of ``docs`` with a doc_id: doc_id, class_id (the smallest doc_id of its class).
 
-    Two documents are compared if they share a sketch, be it with its pivot or, while a bucket has no more than
-    ``limit`` members outside its largest class, with all of these. Members of fuller buckets meet again in buckets of
-    sketches of what they do not share with many others, and, where these are full too, in buckets of two, three and up to
-    ``levels`` shared full ones; where even these are full, with about ``pivots`` of the others. So recall is probabilistic
-    in two ways: by the sketches, and among many unlike documents that also share nearly all of what is left of them.
+    Any two documents that share a sketch are linked if they are alike: they are compared with the bucket's pivot, with each
+    other while a bucket has no more than ``limit`` members outside its largest class, and in fuller buckets with all that
+    exact bounds do not rule out. So recall is probabilistic by the sketches alone.
 
     NULL texts count as empty; documents without any word are one class. Rows that repeat a doc_id are one document; if
     their words differ, those of the smallest hash count. Rows whose doc_id is NULL are in no class and are left out.
@@ -408,37 +411,24 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tables: int = 24, k
     discard(rows, reps)
     release(spark)
 
-    done = links = None
-    roots = spark.createDataFrame([], "id long, root long")
-    pairs = live.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    level, first_full, size = live.select("sig", "rep"), None, 1
-    while True:
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+    def aligned(pairs: DataFrame) -> DataFrame:
         found = materialize(_aligned(pairs, codes, threshold), "aligned")
         release(spark)
-        fresh = found.where("distance <= allowed").select("a", "b")
-        done = found.select("a", "b") if done is None else done.union(found.select("a", "b"))
-        links = fresh if links is None else links.union(fresh)
+        return found
+
+    linked = lambda found: found.where("distance <= allowed").select("a", "b")
+    found = aligned(live.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+    done, links = found.select("a", "b"), linked(found)
+    roots = components(links)
+    pairs, crowded, mixed = _bucket_pairs(live.select("sig", "rep"), roots, codes, limit, threshold)
+    found = aligned(pairs.join(done, ["a", "b"], "left_anti"))
+    links = links.union(linked(found))
+    crowded = materialize(crowded, "crowded-members")
+    if not found.isEmpty():
         roots = components(links)
-        if level is None:
-            break
-        pairs, full = _bucket_pairs(level, roots, codes, limit, pivots if size == levels else 0, threshold)
-        pairs, full = materialize(pairs, "bucket-pairs"), materialize(full, "full-buckets")
-        if first_full is None and not full.isEmpty():
-            first_full = full
-            level = rest = _rest(codes, full.select("rep").distinct(), limit, tables, k, threshold)
-            continue
-        if size == 1 and first_full is not None:  # by what is left, and by the sketches of those that have too little left
-            full = full.unionByName(first_full.join(rest.select("rep").distinct(), "rep", "left_anti"))
-            first_full = full
-        if size == levels or full.isEmpty():
-            level = None
-            if pairs.isEmpty():
-                break
-        else:
-            size += 1
-            level = materialize(_finer(first_full.join(full.select("rep").distinct(), "rep", "left_semi"), size), "finer-buckets")
+    if not crowded.isEmpty():
+        roots = components(links.union(_crowded_links(crowded, roots, codes, threshold)))
+    discard(mixed)
     return member.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
 
 
