@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from utterlake.functions import text as tx
 from utterlake.operators import coverage, prep, series, verify
 from utterlake.plans import registry
+from utterlake.sources import files as wave_files
 from utterlake.streaming import sources
 
 
@@ -80,6 +81,20 @@ def test_scores_of_all_pairs_equal_single_scores(spark, digits):
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_samples_of_wave_blocks_stay_in_their_task(spark):
+    """A file is made of samples that are sent once, and its blocks come back as their measures, many to a batch."""
+    rng = random.Random(8)
+    rows = [(f"w{i}", [rng.uniform(-1.2, 1.2) for _ in range(rng.choice([1, 7, 64]))], rng.randrange(1, 40)) for i in range(90)] + [("none", [], 3)]
+    waves = wave_files.with_wave(spark.createDataFrame(rows, "path string, samples array<double>, times int"))
+    whole = wave_files.with_wave(spark.createDataFrame([(p, x * n) for p, x, n in rows], "path string, samples array<double>"))
+    assert sorted(map(repr, waves.collect())) == sorted(map(repr, whole.collect()))
+    got = {(r.path, r.block): (r.n, r.total) for r in wave_files.decode_blocks(waves, 100, {"n": len, "total": np.sum}).collect()}
+    want = {(r.path, r.block): (len(r.samples), sum(r.samples)) for r in wave_files.decode_blocks(whole, 100).collect()}
+    assert got == want and sum(n for n, _ in got.values()) == sum(len(x) * n for _, x, n in rows)
+    plan = registry.QUERIES["decode_blocks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_repeat" not in plan and "aggregate(" not in plan
+
+
 def test_slices_of_several_files_are_a_batch_each(spark, tmp_path):
     rows = spark.range(6000).select(F.col("id").alias("x"), (F.col("id") % 7).alias("key")).repartition(3)
     files = sources.write_slices(rows, f"{tmp_path}/in", "x", 3, file_rows=500)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,27 +38,33 @@ def pcm16_encode(samples: np.ndarray) -> bytes:
 
 def pcm16_decode(raw: bytes, channels: int = 1) -> np.ndarray:
     """Samples as fractions of 32768; several channels as their mean."""
-    return (np.frombuffer(raw, "<i2").astype(np.float64) / 32768).reshape(-1, channels).mean(1)
+    samples = np.frombuffer(raw, "<i2").astype(np.float64) / 32768
+    return samples if channels == 1 else samples.reshape(-1, channels).mean(1)
 
 
-def wave_bytes(samples: np.ndarray, rate: int = 16_000) -> bytes:
+def wave_bytes(samples: np.ndarray, rate: int = 16_000, times: int = 1) -> bytes:
     out = io.BytesIO()
     with wave.open(out, "wb") as file:
         file.setnchannels(1)
         file.setsampwidth(2)
         file.setframerate(rate)
-        file.writeframes(pcm16_encode(samples))
+        file.writeframes(pcm16_encode(samples) * times)
     return out.getvalue()
 
 
 def with_wave(series: DataFrame, rate: int = 16_000) -> DataFrame:
-    """path, content: (path, samples) as wave files."""
+    """path, content: (path, samples, and maybe times: how often they follow each other, 1 if it is not there) as wave files."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "content": [wave_bytes(np.asarray(x, float), rate) for x in batch["samples"]]})
+            for start in range(0, len(batch), 64):  # a file may be large
+                part = batch.slice(start, 64)
+                samples = [np.zeros(0) if x.values is None else np.asarray(x.values, float) for x in part["samples"]]
+                content = [wave_bytes(x, rate, n) for x, n in zip(samples, part["times"].to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part["path"], pa.array(content, pa.binary())], ["path", "content"])
 
-    return series.select("path", "samples").mapInPandas(rows, "path string, content binary")
+    times = F.col("times").cast("int") if "times" in series.columns else F.lit(1)
+    return series.select("path", "samples", times.alias("times")).mapInArrow(rows, "path string, content binary")
 
 
 def audio_manifest(files: DataFrame, min_s: float = 1.0, max_s: float = 16.0) -> DataFrame:
@@ -75,19 +83,35 @@ def audio_manifest(files: DataFrame, min_s: float = 1.0, max_s: float = 16.0) ->
     return files.select("path", head.alias("content")).mapInPandas(rows, "path string, duration double").where(F.col("duration").between(min_s, max_s))
 
 
-def decode_blocks(files: DataFrame, block: int = 16_000) -> DataFrame:
-    """path, block, samples: the samples of wave files in blocks of ``block``; the last may be shorter."""
+def decode_blocks(files: DataFrame, block: int = 16_000, measures: dict[str, Callable[[np.ndarray], float]] | None = None) -> DataFrame:
+    """path, block, samples: the samples of wave files in blocks of ``block``; the last may be shorter. ``measures``, functions
+    of a block's samples, stand by their names in place of the samples, which then stay in the task."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batch: pa.RecordBatch) -> Iterator[tuple[str, int, np.ndarray]]:
+        for path, raw in zip(batch["path"], batch["content"], strict=True):
+            with wave.open(io.BytesIO(raw.as_buffer())) as file:
+                number = 0
+                while part := file.readframes(block):
+                    yield path.as_py(), number, pcm16_decode(part, file.getnchannels())
+                    number += 1
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, raw in zip(batch["path"], batch["content"], strict=True):
-                with wave.open(io.BytesIO(raw)) as file:
-                    number = 0
-                    while part := file.readframes(block):
-                        yield pd.DataFrame({"path": [path], "block": [number], "samples": [pcm16_decode(part, file.getnchannels())]})
-                        number += 1
+            for found in _some(blocks(batch), 4096 if measures else max(1, (1 << 20) // block)):
+                path, number, samples = zip(*found, strict=True)
+                if measures:
+                    own = [pa.array([float(measure(x)) for x in samples], pa.float64()) for measure in measures.values()]
+                else:
+                    own = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, samples)]).astype(np.int32), np.concatenate(samples))]
+                yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(number, pa.int64()), *own], ["path", "block", *(measures or ["samples"])])
+
+    columns = ", ".join(f"{name} double" for name in measures) if measures else "samples array<double>"
+    return files.select("path", "content").mapInArrow(rows, f"path string, block long, {columns}")
+
 
-    return files.select("path", "content").mapInPandas(rows, "path string, block long, samples array<double>")
+def _some(rows: Iterator, n: int) -> Iterator[list]:
+    while held := list(islice(rows, n)):
+        yield held
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:
