@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from utterlake.functions import text as tx
 from utterlake.operators import coverage, prep, series, verify
-from utterlake.plans import registry
+from utterlake.plans import q_streams, registry
 from utterlake.sources import files as wave_files
-from utterlake.streaming import sources
+from utterlake.streaming import session_logs, sources
 
 
 def _regridded(x, rate):
@@ -81,6 +81,24 @@ def test_scores_of_all_pairs_equal_single_scores(spark, digits):
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_logs_of_many_sessions_are_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(q_streams, "shared_folder", lambda _, name: f"{tmp_path}/{name}")
+    found = registry.QUERIES["session_source"](spark, "/root/testdata/sf0.01")
+    sessions = found.select("session").distinct().count()
+    assert found.count() == 10_000 and len(list((tmp_path / "sessions" / "in").rglob("part-*"))) < 10 < sessions
+
+
+def test_lines_outside_a_folder_name_their_session(tmp_path):
+    line = '{{"session": {}, "seq": {}, "us": 1700000000000000, "p": 0.5}}\n'
+    (tmp_path / "many.json").write_text("".join(line.format(n % 3, n) for n in range(30)) + '{"session": 9, ')
+    (tmp_path / "session=7").mkdir()
+    (tmp_path / "session=7" / "own.json").write_text('{"seq": 1, "us": 1700000000000000, "p": 0.5}\n')
+    for step in (1, 50, 1000):
+        reader = session_logs.SessionReader(str(tmp_path), step)
+        rows = [r[:2] for part in reader.partitions({}, reader.latestOffset()) for r in reader.read(part)]
+        assert sorted(rows) == sorted([(n % 3, n) for n in range(30)] + [(7, 1)])
+
+
 def test_samples_of_wave_blocks_stay_in_their_task(spark):
     """A file is made of samples that are sent once, and its blocks come back as their measures, many to a batch."""
     rng = random.Random(8)

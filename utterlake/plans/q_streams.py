@@ -12,7 +12,7 @@ from ..streaming import keyed as ky
 from ..streaming import sources as so
 from ..streaming import windows as wi
 from ..streaming.session_logs import session_frames
-from ..tables import shared_folder
+from ..tables import shared_folder, written
 from . import q_gates, q_scoring, q_series, q_sessions
 from . import views as v
 from .q_scoring import r6
@@ -150,13 +150,14 @@ def append_stream(spark, d):
 
 
 def session_source(spark, d):
-    """The frames as a service logs them, a file for each session and slice, read by a source with offsets of its own."""
-    rows = frames(spark, d).select(F.col("key").alias("session"), "seq", F.unix_micros("ts").alias("us"), "p")
-    base = shared_folder(spark, "sessions")
+    """The frames as a service logs them, a set of files for each slice with many sessions to a file, read by a source with
+    offsets of its own. The number of files follows that of the rows, not that of the sessions."""
+    rows = written(frames(spark, d).select(F.col("key").alias("session"), "seq", F.unix_micros("ts").alias("us"), "p"), "frames")
+    base, files = shared_folder(spark, "sessions"), max(1, rows.count() // 250_000)
     stream, query = None, None
     for low, high in ((0, 20), (20, 1 << 40)):
-        part = rows.where((F.col("seq") >= low) & (F.col("seq") < high))
-        part.select("session", F.to_json(F.struct("seq", "us", "p")).alias("value")).repartition("session").sortWithinPartitions("session", "value").write.mode("append").partitionBy("session").text(f"{base}/in")
+        part = rows.where((F.col("seq") >= low) & (F.col("seq") < high)).repartition(files, "session").sortWithinPartitions("session", "seq")
+        part.select(F.to_json(F.struct("session", "seq", "us", "p")).alias("value")).write.mode("append").text(f"{base}/in")
         if query is None:
             stream = session_frames(spark, f"{base}/in")
             query = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").format("parquet").start(f"{base}/out")

@@ -1,4 +1,6 @@
-"""A stream of session logs: text files of JSON lines that grow while a session lasts, in a folder ``session=<id>`` each.
+"""A stream of session logs: text files of JSON lines that grow while sessions last. A file in a folder ``session=<id>`` is
+of that session; a file outside of these is of many, and its lines name theirs. Files, sizes and offsets pass through the
+driver, so services with very many sessions log many to a file.
 
 An offset is how many bytes of each file have been read, always whole lines, so a run that is killed reads the same lines
 again. The driver sees file names and sizes; a micro-batch is a task for every ``max_bytes`` or so, of one file or of many.
@@ -21,9 +23,9 @@ FRAMES = "session long, seq long, ts timestamp, p double"
 
 @dataclass
 class Stretches(InputPartition):
-    """What a task reads: (path, session, start, end) of some stretches."""
+    """What a task reads: (path, session or None, start, end) of some stretches."""
 
-    parts: list[tuple[str, int, int, int]]
+    parts: list[tuple[str, int | None, int, int]]
 
 
 class SessionLogs(DataSource):
@@ -50,13 +52,13 @@ class SessionReader(DataSourceStreamReader):
         found = {}
         for folder, inner, names in os.walk(self._path):
             inner[:] = [name for name in inner if name[0] not in "._"]  # what is not written yet
-            if "session=" not in os.path.basename(folder):
+            if folder != self._path and "session=" not in os.path.basename(folder):
                 continue
             for name in names:
                 if name[0] not in "._":
                     end = self._whole(os.path.join(folder, name))
                     if end:
-                        found[os.path.join(os.path.basename(folder), name)] = end
+                        found[os.path.relpath(os.path.join(folder, name), self._path)] = end
         return found
 
     @staticmethod
@@ -75,7 +77,8 @@ class SessionReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Stretches]:
         out, size = [], 0
         for name, last in sorted(end.items()):
-            session, first = int(name.split(os.sep)[0].removeprefix("session=")), start.get(name, 0)
+            folder, first = os.path.basename(os.path.dirname(name)), start.get(name, 0)
+            session = int(folder.removeprefix("session=")) if folder else None
             for at in range(first, last, self._max):
                 until = min(at + self._max, last)
                 if not out or size + until - at > self._max or len(out[-1].parts) >= 256:
@@ -94,13 +97,13 @@ class SessionReader(DataSourceStreamReader):
                     file.readline()  # up to the first line that begins here
                 while file.tell() < end:
                     row = json.loads(file.readline())
-                    yield session, row["seq"], datetime.datetime.fromtimestamp(row["us"] / 1e6, datetime.UTC), row["p"]
+                    yield row["session"] if session is None else session, row["seq"], datetime.datetime.fromtimestamp(row["us"] / 1e6, datetime.UTC), row["p"]
 
     def commit(self, end: dict) -> None:
         pass
 
 
 def session_frames(spark: SparkSession, path: str, max_bytes: int = 8 << 20) -> DataFrame:
-    """session, seq, ts, p of all lines (seq, us, p), as they come."""
+    """session, seq, ts, p of all lines (seq, us, p, and session outside of a session's folder), as they come."""
     spark.dataSource.register(SessionLogs)
     return spark.readStream.format("session_logs").option("path", path).option("max_bytes", str(max_bytes)).load()
