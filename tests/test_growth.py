@@ -113,6 +113,21 @@ def test_samples_of_wave_blocks_stay_in_their_task(spark):
     assert "array_repeat" not in plan and "aggregate(" not in plan
 
 
+@pytest.mark.parametrize("tile,together", [(1024, 4), (16, 2), (7, 1)])
+def test_all_pairs_in_tiles_are_each_there_once(spark, tile, together, tmp_path):
+    items = _odd_items(spark).union(spark.createDataFrame([(None, 1, None), (5, 2, None)], "id long, speaker long, v array<double>"))
+    want = items.alias("x").join(items.alias("y"), F.expr("x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.expr("cast(x.speaker = y.speaker as long)").alias("same"))
+    assert sorted(map(repr, verify.all_pairs(items, tile, together).collect())) == sorted(map(repr, want.collect()))
+    assert verify.all_pairs(items.limit(0)).count() == 0
+
+
+def test_all_pairs_take_little_room(spark, tmp_path):
+    items = spark.range(0, 4000).selectExpr("id * 7919 as id", "id % 13 as speaker")
+    verify.all_pairs(items, 256).write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 4000 * 3999 // 2
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 4000 * 3999 // 2 // 2  # half a byte a pair
+
+
 def test_slices_of_several_files_are_a_batch_each(spark, tmp_path):
     rows = spark.range(6000).select(F.col("id").alias("x"), (F.col("id") % 7).alias("key")).repartition(3)
     files = sources.write_slices(rows, f"{tmp_path}/in", "x", 3, file_rows=500)
