@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from utterlake import tables
 from utterlake.functions import text as tx
 from utterlake.operators import coverage, prep, series, verify
 from utterlake.plans import q_streams, registry
@@ -47,6 +48,17 @@ def test_linear_regrid_without_a_join(spark, rate):
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_regrids_sort_no_more_rows_a_task_than_they_should(spark, monkeypatch):
+    own = _walks([20 + k % 7 for k in range(60)])
+    samples = spark.createDataFrame([(k, n, v) for k, x in own.items() for n, v in enumerate(x)], "key long, n long, x double")
+    monkeypatch.setattr(tables.dealt, "__defaults__", (64,))
+    found = series.regrids(samples, (0.9, 1.1))
+    assert found.rdd.getNumPartitions() >= samples.count() // 64 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {(r.key, r.rate_id, r.n): r.x for r in found.collect()}
+    want = {(k, s, i): v for k, x in own.items() for s, rate in enumerate((0.9, 1.1)) for i, v in enumerate(_regridded(x, rate).tolist())}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def _odd_items(spark):
     rng = random.Random(3)
     rows = [(i, None if i % 17 == 3 else rng.randrange(3), [rng.gauss(0, 1) for _ in range(8)]) for i in range(150)]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import audio as au
+from ..tables import dealt
 
 
 def frame_series(samples: DataFrame, length: int, hop: int) -> DataFrame:
@@ -234,10 +235,12 @@ def linear_regrid(samples: DataFrame, rate: float) -> DataFrame:
 
 def regrids(samples: DataFrame, rates: tuple[float, ...]) -> DataFrame:
     """key, rate_id, n, x: ``linear_regrid`` at each rate, numbered from 0. Every sample makes the points that lie between
-    it and the next one, so points meet no table of samples: there is no join, whose side could be taken for a small one."""
+    it and the next one, so points meet no table of samples: there is no join, whose side could be taken for a small one.
+    Partitions follow the number of samples, so the sort of a task stays of one size."""
     own = Window.partitionBy("key")
+    samples = dealt(samples.where("key is not null").select("key", "n", "x"), "key")
     following = F.coalesce(F.lead("x").over(own.orderBy("n")), F.col("x"))
-    rows = samples.where("key is not null").select("key", F.col("n").alias("low"), "x", following.alias("next"), F.count("*").over(own).alias("size"))
+    rows = samples.select("key", F.col("n").alias("low"), "x", following.alias("next"), F.count("*").over(own).alias("size"))
     rows = rows.select("*", F.posexplode(F.array(*[F.lit(float(r)) for r in rates])).alias("rate_id", "rate"))
     rows = rows.withColumn("out", F.rint(F.col("size") / F.col("rate")).cast("long")).where("out > 0")
     last, gaps = F.col("size") - 1, F.col("out") - 1
