@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import free_name, materialize
+from ._shared import free_name, materialize, row_slices
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _KEYS = "doc_id long, h1 long, h2 long"
@@ -42,7 +42,7 @@ def line_keys(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     """One row for each document row and distinct key of ``min_chars`` code points or more: doc_id, h1, h2."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in row_slices(batches):
             ids, h1, h2 = [], [], []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()), strict=True):
                 found = {_key(x) for x in (text.as_py() or b"").split(b"\n")}
@@ -139,7 +139,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches
     kept = T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema] + [T.StructField(name, T.LongType()) for name in counts or ()])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in row_slices(batches):
             texts, n_lines, n_dropped = [], [], []
             for text, drop in zip(batch["text"].cast(pa.binary()), batch[marker], strict=True):
                 lines = (text.as_py() or b"").split(b"\n")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import LOWER, WORD, discard, materialize, mix64, prefix_sums, release, span_hashes, token_spans, utf8_chunks
+from ._shared import LOWER, SMALL_CHUNK, WORD, discard, materialize, mix64, prefix_sums, release, span_hashes, token_spans, utf8_chunks
 
 _MAX = np.uint64(2**64 - 1)
 
@@ -189,8 +189,8 @@ def word_rows(docs: DataFrame, tables: int, keep: int, k: int) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            h1, h2, codes, bits, sketch = [], [], [], [], []
-            for _, data, offsets in utf8_chunks(batch["text"]):
+            for first, data, offsets in utf8_chunks(batch["text"], SMALL_CHUNK):
+                h1, h2, codes, bits, sketch = [], [], [], [], []
                 words, edges = _doc_words(data, offsets)
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     own = words[a:b]
@@ -199,9 +199,9 @@ def word_rows(docs: DataFrame, tables: int, keep: int, k: int) -> DataFrame:
                     h2.append(int(digest[1]))
                     short = (own >> np.uint64(32)).astype("<u4")
                     codes.append(short.tobytes())
-                    bits.append(parities(short).tolist())
-                    sketch.append(sketches(own, tables, keep, k).astype(np.int64).tolist() if len(own) else [])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(codes, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "codes", "bits", "sketch"])
+                    bits.append(parities(short))
+                    sketch.append(sketches(own, tables, keep, k).astype(np.int64) if len(own) else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, len(h1)), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(codes, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "codes", "bits", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, h1 long, h2 long, codes binary, bits array<long>, sketch array<long>")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import materialize, row_slices
 from .tokens import encoder, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,7 +37,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 20
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in row_slices(batches):
             rows = []
             for doc_id, found in zip(batch["doc_id"].to_pylist(), encoder(path).encode(batch["text"]), strict=True):
                 ids = np.concatenate([found, end]).astype("<u4").tobytes()

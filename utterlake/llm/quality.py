@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import LOWER, NOT_SPACE, crc32_mod, materialize, mix64, prefix_sums, span_hashes, token_spans, utf8_chunks
+from ._shared import LOWER, NOT_SPACE, SMALL_CHUNK, crc32_mod, materialize, mix64, prefix_sums, span_hashes, token_spans, utf8_chunks
 
 #: What each entry of a document's vector is made of.
 FEATURES = ["upper", "digits", "symbols", "punctuation", "marks_inside", "pipes", "word_length", "length_spread", "repeats", "distinct", "line_repeats", "short_lines", "sentences", "log_words", "word_ends"]
@@ -49,7 +49,7 @@ def _distinct_in(hashes: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray
 
 def document_vectors(column) -> np.ndarray:
     """One vector a text; NULL counts as the empty text."""
-    parts = [_vectors(data, offsets) for _, data, offsets in utf8_chunks(column)]
+    parts = [_vectors(data, offsets) for _, data, offsets in utf8_chunks(column, SMALL_CHUNK)]
     return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
 
 
@@ -222,8 +222,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = document_vectors(batch["text"].cast(pa.string())).astype(np.float32).astype(float)
-            yield batch.filter(pa.array(model.score(x) >= threshold))
+            for first, data, offsets in utf8_chunks(batch["text"].cast(pa.string()), SMALL_CHUNK):
+                x = _vectors(data, offsets).astype(np.float32).astype(float)
+                yield batch.slice(first, len(x)).filter(pa.array(model.score(x) >= threshold))
 
     return docs.mapInArrow(keep, T.StructType(docs.schema.fields))
 
