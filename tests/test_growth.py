@@ -84,6 +84,18 @@ def test_summaries_of_all_pairs_make_no_row_a_pair(spark, name, monkeypatch):
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
 
 
+def test_length_of_a_vector_is_summed_once(spark):
+    items = _odd_items(spark)
+    found = items.select("v", verify.unit(F.col("v")).alias("u"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    for v, u in found.collect():
+        if v is None or None in v:
+            assert u == v
+        else:
+            size = sum(x * x for x in v) ** 0.5
+            assert u == pytest.approx([x / (size if size > 0 or size != size else 1.0) for x in v], nan_ok=True)
+
+
 @pytest.mark.parametrize("digits", [1, 6])
 def test_scores_of_all_pairs_equal_single_scores(spark, digits):
     items = _odd_items(spark)
