@@ -196,6 +196,63 @@ def test_blocks_of_all_lengths_meet_their_neighbours(spark):
     assert {(r.a, r.b) for r in found.collect()} == linked and len(linked) > 60
 
 
+def rows_of_joins(df):
+    """The rows that each join of a plan made when it ran."""
+    df.collect()
+    nodes, found = [df._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif "QueryStage" in name:
+            nodes.append(node.plan())
+        elif name != "ReusedExchange":
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if "Join" in name:
+            found.append(node.metrics().get("numOutputRows").get().value())
+    return found
+
+
+@pytest.mark.parametrize("members,buckets", [(30, 20), (60, 40)])
+def test_a_pair_of_many_buckets_is_one_row(spark, members, buckets):
+    """Members of different classes that share all their buckets: joins have a row a member, not one a pair and bucket."""
+    live = spark.createDataFrame([(b, i) for b in range(buckets) for i in range(members)], "sig long, rep long")
+    codes = spark.createDataFrame([(i, 100, [0, 0, 0, 0], b"") for i in range(members)], "rep long, n long, bits array<long>, codes binary")
+    pairs, crowded, _ = near_dup._bucket_pairs(live, spark.createDataFrame([], "id long, root long"), codes, 64, 0.8)
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [(i, j) for i in range(members) for j in range(i + 1, members)]
+    assert crowded.isEmpty()
+    made = rows_of_joins(pairs)
+    assert len(made) >= 2 and max(made) <= members * buckets
+
+
+def test_bucket_pairs_are_those_of_all_members(spark):
+    """Buckets of several classes, some too full, lengths and parities that rule pairs out: the pairs of a plain loop."""
+    rng, limit = random.Random(31), 12
+    size = {i: rng.choice([50, 60, 70, 100]) for i in range(80)}
+    bits = {i: [rng.choice([0, 7, 511, 511 - 2**63]) for _ in range(4)] for i in size}
+    root = {i: i - i % rng.choice([1, 4, 10]) for i in size if i % 3}
+    held = {sig: rng.sample(range(80), rng.randrange(1, 22)) for sig in range(60)}
+    want, full = set(), set()
+    for own in held.values():
+        count = Counter(root.get(i, i) for i in own)
+        largest = max(count, key=lambda r: (count[r], r))
+        if len(count) > 1 and len(own) - count[largest] > limit:
+            full |= set(own)
+        elif len(count) > 1:
+            for i in own:
+                for j in own:
+                    most = near_dup.allowed(size[i], size[j], 0.8)
+                    differ = sum((x ^ y).bit_count() if x ^ y >= 0 else 64 - (~(x ^ y)).bit_count() for x, y in zip(bits[i], bits[j], strict=True))
+                    if i < j and root.get(i, i) != root.get(j, j) and abs(size[i] - size[j]) <= most and differ <= 2 * most:
+                        want.add((i, j))
+    live = spark.createDataFrame([(sig, i) for sig, own in held.items() for i in own], "sig long, rep long")
+    codes = spark.createDataFrame([(i, size[i], bits[i], b"") for i in size], "rep long, n long, bits array<long>, codes binary")
+    pairs, crowded, _ = near_dup._bucket_pairs(live, spark.createDataFrame(list(root.items()), "id long, root long"), codes, limit, 0.8)
+    assert 100 < len(want) < 2000 and sorted((r.a, r.b) for r in pairs.collect()) == sorted(want)
+    assert full and {r.rep for r in crowded.collect()} == full
+
+
 def test_near_duplicates_recall_close_to_the_threshold(spark):
     rng, rows, wanted = random.Random(12), [], []
     for g in range(100):

@@ -272,7 +272,9 @@ def _bucket_pairs(live: DataFrame, roots: DataFrame, codes: DataFrame, limit: in
     with more than ``limit`` members outside their largest class, for ``_crowded_links``, and the table that both come from.
 
     In the other buckets members outside the largest class meet all members of other classes, so such a bucket costs no
-    more than ``limit`` looks a member; the join itself passes on only pairs that lengths and parities allow.
+    more than ``limit`` looks a member. The members outside come to each member as one row, of which it keeps the list of
+    those that lengths and parities allow; the lists of a text are united before they become pairs. So the join has a row
+    a member, and a pair is one row however many buckets the two share (at most ``limit`` times the sketches a text).
     """
     rows = live.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     sizes = rows.groupBy("sig", "root").agg(F.count("*").alias("n"))  # a class of a bucket is a row, not a member
@@ -281,10 +283,17 @@ def _bucket_pairs(live: DataFrame, roots: DataFrame, codes: DataFrame, limit: in
     mixed = materialize(rows.join(state, "sig"), "mixed-buckets")
     few = mixed.where(F.col("outside") <= limit).join(codes.select("rep", "n", "bits"), "rep")
     salts = 8  # the few members outside are copied, so that the many of a hot bucket need not be in one task
-    chosen = few.where("root <> largest")
-    chosen = chosen.select("sig", F.col("rep").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("bits").alias("bx"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    met = few.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")).join(chosen, ["sig", "salt"]).where("root <> rx")
-    met = met.where(may_link(F.col("n"), F.col("nx"), F.col("bits"), F.col("bx"), threshold))
+    outside = few.where("root <> largest").groupBy("sig").agg(F.collect_list(F.struct("rep", "root", "n", "bits")).alias("others"))
+    outside = outside.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+    def meets(x):
+        once = (F.col("root") == F.col("largest")) | (x["rep"] < F.col("rep"))  # of two members outside, the larger one lists the other
+        return (x["root"] != F.col("root")) & once & may_link(F.col("n"), x["n"], F.col("bits"), x["bits"], threshold)
+
+    met = few.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")).join(outside, ["sig", "salt"])
+    met = met.select("rep", F.transform(F.filter("others", meets), lambda x: x["rep"]).alias("others"))
+    met = met.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    met = met.select("rep", F.explode("others").alias("x"))
     pairs = met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
     return pairs, mixed.where(F.col("outside") > limit).select("rep").distinct(), mixed
 
