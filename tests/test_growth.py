@@ -105,6 +105,25 @@ def test_scores_of_all_pairs_equal_single_scores(spark, digits):
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("digits,block,tile", [(1, 16, 100), (6, 16, 1000), (6, 50, 1 << 24)])
+def test_scores_come_in_tiles_of_blocks_of_ids(spark, digits, block, tile):
+    items = _odd_items(spark).union(spark.createDataFrame([(None, 1, [1.0] * 8), (5, 2, [0.5] * 8), (-(2**60), 2, [0.25] * 8), (2**60 + 1, 1, [2.0] * 8)], "id long, speaker long, v array<double>"))
+    u = items.withColumn("v", verify.unit(F.col("v")))
+    want = u.alias("x").join(u.alias("y"), F.expr("x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.expr("cast(x.speaker = y.speaker as long)").alias("same"), F.round(verify.dot(F.col("x.v"), F.col("y.v")), digits).alias("score"))
+    got = verify.all_pair_scores(items, digits, block, tile)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    tasks = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 5 and max(r["count"] for r in tasks) <= (1.25 * block + 2) ** 2
+
+
+def test_scores_of_all_pairs_take_little_room(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(int(i) * 31, int(i) % 10, x.tolist()) for i, x in enumerate(rng.normal(size=(3000, 64)))], "id long, speaker long, v array<double>")
+    verify.all_pair_scores(rows).write.parquet(f"{tmp_path}/scores")
+    assert spark.read.parquet(f"{tmp_path}/scores").count() == 3000 * 2999 // 2
+    assert sum(f.stat().st_size for f in (tmp_path / "scores").glob("*.parquet")) < 6 * 3000 * 2999 // 2  # 8 bytes are a score alone
+
+
 def test_logs_of_many_sessions_are_few_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(q_streams, "shared_folder", lambda _, name: f"{tmp_path}/{name}")
     found = registry.QUERIES["session_source"](spark, "/root/testdata/sf0.01")
