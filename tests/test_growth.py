@@ -171,6 +171,18 @@ def test_all_pairs_take_little_room(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 4000 * 3999 // 2 // 2  # half a byte a pair
 
 
+def test_all_pairs_in_small_tiles_are_made_by_many_tasks(spark, tmp_path):
+    items = spark.range(6000).selectExpr("id * 7919 as id", "id % 13 as speaker")
+    found = verify.all_pairs(items)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == plan.count("RepartitionByExpression [id#") == 2  # what repeats an item is no single task
+    found.write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 6000 * 5999 // 2
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 6000 * 5999 // 2 // 4  # a quarter of a byte a pair
+    few = verify.all_pairs(items.limit(300), 16, 2, most=5)
+    assert few.rdd.getNumPartitions() == 5 and few.distinct().count() == few.count() == 300 * 299 // 2
+
+
 def test_slices_of_several_files_are_a_batch_each(spark, tmp_path):
     rows = spark.range(6000).select(F.col("id").alias("x"), (F.col("id") % 7).alias("key")).repartition(3)
     files = sources.write_slices(rows, f"{tmp_path}/in", "x", 3, file_rows=500)
